@@ -62,3 +62,46 @@ def op9_bpe(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op8_tiff, op9_bpe)}
 ORACLES = {"op2_line_dedup": OP2_SQL}
+
+
+def op6_toxicity(spark, sf_dir):
+    """Toxicity of every document from its significant toxic passages."""
+    from tessera.llm import toxicity
+    from tessera.llm._shared import id_remainder
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("held_out", id_remainder("doc_id", 5) == 0).select("doc_id", "held_out", "score", "predicted", "passage_start", "passage_end", "passages")
+
+
+def op10_language(spark, sf_dir):
+    """Language of every document by a bidirectional recurrent network over bytes."""
+    from tessera.llm import langid
+    from tessera.llm._shared import id_remainder
+
+    docs = table(spark, sf_dir, "documents")
+    return langid.label_documents(docs, langid.fit(docs)).withColumn("held_out", id_remainder("doc_id", 4) == 2).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES |= {f.__name__: f for f in (op6_toxicity, op10_language)}
+
+
+def op7_html(spark, sf_dir):
+    """The main text of every page, by its host's wrapper."""
+    from tessera.llm import html
+
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.wrappers(pages))
+
+
+QUERIES |= {f.__name__: f for f in (op7_html,)}
+
+
+def op5_jaccard(spark, sf_dir):
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    from tessera.llm.jaccard import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+QUERIES |= {f.__name__: f for f in (op5_jaccard,)}
