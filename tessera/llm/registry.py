@@ -105,3 +105,13 @@ def op5_jaccard(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (op5_jaccard,)}
+
+
+def op3_vectors(spark, sf_dir):
+    """Links and components of vectors with a cosine of 0.9 or more."""
+    from tessera.llm.vectors import similar_vectors
+
+    return similar_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+QUERIES |= {f.__name__: f for f in (op3_vectors,)}
