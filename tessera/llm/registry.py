@@ -115,3 +115,13 @@ def op3_vectors(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (op3_vectors,)}
+
+
+def op4_hpylm(spark, sf_dir):
+    """Every document scored by the hierarchical Pitman-Yor model."""
+    from tessera.llm.hpylm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op4_hpylm,)}
