@@ -9,7 +9,7 @@ from tessera.llm._shared import table
 VOCABULARY = "word_bpe_49k.json"
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(VOCABULARY)
@@ -19,7 +19,7 @@ def op1_packing(spark, sf_dir):
     """All documents packed into sequences of 2048 tokens along a Hilbert curve."""
     from tessera.llm.packing import pack
 
-    pieces = pack(table(spark, sf_dir, "documents"), _vocabulary())
+    pieces = pack(table(spark, sf_dir, "documents"), vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -57,7 +57,7 @@ def op9_bpe(spark, sf_dir):
     """Every text encoded and decoded with the word-level vocabulary."""
     from tessera.llm.bpe import encode_digests
 
-    return encode_digests(table(spark, sf_dir, "documents"), _vocabulary())
+    return encode_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op8_tiff, op9_bpe)}
