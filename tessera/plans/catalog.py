@@ -1,6 +1,8 @@
-"""All queries of the engine with their SQL, collected from the plan modules."""
+"""All queries of the engine with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import knowledge, search  # noqa: F401  they register themselves
+from tessera.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
