@@ -11,8 +11,6 @@ id, so a large group of copies is dealt over several partitions; an empty table
 
 from __future__ import annotations
 
-from array import array
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -109,20 +107,27 @@ def pack(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str =
     axes = [f"c{i}" for i in range(dims)]
 
     def tokens(batches):
-        b0 = bpe.load(vocab_path)
-        wide = "H" if b0.size < 1 << 16 else "I"
-        cache = bpe.cache_of(vocab_path, wide, lambda ids: array(wide, ids).tobytes())
-        project, end = token_projection(max(b0.size, end_id + 1), dims), array(wide, [end_id]).tobytes()
+        vocab = bpe.load(vocab_path)
+        cache = bpe.cache_of(vocab_path, "ids", bytes)
+        project, kind, end = token_projection(max(vocab.size, end_id + 1), dims), vocab.kind, vocab.pack(end_id)
         for b in batches:
             texts = b.column("t").to_pylist()
-            ids, points = [], []
             for lo, hi in bpe.chunks(texts):
-                for parts in cache.look_up(texts[lo:hi]):
-                    parts.append(end)
-                    ids.append(x := b"".join(parts))
-                    points.append(project[np.frombuffer(x, dtype=f"<u{2 if wide == 'H' else 4}")].mean(axis=0))
-            p = np.array(points, dtype=np.float64).reshape(len(ids), dims)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.binary()), *(pa.array(p[:, i]) for i in range(dims))], names=["id", "ids", *axes])
+                made, at, offsets = cache.look_up(texts[lo:hi])
+                flat = np.frombuffer(b"".join(made), dtype=kind)
+                sizes = np.fromiter(map(len, made), dtype=np.int32, count=len(made)) // kind.itemsize
+                first = np.cumsum(sizes, dtype=np.int32) - sizes
+                per = sizes[at]
+                ends = np.cumsum(per, dtype=np.int32)
+                ids = flat[np.repeat(first[at] - (ends - per), per) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+                cut = np.concatenate(([0], ends))[offsets]
+                along = np.concatenate((np.zeros((1, dims)), np.cumsum(project[flat], axis=0, dtype=np.float64)))
+                run_sums = along[first + sizes] - along[first]
+                sums = np.concatenate((np.zeros((1, dims)), np.cumsum(run_sums[at], axis=0)))
+                points = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(1, np.diff(cut))[:, None]
+                raw, cut = ids.tobytes(), (cut * kind.itemsize).tolist()
+                blobs = [raw[x:y] + end for x, y in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array(blobs, pa.binary()), *(pa.array(np.ascontiguousarray(points[:, i])) for i in range(dims))], names=["id", "ids", *axes])
 
     toks = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(tokens, f"id {id_type}, ids binary, " + ", ".join(f"{a} double" for a in axes))
     toks = materialize(toks, "pack-tokens")
@@ -137,7 +142,7 @@ def pack(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str =
         return pd.Series(hilbert_key(np.minimum((unit * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits))
 
     def fill(batches):
-        wide = "<u2" if bpe.load(vocab_path).size < 1 << 16 else "<u4"
+        wide = bpe.load(vocab_path).kind
         packer = _Packer((TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, size)
 
         def rows(found):
