@@ -324,13 +324,13 @@ def vector_status(spark, sf):
 
 EDGE, TAIL = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 # SQL's expressions don't look ahead: every separator is written twice, so neighbours don't share one
-NAMES = rf"""{BLOCKS}, up AS (SELECT id, doc_path, ordinal, regexp_replace(CASE WHEN ordinal % 4 = 0 THEN upper(translate(raw, '{X.FOLD_FROM}', '{X.FOLD_TO}')) ELSE raw END, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') AS raw FROM blocks),
+NAMES = rf"""{BLOCKS}, up AS (SELECT id, doc_path, ordinal, regexp_replace(CASE WHEN ordinal % 4 = 0 THEN upper(translate(raw, '{X.FOLD_FROM}ß', '{X.FOLD_TO}s')) ELSE raw END, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') AS raw FROM blocks),
 m AS (SELECT id, doc_path, ordinal, replace(unnest(list_concat(regexp_extract_all(raw, '{EDGE}([A-Z]{{2,}}){TAIL}', 1), regexp_extract_all(raw, '{EDGE}([A-Z][a-z]+(?:  [A-Z][a-z]+)+){TAIL}', 1))), '  ', ' ') AS name FROM up),
 mm AS (SELECT *, lower(regexp_replace(name, '[^\p{{L}}\p{{N}}]', '-', 'g')) AS entity_id FROM m)"""
 
 
 def _mentions(spark, sf):
-    up = F.when(F.col("ordinal") % 4 == 0, F.upper(F.translate("raw", X.FOLD_FROM, X.FOLD_TO))).otherwise(F.col("raw"))
+    up = F.when(F.col("ordinal") % 4 == 0, F.upper(F.translate("raw", X.FOLD_FROM + "ß", X.FOLD_TO + "s"))).otherwise(F.col("raw"))
     return compile.mentions(blocks(spark, sf).withColumn("raw", up), (compile.CAPITALS, compile.RUNS))
 
 
