@@ -10,7 +10,7 @@ from tessera.functions import text as X
 
 def walk(spark: SparkSession, path: str, layer: str = "raw") -> DataFrame:
     """path, text, layer of the Markdown files below a folder, hidden index folders left out."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,markdown}").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,markdown}").text(path, wholetext=True)
     root = path.rstrip("/").split("://")[-1]
     rel = F.regexp_replace(F.input_file_name(), rf"^.*?{root}/", "")
     return files.select(F.url_decode(rel).alias("path"), F.col("value").alias("text"), F.lit(layer).alias("layer")).filter(~F.col("path").rlike(r"(^|/)\.(index|git)/"))

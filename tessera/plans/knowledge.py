@@ -453,3 +453,27 @@ def hit_at_k(spark, sf):
 SELECT 'orphan' AS kind, page_id::VARCHAR AS subject FROM o UNION ALL SELECT 'stale', source || '/' || doc_id FROM documents WHERE doc_id % 7 = 0""")
 def lint_all(spark, sf):
     return quality.findings(orphan=lint_orphans(spark, sf), stale=lint_stale_pages(spark, sf))
+
+
+@query(f"WITH {BLOCKS} SELECT doc_path, count(*) AS n_blocks, min(ordinal) AS first, max(ordinal) AS last FROM blocks GROUP BY doc_path")
+def incremental_ingest(spark, sf):
+    """Blocks taken in by a stream over the document files, counted."""
+    import uuid
+
+    from tessera.session import shared_folder
+    from tessera.streaming.incremental import ingest
+
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    docs = read(spark, sf, "documents")
+    ingest(spark, f"{sf}/documents.parque[t]", docs.schema, f"{root}/blocks", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/blocks").groupBy("doc_path").agg(F.count("*").alias("n_blocks"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+
+
+@query(f"WITH {TURNS} SELECT layer, count(*) AS n, count(DISTINCT doc_path) AS docs, sum(length(raw))::BIGINT AS chars FROM turns GROUP BY layer")
+def layer_totals(spark, sf):
+    return turns(spark, sf).groupBy("layer").agg(F.count("*").alias("n"), F.countDistinct("doc_path").alias("docs"), F.sum(F.length("raw")).alias("chars"))
+
+
+@query(f"WITH {TURNS} SELECT count(*) AS n FROM turns")
+def stamp_rows(spark, sf):
+    return lifecycle.corpus_stamp(turns(spark, sf), "id", "raw").select("n")

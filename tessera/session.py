@@ -42,3 +42,13 @@ def ship_package(spark: SparkSession) -> None:
                 z.write(os.path.join(root, n), n)
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`; a temporary one only in local mode where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
