@@ -75,3 +75,82 @@ def affected_concepts(blocks: DataFrame, concepts: DataFrame, top: int = 10) ->
     terms = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0))))
     have = blocks.select(terms("raw").alias("term")).distinct()
     return concepts.select("concept", terms("summary").alias("term")).join(have, "term").groupBy("concept").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "concept").limit(top)
+
+
+def bullets(items, line):
+    """Lines of a list, each made by `line`, joined; a placeholder where there are none."""
+    return F.when(F.size(items) == 0, F.lit("- none")).otherwise(F.array_join(F.transform(items, line), "\n"))
+
+
+def entity_pages(found: DataFrame, facts: int = 8, aliases: int = 5) -> DataFrame:
+    """path, content of a page per entity: a draft with its aliases and its first facts and their citations."""
+    w = Window.partitionBy("entity_id").orderBy("doc_path", "ordinal", "id", "fact")
+    top = found.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= facts)
+    by = top.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "fact", "id"))), lambda x: F.struct(x["fact"].alias("fact"), x["id"].alias("id"))).alias("facts"))
+    names = found.groupBy("entity_id").agg(F.min(F.struct("doc_path", "ordinal", "name"))["name"].alias("name"), F.array_sort(F.collect_set("name")).alias("names"))
+    rows = by.join(names, "entity_id").withColumn("aliases", F.slice(F.filter("names", lambda x: x != F.col("name")), 1, aliases))
+    content = F.concat(F.lit("---\nconfidence: draft\n---\n# "), "name", F.lit("\n\n## Aliases\n"), bullets(F.col("aliases"), lambda a: F.concat(F.lit("- "), a)), F.lit("\n\n## Facts\n"), bullets(F.col("facts"), lambda x: F.concat(F.lit("- "), x["fact"], F.lit(" [["), x["id"], F.lit("]]"))), F.lit("\n\n## Conflicts\n- none\n"))
+    return rows.select(F.concat(F.lit("entities/"), "entity_id", F.lit(".md")).alias("path"), content.alias("content"))
+
+
+def confidence_of(content):
+    return F.coalesce(F.nullif(F.regexp_extract(content, r"(?m)\A---\n(?:.*\n)*?confidence: *(\w+)", 1), F.lit("")), F.lit("draft"))
+
+
+def conflicts_of(content):
+    return F.regexp_extract(content, r"(?s)## Conflicts\n(.*)\z", 1)
+
+
+def carry_forward(fresh: DataFrame, old: DataFrame) -> DataFrame:
+    """Fresh pages with what people have set on the old ones: a confidence over draft, conflicts that aren't the placeholder."""
+    rows = fresh.join(old.select("path", F.col("content").alias("was")), "path", "left")
+    level = confidence_of(F.col("was"))
+    text = F.when(F.col("was").isNotNull() & (level != "draft"), F.regexp_replace("content", r"(?m)^confidence: draft$", F.concat(F.lit("confidence: "), level))).otherwise(F.col("content"))
+    notes = conflicts_of(F.col("was"))
+    kept = F.col("was").isNotNull() & ~F.trim(notes).isin("", "- none")
+    head = F.regexp_replace(text, r"(?s)## Conflicts\n.*\z", "")
+    return rows.select("path", F.when(kept, F.concat(head, F.lit("## Conflicts\n"), notes)).otherwise(text).alias("content"))
+
+
+def promote(pages: DataFrame, verified: DataFrame) -> DataFrame:
+    """Pages one rung up the ladder where a verification (path) stands."""
+    rows = pages.join(verified.select("path", F.lit(True).alias("ok")).distinct(), "path", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    level = X.next_rung(confidence_of(F.col("content")), "ok")
+    return rows.select("path", F.regexp_replace("content", r"(?m)^confidence: \w+$", F.concat(F.lit("confidence: "), level)).alias("content"))
+
+
+def source_questions(sections: DataFrame, limit: int = 5) -> DataFrame:
+    """doc_path, questions: the first section titles of a document that aren't technical, as questions."""
+    rows = sections.filter(~F.col("title").rlike(r"^(__|p\.)") & (F.trim("title") != ""))
+    w = Window.partitionBy("doc_path").orderBy("ordinal", "id")
+    top = rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit)
+    return top.groupBy("doc_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "title"))), lambda x: F.concat(F.lit("What about "), x["title"], F.lit("?"))).alias("questions"))
+
+
+def retire_pages(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """Paths of source pages whose document (path) is gone."""
+    origin = F.regexp_replace(F.regexp_replace("path", "^sources/", ""), r"\.md$", "")
+    return pages.filter(F.col("path").startswith("sources/")).withColumn("origin", origin).join(documents.select(F.col("path").alias("origin")), "origin", "left_anti").select("path")
+
+
+def faq(questions: DataFrame, evidence: DataFrame, cites: int = 3) -> DataFrame:
+    """qid, entry: a question with the first evidence (qid, rank, id, raw) as its answer and its citations."""
+    top = evidence.filter(F.col("rank") < cites).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "raw"))).alias("e"))
+    body = F.concat(F.lit("## "), "question", F.lit("\n"), F.substring(F.col("e")[0]["raw"], 1, 180), F.lit("\n"), F.array_join(F.transform("e", lambda x: F.concat(F.lit("[["), x["id"], F.lit("]]"))), " "))
+    return questions.join(top, "qid").select("qid", body.alias("entry"))
+
+
+def answer_pages(answers: DataFrame, links: int = 8) -> DataFrame:
+    """path, content of draft pages of (question, answer, evidence ids)."""
+    content = F.concat(F.lit("---\nconfidence: draft\n---\n# "), "question", F.lit("\n\n"), "answer", F.lit("\n\n## Evidence\n"), bullets(F.slice("evidence", 1, links), lambda x: F.concat(F.lit("- [["), x, F.lit("]]"))), F.lit("\n"))
+    return answers.select(F.concat(F.lit("answers/"), X.slug("question"), F.lit(".md")).alias("path"), content.alias("content"))
+
+
+def synthesis_pages(entities_: DataFrame, limit: int = 10, sources: int = 3) -> DataFrame:
+    """topic, content: the entities (topic, entity_id, n_facts, doc_path) with most facts and the first sources."""
+    w = Window.partitionBy("topic").orderBy(F.desc("n_facts"), "entity_id")
+    top = entities_.groupBy("topic", "entity_id").agg(F.sum("n_facts").alias("n_facts")).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit)
+    names = top.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "entity_id"))), lambda x: x["entity_id"]).alias("names"))
+    docs = entities_.select("topic", "doc_path").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("topic").orderBy("doc_path"))).filter(F.col("rn") <= sources).groupBy("topic").agg(F.array_sort(F.collect_list("doc_path")).alias("docs"))
+    content = F.concat(F.lit("# "), "topic", F.lit("\n"), bullets(F.col("names"), lambda x: F.concat(F.lit("- [[entities/"), x, F.lit("]]"))), F.lit("\nsources: "), F.array_join("docs", ", "))
+    return names.join(docs, "topic").select("topic", content.alias("content"))

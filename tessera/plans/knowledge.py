@@ -477,3 +477,55 @@ def layer_totals(spark, sf):
 @query(f"WITH {TURNS} SELECT count(*) AS n FROM turns")
 def stamp_rows(spark, sf):
     return lifecycle.corpus_stamp(turns(spark, sf), "id", "raw").select("n")
+
+
+@query(f"""WITH {NAMES}, f AS (SELECT entity_id, id, row_number() OVER (PARTITION BY entity_id ORDER BY doc_path, ordinal, id) AS rn FROM mm),
+n AS (SELECT entity_id, arg_min(name, (doc_path, ordinal, name)) AS name FROM mm GROUP BY entity_id)
+SELECT 'entities/' || entity_id || '.md' AS path, any_value(name) AS title, string_agg(id, ' ' ORDER BY rn) AS cited FROM f JOIN n USING (entity_id) WHERE rn <= 8 GROUP BY entity_id""")
+def entity_pages(spark, sf):
+    pages = compile.entity_pages(_mentions(spark, sf))
+    cited = F.array_join(F.regexp_extract_all("content", F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1)), " ")
+    return pages.select("path", F.regexp_extract("content", r"(?m)^# (.*)$", 1).alias("title"), cited.alias("cited"))
+
+
+@query("""SELECT 'entities/' || doc_id || '.md' AS path, CASE doc_id % 3 WHEN 0 THEN 'high' ELSE 'draft' END AS confidence, CASE WHEN doc_id % 2 = 0 AND doc_id % 5 <> 0 THEN '- ⚠ ' || source ELSE '- none' END AS conflicts FROM documents""")
+def page_carry_forward(spark, sf):
+    d = read(spark, sf, "documents")
+    path = F.concat(F.lit("entities/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    page = lambda level, notes: F.concat(F.lit("---\nconfidence: "), level, F.lit("\n---\n# t\n\n## Conflicts\n"), notes, F.lit("\n"))
+    fresh = d.select(path.alias("path"), page(F.lit("draft"), F.lit("- none")).alias("content"))
+    notes = F.when((F.col("doc_id") % 2 == 0) & (F.col("doc_id") % 5 != 0), F.concat(F.lit("- ⚠ "), "source")).otherwise(F.lit("- none"))
+    old = d.select(path.alias("path"), page(F.when(F.col("doc_id") % 3 == 0, "high").otherwise("draft"), notes).alias("content"))
+    out = compile.carry_forward(fresh, old)
+    return out.select("path", compile.confidence_of(F.col("content")).alias("confidence"), F.trim(F.regexp_replace(compile.conflicts_of(F.col("content")), "\n", "")).alias("conflicts"))
+
+
+@query("SELECT 'sources/' || source || '/' || doc_id || '.md' AS path FROM documents WHERE doc_id % 6 = 1")
+def retire_pages(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", _path().alias("path"))
+    pages = d.select(F.concat(F.lit("sources/"), "path", F.lit(".md")).alias("path"))
+    return compile.retire_pages(pages, d.filter("doc_id % 6 <> 1"))
+
+
+@query(f"""WITH {SECTIONS}, t AS (SELECT doc_path, ordinal, substr(raw, 1, 30) AS title, id FROM blocks), r AS (SELECT *, row_number() OVER (PARTITION BY doc_path ORDER BY ordinal, id) AS rn FROM t WHERE NOT regexp_matches(title, '^(__|p\\.)') AND trim(title) <> '')
+SELECT doc_path, string_agg('What about ' || title || '?', ' | ' ORDER BY rn) AS questions FROM r WHERE rn <= 5 GROUP BY doc_path""")
+def source_questions(spark, sf):
+    s = blocks(spark, sf).select("doc_path", "ordinal", "id", F.substring("raw", 1, 30).alias("title"))
+    return compile.source_questions(s).select("doc_path", F.array_join("questions", " | ").alias("questions"))
+
+
+@query(f"""WITH {TURNS}, e AS (SELECT doc_path AS qid, ordinal - 1 AS rank, id, raw FROM turns WHERE ordinal > 0), q AS (SELECT doc_path AS qid, substr(raw, 1, 60) AS question FROM turns WHERE ordinal = 0)
+SELECT qid, '## ' || any_value(question) || chr(10) || substr(arg_min(raw, rank), 1, 180) || chr(10) || string_agg('[[' || id || ']]', ' ' ORDER BY rank) AS entry FROM q JOIN e USING (qid) WHERE rank < 3 GROUP BY qid""")
+def faq(spark, sf):
+    t = turns(spark, sf)
+    q = t.filter("ordinal = 0").select(F.col("doc_path").alias("qid"), F.substring("raw", 1, 60).alias("question"))
+    e = t.filter("ordinal > 0").select(F.col("doc_path").alias("qid"), (F.col("ordinal") - 1).alias("rank"), "id", "raw")
+    return compile.faq(q, e)
+
+
+@query("""WITH e AS (SELECT lang AS topic, source AS entity_id, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, entity_id) AS rn FROM e),
+d AS (SELECT lang AS topic, source || '/' || doc_id AS doc FROM documents), s AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY doc) AS rn FROM d)
+SELECT topic, '# ' || topic || chr(10) || (SELECT string_agg('- [[entities/' || entity_id || ']]', chr(10) ORDER BY rn) FROM r WHERE r.topic = x.topic AND rn <= 10) || chr(10) || 'sources: ' || (SELECT string_agg(doc, ', ' ORDER BY doc) FROM s WHERE s.topic = x.topic AND rn <= 3) AS content FROM (SELECT DISTINCT lang AS topic FROM documents WHERE lang IS NOT NULL) x""")
+def synthesis_pages(spark, sf):
+    d = read(spark, sf, "documents").filter("lang is not null")
+    return compile.synthesis_pages(d.select(F.col("lang").alias("topic"), F.col("source").alias("entity_id"), F.lit(1).alias("n_facts"), _path().alias("doc_path")))
