@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +58,39 @@ def crc_mod(value, modulus: int) -> int:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n hash partitions a bigint that `repartition(n, key)` sends there: keys so chosen are dealt evenly."""
+    found = spark.range(40 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("k")).collect()
+    keys = {r.p: r.k for r in found}
+    return [keys.get(p, p) for p in range(n)]
+
+
+def release_memory() -> None:
+    """Give a Python worker's free memory back to the system before another large task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what is free
+
+
+_CLEAR: dict[str, Callable[[], None]] = {}
+_ENTERED: list[str] = []
+
+
+def worker_cache(name: str, clear: Callable[[], None]) -> None:
+    """Tell how to empty what an operator keeps in a Python worker between its tasks."""
+    _CLEAR[name] = clear
+
+
+def enter(name: str) -> None:
+    """An operator's task begins: what other operators have kept in this worker goes, so their caches never add up."""
+    if _ENTERED != [name]:
+        _ENTERED[:] = [name]
+        for other, clear in _CLEAR.items():
+            if other != name:
+                clear()
+        release_memory()

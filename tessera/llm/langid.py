@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import id_remainder, text_or_empty
+from tessera.llm._shared import enter, id_remainder, text_or_empty, worker_cache
 
 UNKNOWN = "und"
 PIECE = 32
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 class _Labeller:
     """Summed position log probabilities of pieces, kept as they are met; bounded."""
 
-    def __init__(self, net: ByteGRU, limit: int = 500_000):
+    def __init__(self, net: ByteGRU, limit: int = 250_000):
         self.net, self.limit, self.at, self.sums = net, limit, {}, np.zeros((1024, len(net.langs)), dtype=np.float32)
 
     def learn(self, pieces: list[bytes]) -> None:
@@ -247,6 +247,7 @@ class _Labeller:
 
 
 _LABELLERS: dict[int, _Labeller] = {}
+worker_cache("langid", _LABELLERS.clear)
 
 
 def language_column(net: ByteGRU, text):
@@ -255,6 +256,7 @@ def language_column(net: ByteGRU, text):
 
     @F.pandas_udf("lang_pred string, score double")
     def label(texts: pd.Series) -> pd.DataFrame:
+        enter("langid")
         values = texts.tolist()
         if not net.langs:
             return pd.DataFrame({"lang_pred": [UNKNOWN] * len(values), "score": [0.0] * len(values)})

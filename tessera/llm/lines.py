@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import materialize, text_or_empty
+from tessera.llm._shared import enter, materialize, text_or_empty
 
 # Fixed value: the white space that is stripped from both ends of a line.
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -39,6 +39,7 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _line_rows(min_key: int):
     def run(batches):
+        enter("lines")
         for b in batches:
             ids, tks, texts = b.column("id"), b.column("tk").to_numpy(), b.column("t").to_pylist()
             owner, pos, digests = [], [], []
@@ -61,6 +62,7 @@ def _stream(min_docs: int, keep_first: bool):
     partition's ends (`n` is 1 for the run's first row); 2: `n` documents of such a run."""
 
     def run(batches):
+        enter("lines")
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
         carry: pa.Table | None = None  # the open run as far as it is not settled
         state = {"key": None, "docs": 0, "last": None, "settled": False, "edge": True}
@@ -217,6 +219,7 @@ def apply_bitmaps(df: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_c
     both = left.join(maps, F.expr("id_ <=> id and tk_ = tk")).select("row_", "t_", "n_lines", "n_dropped", "bitmap")
 
     def run(batches):
+        enter("lines")
         for b in batches:
             kept = pa.array([kept_text(t, m) for t, m in zip(b.column("t_").to_pylist(), b.column("bitmap").to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("row_"), b.column("n_lines"), b.column("n_dropped"), kept], names=["row_", "n_lines", "n_dropped", "kept_"])

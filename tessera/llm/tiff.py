@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import text_or_empty
+from tessera.llm._shared import enter, text_or_empty
 
 # Fixed values of the format: tags, compression schemes, field sizes by type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -267,6 +267,7 @@ def text_to_tiff(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        enter("tiff")
         for b in batches:
             ids, texts = b.column("id"), b.column("t").to_pylist()
             for lo in range(0, len(texts), 500):
@@ -287,6 +288,7 @@ def tiff_pages(df: DataFrame, media_col: str = "media", id_col: str = "doc_id")
     kinds = [pa.int64(), pa.string(), *[pa.int32()] * 8, pa.binary(), pa.string()]
 
     def run(batches):
+        enter("tiff")
         for b in batches:
             ids, media = b.column("id"), b.column("m").to_pylist()
             for lo in range(0, len(media), 500):
@@ -325,6 +327,7 @@ def payload_digests(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        enter("tiff")
         held: list[bytes] = []
         for b in batches:
             out, own = [], []

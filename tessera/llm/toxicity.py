@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import id_remainder, text_or_empty
+from tessera.llm._shared import enter, id_remainder, materialize, text_or_empty
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 5, 7)
@@ -60,7 +60,7 @@ class _WordScores(dict):
     def __missing__(self, word: str) -> float:
         scores = self.model.scores
         s = next((scores[u] for u in reversed(units(word)) if u in scores), self.model.gap)
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = s
         return s
@@ -88,8 +88,7 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 def evidence(model: ToxicModel, scores: np.ndarray) -> tuple[float, float, list[tuple[int, int, float]]]:
     """The largest normalised segment score, the sum of the significant ones, and those segments."""
-    n = max(1, len(scores))
-    floor = math.log(model.k * n)
+    floor = math.log1p(model.k * len(scores))  # never negative: a text without evidence has none, however short
     found = [(a, b, model.lam * s - floor) for a, b, s in maximal_segments(scores)] if len(scores) else []
     good = [x for x in found if x[2] > 0]
     top = max((x[2] for x in found), default=-floor)
@@ -116,6 +115,7 @@ def text_scorer(model: ToxicModel):
 
 
 def _count_units(batches):
+    enter("toxicity")
     counts: dict[str, list[int]] = {}
 
     def flush():
@@ -132,7 +132,7 @@ def _count_units(batches):
                         counts[u][y] += 1
                     else:
                         counts[u] = [1, 0] if y == 0 else [0, 1]
-            if len(counts) > 400_000:
+            if len(counts) > 150_000:
                 yield flush()
     if counts:
         yield flush()
@@ -161,8 +161,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("t")).join(F.broadcast(lab), "id")  # bounded by max_labelled
     fold = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5))
     counts = rows.filter(fold != 0).select("t", "y").mapInArrow(_count_units, "unit string, toxic bigint, clean bigint").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).filter("t + c >= 3")
-    from tessera.llm._shared import materialize
-
     counts = materialize(counts, "toxic-counts")
     whole = counts.filter(F.col("unit").endswith(FULL)).agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     if not whole or not whole.t or not whole.c:
@@ -201,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             model.k = float(np.clip(math.exp(np.mean(xs) - 0.5772), 1e-3, 1.0))
         feats = []
         for r in cal:
-            floor = math.log(model.k * max(1, r.n))
+            floor = math.log1p(model.k * r.n)
             norm = [model.lam * s - floor for s in r.segments]
             feats.append((max(norm, default=-floor), math.log1p(sum(v for v in norm if v > 0))))
         model.curve = _fit_curve(np.array(feats), np.array([float(r.y) for r in cal]))
@@ -250,6 +248,7 @@ def toxicity_column(model: ToxicModel, text):
 
     @F.pandas_udf("score double, passage_start int, passage_end int, passages int")
     def score(texts: pd.Series) -> pd.DataFrame:
+        enter("toxicity")
         return pd.DataFrame(text_scorer(model)(texts.tolist()), columns=["score", "passage_start", "passage_end", "passages"])
 
     return score.asNondeterministic()(text)
