@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import materialize, partitions
+from tessera.llm._shared import enter, materialize, partitions
 from tessera.llm.components import components
 
 
@@ -80,10 +80,17 @@ def buckets_of(x: np.ndarray, hashes: int, tables: int, probes: int) -> np.ndarr
     return out
 
 
-def _rows(hashes: int, tables: int, probes: int):
+def code_kind(dim: int, hashes: int) -> str:
+    """The smallest integer that holds the bucket numbers."""
+    d = 1 << max(1, (dim - 1).bit_length())
+    return "<i4" if (dim + 1) * (2 * d + 1) ** hashes < 1 << 31 else "<i8"
+
+
+def _rows(hashes: int, tables: int, probes: int, kind: str, codes_as: str):
     """Per usable vector: id, two hash halves, vector, bucket numbers; unusable vectors have a null vector."""
 
     def run(batches):
+        enter("vectors")
         for b in batches:
             v = b.column("v").to_pylist()
             h1, h2, vec, codes = [], [], [], []
@@ -105,20 +112,21 @@ def _rows(hashes: int, tables: int, probes: int):
                 m = m / np.abs(m).max(axis=1, keepdims=True)
                 c = buckets_of(m / np.linalg.norm(m, axis=1, keepdims=True), hashes, tables, probes)
                 for k, row in zip(at, c):
-                    codes[k] = row.tobytes()
-            small = [None if x is None else x.tobytes() for x in vec]
+                    codes[k] = row.astype(codes_as).tobytes()
+            small = [None if x is None else x.astype(kind).tobytes() for x in vec]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(small, pa.binary()), pa.array(codes, pa.binary())], names=["id", "h1", "h2", "vec", "codes"])
 
     return run
 
 
-def _spread(tables: int, probes: int):
+def _spread(tables: int, probes: int, codes_as: str):
     """A row per bucket of each vector."""
 
     def run(batches):
+        enter("vectors")
         for b in batches:
             n = b.num_rows
-            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), dtype=np.int64).reshape(n, tables * probes)
+            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), dtype=codes_as).astype(np.int64).reshape(n, tables * probes)
             for lo in range(0, n, 500):
                 part = codes[lo : lo + 500]
                 own = pa.array(np.repeat(np.arange(lo, lo + len(part)), tables * probes))
@@ -128,11 +136,11 @@ def _spread(tables: int, probes: int):
     return run
 
 
-def _verify(num: float, tables: int, probes: int):
+def _verify(num: float, tables: int, probes: int, kind: str, codes_as: str):
     """Reads rows sorted by cell (t, code, i, j); returns kind 0: links of a vector, 1: a link of the spanning forest."""
 
     def cell(t: int, code: int, i: int, j: int, ids, mult, block, vecs, codes):
-        x = np.stack([np.frombuffer(v) for v in vecs])
+        x = np.stack([np.frombuffer(v, dtype=kind) for v in vecs]).astype(np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         near = x @ x.T >= num
@@ -149,13 +157,13 @@ def _verify(num: float, tables: int, probes: int):
                 break
             lab = low
         a, b = np.nonzero(np.triu(near))
-        c = np.stack([np.frombuffer(v, dtype=np.int64).reshape(tables, probes) for v in codes])
+        c = np.stack([np.frombuffer(v, dtype=codes_as).reshape(tables, probes) for v in codes])
         mine = np.ones(len(a), dtype=bool)
         for lo in range(0, len(a), 200_000):
             ca, cb = c[a[lo : lo + 200_000]], c[b[lo : lo + 200_000]]
             for s in range(t):
                 mine[lo : lo + 200_000] &= ~(ca[:, s, :, None] == cb[:, s, None, :]).any(axis=(1, 2))
-            both = np.where((ca[:, t, :, None] == cb[:, t, None, :]).any(axis=2), ca[:, t], np.iinfo(np.int64).max).min(axis=1)
+            both = np.where((ca[:, t, :, None] == cb[:, t, None, :]).any(axis=2), ca[:, t], np.iinfo(codes_as).max).min(axis=1)
             mine[lo : lo + 200_000] &= both == code
         a, b = a[mine], b[mine]
         links = np.bincount(a, weights=mult[b], minlength=len(ids)) + np.bincount(b, weights=mult[a], minlength=len(ids))
@@ -164,6 +172,7 @@ def _verify(num: float, tables: int, probes: int):
         return some, links[some].astype(np.int64), tied, lab[tied]
 
     def run(batches):
+        enter("vectors")
         held: list[tuple] = []
         key = None
 
@@ -200,20 +209,22 @@ def similar_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     id_type = df.schema[id_col].dataType.simpleString()
     src = df.select(df[id_col].alias("id"), df[vector_col].alias("v"))
     shape = src.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    hashes, tables, probes = plan_of(shape.n, max(1, shape.d or 1))
-    rows = materialize(src.mapInArrow(_rows(hashes, tables, probes), f"id {id_type}, h1 bigint, h2 bigint, vec binary, codes binary"), "vector-rows")
+    hashes, tables, probes = plan_of(shape.n, dim := max(1, shape.d or 1))
+    kind = "<f4" if df.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
+    codes_as = code_kind(dim, hashes)
+    rows = materialize(src.mapInArrow(_rows(hashes, tables, probes, kind, codes_as), f"id {id_type}, h1 bigint, h2 bigint, vec binary, codes binary"), "vector-rows")
     good = rows.filter("vec is not null and id is not null")
     classes = good.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
     reps = good.join(classes, ["h1", "h2"]).filter("id = rep").dropDuplicates(["h1", "h2"]).select("id", "m", "vec", "codes")
-    spread = reps.mapInArrow(_spread(tables, probes), f"t int, code bigint, id {id_type}, m bigint, vec binary, codes binary")
-    sizes = reps.select("codes").mapInArrow(_bucket_counts(tables, probes), "t int, code bigint, n bigint").groupBy("t", "code").agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
+    spread = reps.mapInArrow(_spread(tables, probes, codes_as), f"t int, code bigint, id {id_type}, m bigint, vec binary, codes binary")
+    sizes = reps.select("codes").mapInArrow(_bucket_counts(tables, probes, codes_as), "t int, code bigint, n bigint").groupBy("t", "code").agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
     sizes = materialize(sizes, "vector-buckets")
     blocks = F.ceil(F.col("n") / block).cast("int")
     dealt = spread.join(sizes, ["t", "code"]).withColumn("block", F.pmod(F.xxhash64("id"), blocks.cast("bigint")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("t", "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "m", "block", "vec", "codes")
     cells = dealt.repartition(partitions(spark), "t", "code", "i", "j").sortWithinPartitions("t", "code", "i", "j", "id")
-    found = materialize(cells.mapInArrow(_verify(cosine, tables, probes), f"kind int, a {id_type}, b {id_type}, n bigint"), "vector-links")
+    found = materialize(cells.mapInArrow(_verify(cosine, tables, probes, kind, codes_as), f"kind int, a {id_type}, b {id_type}, n bigint"), "vector-links")
     counts = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     tied = components(found.filter("kind = 1").select("a", "b"), "vector-components").withColumnRenamed("id", "rep")
     done = classes.join(counts, "rep", "left").join(tied, "rep", "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
@@ -222,10 +233,11 @@ def similar_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
-def _bucket_counts(tables: int, probes: int):
+def _bucket_counts(tables: int, probes: int, codes_as: str):
     def run(batches):
+        enter("vectors")
         for b in batches:
-            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), dtype=np.int64).reshape(-1, tables * probes)
+            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), dtype=codes_as).astype(np.int64).reshape(-1, tables * probes)
             t = np.tile(np.repeat(np.arange(tables, dtype=np.int64), probes), len(codes))
             both, n = np.unique(np.stack([t, codes.reshape(-1)]), axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(both[0].astype(np.int32)), pa.array(both[1]), pa.array(n.astype(np.int64))], names=["t", "code", "n"])
