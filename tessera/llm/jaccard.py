@@ -20,14 +20,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import materialize, text_or_empty
+from tessera.llm._shared import enter, materialize, text_or_empty, worker_cache
 from tessera.llm.components import components
 
 LEVELS = 4
 WORD_BUCKETS = 1 << 18
+BROADCAST_IDS = 2_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -35,13 +36,14 @@ class _WordHashes(dict):
     """64-bit hashes of words as they are met; bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
 _WORDS = _WordHashes()
+worker_cache("jaccard", _WORDS.clear)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -75,6 +77,11 @@ def least_overlap(n, num: int, den: int):
     return -(-n * num // den)
 
 
+def index_overlap(n, num: int, den: int):
+    """The overlap that a set of n tokens must have with any partner that is not smaller."""
+    return -(-2 * n * num // (num + den))
+
+
 @dataclass
 class Frequencies:
     """Documents in all; documents per word bucket; the heaviest n-grams (sorted) and their counts."""
@@ -102,6 +109,7 @@ def _statistics(n: int, share: float):
     """Partial counts of a task: kind 0 documents, 1 word buckets, 2 n-grams that are heavy in a run of its documents."""
 
     def run(batches):
+        enter("jaccard")
         buckets, docs = np.zeros(WORD_BUCKETS, dtype=np.int64), 0
         held: list[np.ndarray] = []
         size = 0
@@ -128,7 +136,7 @@ def _statistics(n: int, share: float):
                 buckets[np.unique((w % np.uint64(WORD_BUCKETS)).astype(np.int64))] += 1
                 held.append(np.unique(shingles(w, n)))
                 size += len(held[-1])
-                if size > 3_000_000:
+                if size > 1_500_000:
                     yield heavy()
         if (x := heavy()) is not None:
             yield x
@@ -158,6 +166,7 @@ def _sets(freq, n: int, num: int, den: int):
     """Per document: set size, fingerprint of the set, the longest prefix in the common order."""
 
     def run(batches):
+        enter("jaccard")
         f: Frequencies = freq.value
         for b in batches:
             sizes, f1, f2, prefixes = [], [], [], []
@@ -187,7 +196,8 @@ def _in_text_order(g: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _postings(num: int, den: int):
-    """A row per prefix token: the level is the smallest l whose prefix holds it."""
+    """A row per prefix token: its place in the order, and the smallest l whose prefix holds it, for the larger set of a
+    pair (`level`), which looks tokens up, and for the smaller (`inner`), which is looked up and has a shorter prefix."""
 
     def run(batches):
         for b in batches:
@@ -198,7 +208,8 @@ def _postings(num: int, den: int):
             place = np.arange(len(own)) - np.repeat(np.cumsum(per) - per, per)
             n = sizes[own]
             level = np.maximum(1, place + 1 - (n - least_overlap(n, num, den)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else np.array([], dtype=np.int64)), b.column("id").take(pa.array(own)), pa.array(n), pa.array(level.astype(np.int32))], names=["token", "id", "n", "level"])
+            inner = np.maximum(1, place + 1 - (n - index_overlap(n, num, den)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else np.array([], dtype=np.int64)), b.column("id").take(pa.array(own)), pa.array(n), pa.array(place.astype(np.int32)), pa.array(level.astype(np.int32)), pa.array(inner.astype(np.int32))], names=["token", "id", "n", "place", "level", "inner"])
 
     return run
 
@@ -206,10 +217,13 @@ def _postings(num: int, den: int):
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = materialize(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]), "jaccard-texts")
+    ids = materialize(ids, "jaccard-ids")
+    few = ids.count() <= BROADCAST_IDS  # else the texts are shuffled to them
+    texts = materialize(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"]), "jaccard-texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
+        enter("jaccard")
         for b in batches:
             ta, tb = b.column("ta"), b.column("tb")
             keep = []
@@ -240,27 +254,35 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = some.select("id", "f1", "f2").join(classes.filter("copies > 1"), ["f1", "f2"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     copies = materialize(copies, "jaccard-copies")
     reps = some.select("id", "n", "prefix").join(copies.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
-    post = materialize(reps.dropDuplicates(["id"]).mapInArrow(_postings(num, den), f"token bigint, id {id_type}, n bigint, level int"), "jaccard-postings")
-    # posting lists of one document match nothing
-    lists = post.groupBy("token").agg(F.count("*").alias("docs"), F.min(F.struct("n", "id")).alias("pivot")).filter("docs > 1")
-    met = materialize(post.join(lists.select("token", F.col("pivot.n").alias("pn"), F.col("pivot.id").alias("pid")), "token"), "jaccard-met")
-    near = F.expr(f"{den} * least(n, pn) >= {num} * greatest(n, pn)")
+    post = materialize(reps.dropDuplicates(["id"]).mapInArrow(_postings(num, den), f"token bigint, id {id_type}, n bigint, place int, level int, inner int"), "jaccard-postings")
+    # posting lists of one document match nothing; the pivot of a list is the document that has the token earliest, hence
+    # the fewest rare tokens of its own
+    lists = post.groupBy("token").agg(F.count("*").alias("docs"), F.min(F.struct("place", "n", "id")).alias("pivot")).filter("docs > 1")
+    met = materialize(post.join(lists.select("token", "docs", F.col("pivot.n").alias("pn"), F.col("pivot.id").alias("pid")), "token"), "jaccard-met")
+    near = f"{den} * least(n, pn) >= {num} * greatest(n, pn)"
     share = F.greatest(F.lit(2.0), 0.3 * (F.col("n") - F.ceil(F.col("n") * num / den) + LEVELS))
     stars = met.filter("id <> pid").filter(near).groupBy("id", "pid").agg(F.count("*").alias("shared"), F.first("n").alias("n")).filter(F.col("shared") >= share).select(F.col("id").alias("a"), F.col("pid").alias("b"))
     tied = _verified(materialize(stars, "jaccard-stars"), docs, n, num, den)
     group = components(tied, "jaccard-groups")
-    labelled = met.select("token", "id", "n", "level").join(group, "id", "left").select("token", "id", "n", "level", F.coalesce("component", "id").alias("g"))
-    counts = [F.sum((F.col("level") <= k).cast("bigint")).alias(f"c{k}") for k in range(1, LEVELS + 1)]
+    labelled = met.select("token", "id", "n", "place", "level", "inner").join(group, "id", "left").select("token", "id", "n", "place", "level", "inner", F.coalesce("component", "id").alias("g"))
+    counts = [F.sum((F.col("inner") <= k).cast("bigint")).alias(f"c{k}") for k in range(1, LEVELS + 1)]
     across = labelled.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), *counts).filter("g1 <> g2").drop("g1", "g2")
     open_ = materialize(labelled.join(across, "token"), "jaccard-open")
-    cost = [F.sum(F.when(F.col("level") <= k, F.col(f"c{k}") - 1).otherwise(0)) * (look_up_cost + 1.0 / k) + F.lit(0.0) for k in range(1, LEVELS + 1)]
+    # looking up costs the lists' lengths; the candidates that share k tokens are about as many as the k-th longest list
+    cost = []
+    for k in range(1, LEVELS + 1):
+        c = F.when(F.col("level") <= k, F.col(f"c{k}"))
+        cost.append(look_up_cost * F.coalesce(F.sum(c), F.lit(0)) + F.coalesce(F.get(F.sort_array(F.collect_list(c), asc=False), F.lit(k - 1)), F.lit(0)))
     # the least cost wins, among levels that the set's overlap allows
     choice = open_.groupBy("id").agg(F.first("n").alias("n_"), *(c.alias(f"x{k}") for k, c in enumerate(cost, 1)))
     best = F.array_min(F.array(*(F.when(F.ceil(F.col("n_") * num / den) >= k, F.struct(F.col(f"x{k}").alias("x"), F.lit(k).alias("l"))) for k in range(1, LEVELS + 1))))
     choice = choice.select("id", best["l"].alias("l"))
-    probe = open_.join(choice, "id").filter("level <= l").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), "l")
-    index = open_.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("level").alias("lb"))
-    pairs = probe.join(index, "token").filter("ga <> gb and lb <= l and (na > nb or (na = nb and a > b))").filter(f"{den} * nb >= {num} * na").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("l").alias("l")).filter("shared >= l").select("a", "b")
+    probe = open_.join(choice, "id").filter("level <= l").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), F.col("place").alias("pa"), "l")
+    index = open_.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("place").alias("pb"), "inner")
+    # the overlap that this pair needs makes both prefixes shorter still
+    need = f"ceil({num} * (na + nb) / {num + den})"
+    near = probe.join(index, "token").filter("ga <> gb and inner <= l and (na > nb or (na = nb and a > b))").filter(f"{den} * nb >= {num} * na and pa < na - {need} + l and pb < nb - {need} + l")
+    pairs = near.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("l").alias("l")).filter("shared >= l").select("a", "b")
     rest = _verified(materialize(pairs, "jaccard-pairs"), docs, n, num, den)
     found = components(tied.unionByName(rest).unionByName(copies), "jaccard-components")
     return sets.select("id", "n").join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
