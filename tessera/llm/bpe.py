@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tessera.llm._shared import text_or_empty
+from tessera.llm._shared import enter, text_or_empty, worker_cache
 
 # Fixed values of the vocabulary format: byte-to-character table, contractions, end-of-word mark.
 END_OF_WORD = "</w>"
@@ -251,13 +251,23 @@ def load(path: str) -> WordBPE:
     return _LOADED["bpe", path]  # type: ignore[return-value]
 
 
+def _clear() -> None:
+    for c in _LOADED.values():
+        if isinstance(c, WordCache):
+            c.known = {}
+
+
+worker_cache("bpe", _clear)
+
+
 def cache_of(path: str, kind: str, make) -> WordCache:
+    enter("bpe")
     if (kind, path) not in _LOADED:
         _LOADED[kind, path] = WordCache(load(path), make)
     return _LOADED[kind, path]  # type: ignore[return-value]
 
 
-def chunks(texts: list[str], limit: int = 1 << 22):
+def chunks(texts: list[str], limit: int = 6 << 20):
     """Runs of texts of about `limit` characters together."""
     at = 0
     while at < len(texts):

@@ -121,13 +121,12 @@ def pack(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str =
                 ends = np.cumsum(per, dtype=np.int32)
                 ids = flat[np.repeat(first[at] - (ends - per), per) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
                 cut = np.concatenate(([0], ends))[offsets]
-                along = np.concatenate((np.zeros((1, dims)), np.cumsum(project[flat], axis=0, dtype=np.float64)))
-                run_sums = along[first + sizes] - along[first]
-                sums = np.concatenate((np.zeros((1, dims)), np.cumsum(run_sums[at], axis=0)))
-                points = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(1, np.diff(cut))[:, None]
+                run_sums = np.add.reduceat(project[flat], np.minimum(first, len(flat) - 1), axis=0) if len(flat) else np.zeros((len(made), dims), dtype=np.float32)
+                run_sums[sizes == 0] = 0
+                points = np.add.reduceat(run_sums[at], offsets[:-1], axis=0) / np.maximum(1, np.diff(cut))[:, None]  # a text has one run at least
                 raw, cut = ids.tobytes(), (cut * kind.itemsize).tolist()
                 blobs = [raw[x:y] + end for x, y in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array(blobs, pa.binary()), *(pa.array(np.ascontiguousarray(points[:, i])) for i in range(dims))], names=["id", "ids", *axes])
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array(blobs, pa.binary()), *(pa.array(points[:, i].astype(np.float64)) for i in range(dims))], names=["id", "ids", *axes])
 
     toks = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(tokens, f"id {id_type}, ids binary, " + ", ".join(f"{a} double" for a in axes))
     toks = materialize(toks, "pack-tokens")
