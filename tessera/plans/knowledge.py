@@ -411,9 +411,9 @@ def lint_conflicts(spark, sf):
     return quality.open_conflicts(rows)
 
 
-@query(f"WITH {PAGE_EDGES} SELECT page_id AS page FROM pages WHERE page_id NOT IN (SELECT src FROM edges) AND page_id NOT IN (SELECT dst FROM edges)")
+@query(f"WITH {PAGE_EDGES} SELECT page_id AS page FROM pages WHERE page_id NOT IN (SELECT src FROM edges WHERE w >= 4) AND page_id NOT IN (SELECT dst FROM edges WHERE w >= 4)")
 def lint_orphans(spark, sf):
-    e = _page_edges(spark, sf).select(F.col("src").alias("src_page"), F.col("dst").alias("dst_page"))
+    e = _page_edges(spark, sf).filter("w >= 4").select(F.col("src").alias("src_page"), F.col("dst").alias("dst_page"))
     return quality.orphans(read(spark, sf, "pages").select(F.col("page_id").alias("page")), e)
 
 
@@ -449,7 +449,7 @@ def hit_at_k(spark, sf):
     return quality.hit_at_k(res, gold, e.select(F.col("vec_id").alias("id")))
 
 
-@query(f"""WITH {PAGE_EDGES}, o AS (SELECT page_id FROM pages WHERE page_id NOT IN (SELECT src FROM edges) AND page_id NOT IN (SELECT dst FROM edges))
+@query(f"""WITH {PAGE_EDGES}, o AS (SELECT page_id FROM pages WHERE page_id NOT IN (SELECT src FROM edges WHERE w >= 4) AND page_id NOT IN (SELECT dst FROM edges WHERE w >= 4))
 SELECT 'orphan' AS kind, page_id::VARCHAR AS subject FROM o UNION ALL SELECT 'stale', source || '/' || doc_id FROM documents WHERE doc_id % 7 = 0""")
 def lint_all(spark, sf):
     return quality.findings(orphan=lint_orphans(spark, sf), stale=lint_stale_pages(spark, sf))

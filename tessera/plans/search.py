@@ -10,7 +10,7 @@ from tessera.plans.base import BLOCKS, TURNS, blocks, bm25_sql, hash_sql, query,
 
 WIDE = "heatly thorea tionnt ofthe eneaor"
 NARROW = "the heat"
-MIXED = "heatly qqqzzz thorea"
+MIXED = "the qqqzzz that"
 
 
 @query(f"WITH {BLOCKS}, {bm25_sql(WIDE, 50, ('or',))} SELECT h.rank, h.id, h.score, b.doc_path, b.raw FROM hits h JOIN blocks b USING (id)")
