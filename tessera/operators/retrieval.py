@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +86,27 @@ def source_first(rows: DataFrame) -> DataFrame:
     """Inside the window of results, source rows before derived ones, else in their order."""
     w = Window.orderBy(F.col("layer") != "raw", "rank")
     return rows.withColumn("rank", F.row_number().over(w) - 1)
+
+
+def encode(blocks: DataFrame, delta: DataFrame, encoder, dims: int) -> DataFrame:
+    """id, vector, hash of the blocks that `lifecycle.vector_delta` says to encode: last heading, line feed, text.
+
+    `encoder` maps a list of texts to vectors; they are brought to unit length.  A vector of another size is an error."""
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = [[float(x) for x in v] for v in encoder(texts.tolist())]
+        if any(len(v) != dims for v in out):
+            raise ValueError(f"the encoder must give {dims} numbers")
+        return pd.Series(out)
+
+    todo = blocks.join(delta.filter("action = 'encode'").select("id"), "id", "left_semi")
+    text = F.concat(F.substring_index("breadcrumb", " > ", -1), F.lit("\n"), "raw")
+    return todo.select("id", unit(run(text)).alias("vector"), "hash")
+
+
+def check_identity(stored: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """The stored vectors' identity (key, value); reading it fails where a key differs from what is expected or is missing."""
+    want = F.create_map(*(F.lit(x) for kv in sorted(expected.items()) for x in kv))
+    got = stored.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
+    bad = [F.when(~F.coalesce(F.col("m")[k] == want[k], F.lit(False)), F.lit(k)) for k in sorted(expected)]
+    return got.select(F.when(F.concat_ws(",", *bad) == "", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("vectors were made otherwise: "), F.concat_ws(",", *bad)))).alias("same"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,3 +71,31 @@ def export_tables(tables: dict[str, DataFrame], folder: str) -> None:
 
 def import_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+
+
+def page_texts(spark: SparkSession, folder: str, extract: Callable[[bytes], list[str]], vision: Callable[[bytes, int], str] | None = None, least: int = 40, pattern: str = "*.pdf") -> DataFrame:
+    """path, page, text, ocr of paged files.  `extract` gives the texts of a file's pages; where fewer than half of them
+    (one at least) hold `least` characters and there is a `vision` callable, it transcribes each page (bytes, page).
+
+    A file that can't be read has one empty page, a page that can't be transcribed is empty: neither ends the job."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", "content")
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    texts = [t or "" for t in extract(bytes(content))] or [""]
+                except Exception:
+                    texts = [""]
+                scanned = sum(len(t.strip()) >= least for t in texts) < max(1, len(texts) // 2)
+                for k, t in enumerate(texts, 1):
+                    if scanned and vision:
+                        try:
+                            t = vision(bytes(content), k) or ""
+                        except Exception:
+                            t = ""
+                    rows.append((path, k, t, bool(scanned and vision)))
+            yield pd.DataFrame(rows, columns=["path", "page", "text", "ocr"])
+
+    return files.mapInPandas(run, "path string, page int, text string, ocr boolean")

@@ -177,3 +177,34 @@ def test_pages_of_scans(spark):
     got = {r.id: r for r in ingest.pages_to_blocks(pages).collect()}
     assert got["p#p1/0"].raw == "line one line two" and got["p#p1/0"].title == "Title" and got["p#p3/0"].title == "" and len(got) == 2
     assert ingest.looks_scanned(pages).first().scanned
+
+
+def test_paged_files(spark, tmp_path):
+    for name, data in {"a.pdf": b"x" * 50 + b"|" + b"y" * 60, "b.pdf": b"|", "c.pdf": b"bad"}.items():
+        (tmp_path / name).write_bytes(data)
+
+    def extract(data):
+        if data == b"bad":
+            raise ValueError
+        return data.decode().split("|")
+
+    def vision(data, page):
+        if page == 2:
+            raise ValueError
+        return "seen"
+
+    got = {(r.path[-5:], r.page): (r.text, r.ocr) for r in tables.page_texts(spark, str(tmp_path), extract, vision).collect()}
+    assert got["a.pdf", 1] == ("x" * 50, False) and got["b.pdf", 1] == ("seen", True) and got["b.pdf", 2] == ("", True) and got["c.pdf", 1] == ("seen", True)
+
+
+def test_incremental_vectors(spark):
+    blocks = spark.createDataFrame([("a", "A > B", "x", "h1"), ("b", "A", "yy", "h2")], "id string, breadcrumb string, raw string, hash string")
+    old = spark.createDataFrame([("b", "h2"), ("c", "h3")], "id string, hash string")
+    delta = lifecycle.vector_delta(blocks, old)
+    assert {r.id: r.action for r in delta.collect()} == {"a": "encode", "c": "drop"}
+    got = retrieval.encode(blocks, delta, lambda ts: [[3.0, 4.0] if t == "B\nx" else [1.0, 0.0] for t in ts], 2).collect()
+    assert [(r.id, r.vector, r.hash) for r in got] == [("a", [0.6, 0.8], "h1")]
+    meta = spark.createDataFrame([("model", "m"), ("dims", "2")], "key string, value string")
+    assert retrieval.check_identity(meta, {"model": "m", "dims": "2"}).first().same
+    with pytest.raises(Exception):
+        retrieval.check_identity(meta, {"model": "other"}).collect()
