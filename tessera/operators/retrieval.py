@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,14 +95,14 @@ def encode(blocks: DataFrame, delta: DataFrame, encoder, dims: int) -> DataFrame
     `encoder` maps a list of texts to vectors; they are brought to unit length.  A vector of another size is an error."""
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        out = [[float(x) for x in v] for v in encoder(texts.tolist())]
-        if any(len(v) != dims for v in out):
+        out = [np.asarray(v, dtype=float) for v in encoder(texts.tolist())]
+        if any(v.shape != (dims,) for v in out):
             raise ValueError(f"the encoder must give {dims} numbers")
-        return pd.Series(out)
+        return pd.Series([v / (np.linalg.norm(v) or 1.0) for v in out])
 
     todo = blocks.join(delta.filter("action = 'encode'").select("id"), "id", "left_semi")
     text = F.concat(F.substring_index("breadcrumb", " > ", -1), F.lit("\n"), "raw")
-    return todo.select("id", unit(run(text)).alias("vector"), "hash")
+    return todo.select("id", run(text).alias("vector"), "hash")
 
 
 def check_identity(stored: DataFrame, expected: dict[str, str]) -> DataFrame:
