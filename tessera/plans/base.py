@@ -38,7 +38,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.line_blocks(read(spark, sf_dir, "documents"))
+    """Line blocks of the documents; a table in fewer pieces than there are cores is dealt out first, larger ones never."""
+    docs, cores = read(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.select("doc_id", "text", "lang", "source").repartition(cores)
+    return ingest.line_blocks(docs)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
