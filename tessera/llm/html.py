@@ -3,11 +3,16 @@
 Token streams of pages of one host are aligned one after another.  A wrapper is an expression over tags and text: equal
 tokens stay, texts that differ become slots, a run of like elements becomes a repeated group, and what one side lacks
 becomes an optional group; there are no unions.  The slots say where a host's pages differ, hence where an article can
-be; the article is the region whose slots hold most text, or the one that the page itself marks as such.
+be; the article is the region whose slots hold most text.  Where several regions share it, the page's own marks (article,
+then main) decide.  An element is template if all its texts are the same on three pages of the host or more; blocks of
+the template are left out, headings of the region stay.
+
+All pages of a host are aligned: those of a bucket of content hashes into a partial wrapper, partial wrappers with each
+other.  A constant text carries up to three of the pages it was seen on, so copies of a page count once.
 
 Input rules: null or empty html gives an empty text; broken markup is read as far as it goes; a null or unreadable url
 is the host ''; repeated rows give repeated rows; a host with a single page has a wrapper without slots and its region
-is chosen by the amount of text alone.
+is chosen by the amount of text and its marks alone, as is that of a page all of whose text is the host's template.
 """
 
 from __future__ import annotations
@@ -15,10 +20,13 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._shared import enter, materialize, text_or_empty
@@ -49,13 +57,28 @@ class Node:
 
     @property
     def key(self) -> str:
-        return f"{self.tag}.{self.marks}" if self.marks else self.tag
+        """Tag and marks without numbers, which count a page's elements or name the page."""
+        marks = " ".join(w for w in self.marks.split() if not w.isdigit())
+        return f"{self.tag}.{marks}" if marks else self.tag
+
+
+def _deep(levels: int) -> None:
+    """Lets functions call themselves through so many levels; calls of Python functions take no C stack."""
+    if sys.getrecursionlimit() < 4 * levels + 1000:
+        sys.setrecursionlimit(4 * levels + 1000)
 
 
 def parse(source: str) -> Node:
     """The element tree of a token stream; never fails."""
     root = Node("#root")
-    stack, raw, at, n = [root], "", 0, len(source)
+    stack, raw, at, n, most = [root], "", 0, len(source), 1
+    counts: dict[str, int] = {}  # open elements by tag
+
+    def close(k: int):
+        for x in stack[k:]:
+            counts[x.tag] -= 1
+        del stack[k:]
+
     while at < n:
         if raw:
             end = re.compile(rf"</{raw}\b", re.I).search(source, at)
@@ -75,16 +98,16 @@ def parse(source: str) -> Node:
             continue
         tag = TAG.match(token).group(1).lower()
         if token[1] == "/":
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if counts.get(tag) else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
             continue
         over = CLOSES.get(tag) or ({"p"} if tag in BLOCKS else None)
-        if over:
+        if over and any(counts.get(x) for x in over):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in over:
-                    del stack[k:]
+                    close(k)
                     if tag not in CLOSES:
                         break
                 elif stack[k].tag in SCOPES and stack[k].tag not in over:
@@ -95,10 +118,12 @@ def parse(source: str) -> Node:
         node = Node(tag, marks)
         stack[-1].kids.append(node)
         if tag not in VOID and not token.endswith("/>"):
-            if len(stack) < 200:
-                stack.append(node)
+            stack.append(node)
+            counts[tag] = counts.get(tag, 0) + 1
+            most = max(most, len(stack))
             if tag in RAW:
                 raw = tag
+    _deep(most)
     return root
 
 
@@ -109,17 +134,31 @@ def boilerplate(node: Node) -> bool:
 # ---- wrappers -------------------------------------------------------------------------------------------------------
 # An expression is a list of items: ["text", constant or None], ["tag", key, expression], ["opt", items], ["plus", item].
 
+SEVERAL = 3
+
+
+class Constant(str):
+    """A text (a long one as its hash) that has not differed yet, and up to SEVERAL of the pages it was seen on."""
+
+    __slots__ = ("pages",)
+
+    @classmethod
+    def of(cls, text: str, pages) -> Constant:
+        self = cls(text)
+        self.pages = tuple(sorted(set(pages))[:SEVERAL])
+        return self
 
-def expression(node: Node) -> list:
+
+def expression(node: Node, page: int = 0) -> list:
     """The expression of one page below `node`, runs of like elements folded into repeated groups."""
     out: list = []
     for kid in node.kids:
         if isinstance(kid, str):
             t = " ".join(kid.split())
             if t:
-                out.append(["text", t[:200]])
+                out.append(["text", Constant.of(t if len(t) <= 32 else xxhash.xxh3_128_hexdigest(t.encode("utf-8", "surrogatepass")), (page,))])
         elif kid.tag not in ("script", "style"):
-            item = ["tag", kid.key, expression(kid)]
+            item = ["tag", kid.key, expression(kid, page)]
             last = out[-1] if out else None
             if last and last[0] == "plus" and last[1][1] == item[1]:
                 last[1][2] = align(last[1][2], item[2])
@@ -140,7 +179,7 @@ def _merge(a: list, b: list) -> list:
         x, y = (a[1][0] if a[0] == "opt" else a), (b[1][0] if b[0] == "opt" else b)
         return ["opt", [_merge(x, y)]]
     if a[0] == "text":
-        return ["text", a[1] if a[1] == b[1] else None]
+        return ["text", Constant.of(a[1], a[1].pages + b[1].pages) if a[1] is not None and a[1] == b[1] else None]
     x, y = (a[1] if a[0] == "plus" else a), (b[1] if b[0] == "plus" else b)
     both = ["tag", x[1], align(x[2], y[2])]
     return ["plus", both] if "plus" in (a[0], b[0]) else both
@@ -173,45 +212,106 @@ def _optional(item: list) -> list:
     return item if item[0] == "opt" else ["opt", [item]]
 
 
+def page_hash(source: str) -> int:
+    return xxhash.xxh3_64_intdigest(source.encode("utf-8", "surrogatepass")) >> 1
+
+
 def infer(pages: list[str]) -> list:
     """The wrapper of the pages of one host, aligned in order."""
     wrapper: list | None = None
     for p in pages:
-        e = expression(parse(p))
+        e = expression(parse(p), page_hash(p))
         wrapper = e if wrapper is None else align(wrapper, e)
     return wrapper or []
 
 
-def constant_paths(wrapper: list) -> set[str]:
-    """Paths of the elements whose texts never differ between the host's pages: template, not content."""
-    found: set[str] = set()
+def packed(wrapper: list) -> bytes:
+    """A wrapper as the flat list of its parts, compressed."""
+    flat: list = []
 
-    def walk(items: list, path: str) -> bool:
-        """Whether a slot lies below."""
-        slot = False
+    def walk(items: list):
         for item in items:
             while item[0] in ("opt", "plus"):
+                flat.append(item[0])
                 item = item[1][0] if item[0] == "opt" else item[1]
             if item[0] == "text":
-                slot |= item[1] is None
+                flat.append([item[1], *item[1].pages] if item[1] is not None else None)
             else:
-                below = f"{path}/{item[1]}"
-                if walk(item[2], below):
-                    slot = True
-                    found.discard(below)
-                elif item[2]:
-                    found.add(below)
-        return slot
-
-    walk(wrapper, "")
-    return found
+                flat.append("tag")
+                flat.append(item[1])
+                walk(item[2])
+                flat.append("end")
+
+    walk(wrapper)
+    return zstandard.ZstdCompressor(level=3).compress(json.dumps(flat).encode())
+
+
+def unpacked(blob: bytes) -> list:
+    flat = json.loads(zstandard.ZstdDecompressor().decompress(blob))
+    stack, around, most, parts = [[]], [], 1, iter(flat)
+    for x in parts:
+        if x == "end":
+            stack.pop()
+            continue
+        if x in ("opt", "plus"):
+            around.append(x)
+            continue
+        item = ["text", x if x is None else Constant.of(x[0], x[1:])] if x != "tag" else ["tag", next(parts), []]
+        whole = item
+        while around:
+            whole = ["opt", [whole]] if around.pop() == "opt" else ["plus", whole]
+        stack[-1].append(whole)
+        if item[0] == "tag":
+            stack.append(item[2])
+            most = max(most, len(stack))
+    _deep(most)
+    return stack[0]
+
+
+def below(path: int, key: str) -> int:
+    """The hash of the path of an element below `path`."""
+    return xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"), seed=path)
+
+
+def template_paths(wrapper: list, least: int = SEVERAL, join=below, top=0) -> set:
+    """Paths all of whose elements hold texts that are the same on `least` pages or more: template, not content."""
+    found: set = set()
+    content: set = set()
+
+    def walk(items: list, path) -> tuple[bool, bool]:
+        """Whether a text lies below, and one that differs or is not on so many pages."""
+        some = slot = False
+        for item in items:
+            while item[0] in ("opt", "plus"):
+                item = item[1][0] if item[0] == "opt" else item[1]
+            if item[0] == "text":
+                some = True
+                slot |= item[1] is None or len(item[1].pages) < least
+            else:
+                own = join(path, item[1])
+                text, differs = walk(item[2], own)
+                some, slot = some | text, slot | differs
+                if text:
+                    (content if differs else found).add(own)
+        return some, slot
+
+    walk(wrapper, top)
+    return found - content
+
+
+def constant_paths(wrapper: list, least: int = 2) -> set[str]:
+    """`template_paths` as text."""
+    return template_paths(wrapper, least, lambda path, key: f"{path}/{key}", "")
 
 
 # ---- extraction -----------------------------------------------------------------------------------------------------
 
 
-def blocks_of(node: Node) -> list[str]:
-    """The texts of the blocks below `node` in page order, boilerplate left out."""
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
+
+def blocks_of(node: Node, path: int = 0, constant: set[int] | frozenset[int] = frozenset()) -> list[str]:
+    """The texts of the blocks below `node` in page order, boilerplate and the host's template left out."""
     out: list[str] = []
     part: list[str] = []
 
@@ -221,34 +321,44 @@ def blocks_of(node: Node) -> list[str]:
             out.append(t)
         part.clear()
 
-    def walk(x: Node):
+    def walk(x: Node, at: int):
         for kid in x.kids:
             if isinstance(kid, str):
                 part.append(kid)
             elif kid.tag == "br":
                 part.append(" ")
             elif not boilerplate(kid) and not (kid.tag == "header" and x.tag in ("body", "#root")):
-                if kid.tag in BLOCKS:
+                own = below(at, kid.key) if constant else 0
+                if kid.tag not in BLOCKS:
+                    walk(kid, own)
+                elif own not in constant or kid.tag in HEADINGS:
                     flush()
-                    walk(kid)
+                    walk(kid, own)
                     flush()
-                else:
-                    walk(kid)
 
-    walk(node)
+    walk(node, path)
     flush()
     return out
 
 
-def _weight(node: Node) -> int:
-    """Characters below a node outside links and boilerplate."""
-    total = 0
-    for kid in node.kids:
-        if isinstance(kid, str):
-            total += len(kid)
-        elif kid.tag != "a" and not boilerplate(kid):
-            total += _weight(kid)
-    return total
+def _weights(root: Node, constant: set[int] | frozenset[int]) -> dict[int, tuple[int, int]]:
+    """By node: the hash of its path, and the characters below it outside links, boilerplate and template."""
+    found: dict[int, tuple[int, int]] = {}
+
+    def walk(node: Node, path: int) -> int:
+        total = 0
+        for kid in node.kids:
+            if isinstance(kid, str):
+                total += len(kid.strip())
+            elif not boilerplate(kid):
+                own = below(path, kid.key) if constant else 0
+                n = walk(kid, own) if kid.tag not in BLOCKS or own not in constant else 0
+                total += n if kid.tag != "a" else 0
+        found[id(node)] = path, total
+        return total
+
+    walk(root, 0)
+    return found
 
 
 def _find(node: Node, tags: tuple[str, ...]) -> list[Node]:
@@ -256,31 +366,35 @@ def _find(node: Node, tags: tuple[str, ...]) -> list[Node]:
     out = []
     for kid in node.kids:
         if isinstance(kid, Node) and not boilerplate(kid):
-            out += [kid] if kid.tag in tags else _find(kid, tags)
+            if kid.tag in tags:
+                out.append(kid)
+            else:
+                out += _find(kid, tags)
     return out
 
 
-def main_text(source: str, constant: set[str] | frozenset[str] = frozenset()) -> str:
-    """The article's blocks, joined by one space."""
+def main_text(source: str, constant: set[int] | frozenset[int] = frozenset()) -> str:
+    """The article's blocks, joined by one space; `constant` are the hashes of the host's template paths."""
     root = parse(source)
-    regions = _find(root, ("article",)) or _find(root, ("main",))
-    if not regions:
-        body = next(iter(_find(root, ("body",))), root)
-        path = "/" + "/".join(k for k in ("html", "body")) if body is not root else ""
-        node = body
-        while True:  # go down as long as one child holds nearly all the text that isn't the host's template
-            kids = [(k, f"{path}/{k.key}") for k in node.kids if isinstance(k, Node) and not boilerplate(k)]
-            kids = [(k, p) for k, p in kids if p not in constant]
-            weights = [_weight(k) for k, _ in kids]
-            total = sum(weights) + sum(len(k) for k in node.kids if isinstance(k, str) and k.strip())
-            best = max(range(len(kids)), key=weights.__getitem__, default=None)
-            if best is None or kids[best][0].tag not in SCOPES or weights[best] < 0.8 * total:
-                break
-            node, path = kids[best]
-        shown = Node(node.tag, node.marks)
-        shown.kids = [k for k in node.kids if isinstance(k, str) or f"{path}/{k.key}" not in constant]
-        regions = [shown]
-    return " ".join(b for r in regions for b in blocks_of(r))
+    marked = _find(root, ("article",)) or _find(root, ("main",))
+    if marked:
+        return " ".join(b for r in marked for b in blocks_of(r))
+    known = _weights(root, constant)
+    if constant and not known[id(root)][1]:  # nothing but template: the page is judged by itself
+        constant = frozenset()
+        known = _weights(root, constant)
+    weight = lambda x: known[id(x)][1] if id(x) in known else 0
+    node = next(iter(_find(root, ("body",))), root)
+    while node.tag not in ("article", "main"):  # go down as long as one child holds nearly all the text that isn't template
+        kids = [k for k in node.kids if isinstance(k, Node) and weight(k)]
+        best = max(kids, key=weight, default=None)
+        if best is None or best.tag not in SCOPES or best.tag == "a" or weight(best) < 0.8 * weight(node):
+            break
+        node = best
+    regions = [node]
+    if node.tag != "article":
+        regions = [x for x in _find(node, ("article",)) if weight(x)] or [x for x in _find(node, ("main",)) if weight(x)] or regions
+    return " ".join(b for r in regions for b in blocks_of(r, known[id(r)][0], constant))
 
 
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
@@ -290,20 +404,51 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
-def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_host: int = 8) -> DataFrame:
-    """host and `paths` (JSON list of template paths), inferred from at most `per_host` pages a host: those of the
-    smallest content hash, so copies of a page count once."""
-    rows = pages.select(host_of(pages[url_col]).alias("host"), pages[html_col].alias("h")).filter("h is not null and h <> ''").withColumn("k", F.xxhash64("h"))
-    few = rows.select("host", "k").distinct().withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("k"))).filter(F.col("n") <= per_host).select("host", "k")
-    few = materialize(few, "html-sample")
-    chosen = rows.join(F.broadcast(few) if few.count() <= 200_000 else few, ["host", "k"]).groupBy("host", "k").agg(F.first("h").alias("h"))
+def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = 256, broadcast_hosts: int = 200_000) -> DataFrame:
+    """host and `paths` (JSON list of hashes of template paths), inferred from all pages of a host.
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        wrapper = infer(pdf.sort_values("k")["h"].tolist())
-        paths = sorted(constant_paths(wrapper)) if len(pdf) > 2 else []
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "paths": [json.dumps(paths)]})
+    Expressions of pages, not pages, are shuffled.  A host's pages are dealt to buckets of about `group` by their content
+    hash and aligned there in its order; the partial wrappers are aligned likewise until one is left, so neither a task's
+    input nor the result depends on how the pages are partitioned."""
+    rows = pages.select(host_of(pages[url_col]).alias("host"), pages[html_col].alias("h")).filter("h is not null and h <> ''")
+
+    def express(batches):
+        enter("html")
+        met: set[tuple[str, int]] = set()
+        for b in batches:
+            hosts, source = b.column("host").to_pylist(), b.column("h").to_pylist()
+            for lo in range(0, len(source), 1000):
+                out = []
+                for host, h in zip(hosts[lo : lo + 1000], source[lo : lo + 1000]):
+                    k = page_hash(h)
+                    if (host, k) not in met:
+                        met.add((host, k))
+                        out.append((host, k, packed(expression(parse(h), k))))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((), (), ()), (pa.string(), pa.int64(), pa.binary()))], names=["host", "k", "e"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        wrapper: list | None = None
+        pdf = pdf.sort_values("k").drop_duplicates("k")
+        for blob in pdf["e"]:
+            e = unpacked(blob)
+            wrapper = e if wrapper is None else align(wrapper, e)
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "k": [int(pdf["bucket"].iloc[0])], "e": [packed(wrapper or [])]})
+
+    table = materialize(rows.mapInArrow(express, "host string, k bigint, e binary"), "html-expressions")
+    while True:
+        sizes = materialize(table.groupBy("host").agg(F.ceil(F.count_distinct("k") / group).cast("bigint").alias("n")), "html-sizes")
+        few = sizes.agg(F.count("*").alias("hosts"), F.max("n").alias("n")).first()
+        dealt = table.join(F.broadcast(sizes) if few.hosts <= broadcast_hosts else sizes, "host").withColumn("bucket", F.pmod("k", "n"))
+        table = materialize(dealt.groupBy("host", "bucket").applyInPandas(merge, "host string, k bigint, e binary"), "html-wrappers")
+        if (few.n or 1) == 1:
+            break
+
+    def decide(batches):
+        for b in batches:
+            paths = [json.dumps(sorted(template_paths(unpacked(e)))) for e in b.column("e").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(paths, pa.string())], names=["host", "paths"])
 
-    return materialize(chosen.groupBy("host").applyInPandas(learn, "host string, paths string"), "html-wrappers")
+    return materialize(table.mapInArrow(decide, "host string, paths string"), "html-paths")
 
 
 def extract(pages: DataFrame, found: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_chars: int = 16 << 20) -> DataFrame:

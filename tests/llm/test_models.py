@@ -159,3 +159,30 @@ def test_pages(spark):
     assert len(got) == len(rows)
     assert {x.page_id: x.text for x in got}[5] == "Ti&tle First bold line é Text 5 one" and {x.page_id: x.n_chars for x in got}[50] == 0
     assert html.extract(df.limit(0), html.wrappers(df.limit(0))).count() == 0
+
+
+def test_template_is_judged_by_all_items_of_a_path_and_by_whole_texts():
+    page = lambda i, extra="": f"<html><body><div class=c><h1>Title</h1><p>a {i}</p><p>b {i}</p><ul><li>x</ul>{extra}</div></body></html>"
+    w = html.infer([page(0), page(1, "<p>once</p>"), page(2), page(3, "<div>only here</div>")])
+    paths = html.constant_paths(w)
+    assert "/html/body/div.c/p" not in paths and "/html/body/div.c/div" not in paths and "/html/body/div.c/ul" in paths
+    long = [f"<body><div class=x>{'same ' * 60}{i}</div></body>" for i in range(3)]
+    assert not html.constant_paths(html.infer(long))
+    assert not html.constant_paths(html.infer([PAGE] * 5))  # copies are one page
+    w = html.infer(["<body>" + "<div><p>" * 400 + f"{i} deep" + "</div>" * 400 + "<i>t</i></body>" for i in range(3)])
+    assert html.unpacked(html.packed(w)) == w
+
+
+def test_deep_elements_close_only_themselves():
+    deep = "<body><div><article><p>first</p>" + "<div>" * 3000 + "inner" + "</div>" * 3000 + "<p>after</p></article></div><footer>f</footer></body>"
+    assert html.main_text(deep) == "first inner after"
+
+
+def test_all_pages_of_a_host_teach_its_wrapper(spark):
+    rows = [(i, f"http://h{i % 2}.example/{i}", f"<body><div class=a>{'same' if i < 60 else f'late {i}'}</div><div class=c><p>text {i}</p></div></body>") for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    found = html.wrappers(df, group=4).collect()
+    assert {x.host: x.paths for x in found} == {f"h{k}.example": "[]" for k in (0, 1)}  # 20 late pages differ
+    assert html.wrappers(df.repartition(2), group=4).collect() and {x.host: x.paths for x in html.wrappers(df.filter("page_id < 60"), group=4).collect()} != {x.host: x.paths for x in found}
+    got = {x.page_id: x.text for x in html.extract(df, html.wrappers(df, group=4)).collect()}
+    assert got[70] == "late 70 text 70"
