@@ -376,9 +376,6 @@ def _find(node: Node, tags: tuple[str, ...]) -> list[Node]:
 def main_text(source: str, constant: set[int] | frozenset[int] = frozenset()) -> str:
     """The article's blocks, joined by one space; `constant` are the hashes of the host's template paths."""
     root = parse(source)
-    marked = _find(root, ("article",)) or _find(root, ("main",))
-    if marked:
-        return " ".join(b for r in marked for b in blocks_of(r))
     known = _weights(root, constant)
     if constant and not known[id(root)][1]:  # nothing but template: the page is judged by itself
         constant = frozenset()

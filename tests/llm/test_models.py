@@ -186,3 +186,11 @@ def test_all_pages_of_a_host_teach_its_wrapper(spark):
     assert html.wrappers(df.repartition(2), group=4).collect() and {x.host: x.paths for x in html.wrappers(df.filter("page_id < 60"), group=4).collect()} != {x.host: x.paths for x in found}
     got = {x.page_id: x.text for x in html.extract(df, html.wrappers(df, group=4)).collect()}
     assert got[70] == "late 70 text 70"
+
+
+def test_marked_pages_take_region_and_template_from_the_wrapper(spark):
+    page = lambda i, n=20: f"<body><article class=about><p>We are a paper.</p></article><div class=c><h2>News</h2><p>story {i} " + "long text " * n + "</p><p class=more>Read more in our app</p></div></body>"
+    df = spark.createDataFrame([(i, "http://h.example/", page(i)) for i in range(6)] + [(9, "http://one.example/", page(9, 0))], "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html.extract(df, html.wrappers(df)).collect()}
+    assert got[3] == ("News story 3 " + "long text " * 20).strip()  # neither the marked template nor the one in the region
+    assert got[9] == "We are a paper."  # a host with one page, no region with nearly all text: marks decide
