@@ -72,26 +72,70 @@ def lone_table(discount: float) -> np.ndarray:
     return out
 
 
-def reseat(rng, c: np.ndarray, t: np.ndarray, lone: np.ndarray, discount: float, new_mass: np.ndarray, steps: int) -> np.ndarray:
-    """`steps` Gibbs moves in every restaurant-dish pair at once: c customers at t tables, weight `new_mass` of opening one.
-
-    Beyond the Stirling table the chance to sit alone is its limit for many customers, discount * t / c."""
-    small = c <= STIRLING
-    ci = np.where(small, c, 0)
-    for _ in range(steps):
-        alone = np.where(small, lone[ci, np.where(small, t, 0)], np.minimum(1.0, discount * t / c))
-        left = t - ((rng.random(len(t)) < alone) & (t > 1))
-        opened = rng.random(len(t)) * (np.maximum(c - 1 - discount * left, 1e-12) + new_mass) < new_mass
-        t = np.minimum(left + opened, c)
+def _lone_factors(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """log(c / t) and x / f(x) at the saddle point x of f(x) ** t for the power c, f(x) = (1 - (1 - x) ** discount) / discount."""
+    y = np.concatenate([1 - np.geomspace(1e-6, 0.5, 2000), np.geomspace(0.5, 1e-120, 8000)[1:]])
+    f = (1 - y**discount) / discount
+    return np.log((1 - y) * y ** (discount - 1) / f), (1 - y) / f
+
+
+def alone_at(c: np.ndarray, t: np.ndarray, discount: float, factors=None) -> np.ndarray:
+    """The chance that a customer out of many sits alone, by the saddle point of the generating function of the Stirling numbers."""
+    at, factor = factors or _lone_factors(discount)
+    c1, t1 = np.maximum(c - 1.0, 1.0), np.maximum(t - 1.0, 0.0)
+    return np.minimum(1.0, t1 / c1 * np.interp(np.log(c1 / np.maximum(t1, 1e-9)), at, factor))
+
+
+def expected_tables(c: np.ndarray, discount: float, new_mass: np.ndarray) -> np.ndarray:
+    """The number of tables at which as many are given up as are opened."""
+    factors = _lone_factors(discount)
+    low, high = np.ones(len(c)), c.astype(np.float64)
+    for _ in range(40):
+        t = (low + high) / 2
+        more = new_mass / (np.maximum(c - 1 - discount * t, 1e-12) + new_mass) > alone_at(c, t, discount, factors)
+        low, high = np.where(more, t, low), np.where(more, high, t)
+    return np.clip(np.rint(low), 1, c).astype(np.int64)
+
+
+def reseat(rng, c: np.ndarray, t: np.ndarray, lone: np.ndarray, discount: float, new_mass: np.ndarray, steps: int | None = None) -> np.ndarray:
+    """Gibbs moves in every restaurant-dish pair at once, `steps` in each or as many as it has customers: c customers at
+    t tables, weight `new_mass` of opening one.
+
+    Within the Stirling table customers move one by one; beyond it a sixteenth of them at a time, by binomial numbers of
+    tables given up and opened."""
+    moves = c if steps is None else np.full(len(c), steps)
+    t = t.copy()
+    few = np.flatnonzero(c <= STIRLING)
+    few = few[np.argsort(-moves[few], kind="stable")]
+    if len(few):
+        ci, ti, mass, m = c[few], t[few], new_mass[few], -moves[few]
+        for k in range(-int(m[0])):
+            n = int(np.searchsorted(m, -k, "left"))
+            a, b = ci[:n], ti[:n]
+            left = b - ((rng.random(n) < lone[a, b]) & (b > 1))
+            opened = rng.random(n) * (np.maximum(a - 1 - discount * left, 1e-12) + mass[:n]) < mass[:n]
+            ti[:n] = np.minimum(left + opened, a)
+        t[few] = ti
+    many = np.flatnonzero(c > STIRLING)
+    if len(many):
+        factors = _lone_factors(discount)
+        ci, ti, mass, rest = c[many], t[many], new_mass[many], moves[many].copy()
+        while rest.any():
+            n = np.minimum(rest, -(-ci // 16))
+            alone = alone_at(ci, ti, discount, factors)
+            left = np.maximum(ti - rng.binomial(n, alone), 1)
+            ti = np.minimum(left + rng.binomial(n, mass / (np.maximum(ci - 1 - discount * (ti - alone), 1e-12) + mass)), ci)
+            rest -= n
+        t[many] = ti
     return t
 
 
 class Setting:
     """Parameters that all tasks share."""
 
-    def __init__(self, keys: list[int], hot: dict[int, float], discount: float, strength: float, samples: int, burn_in: int, steps: int, seed: int):
+    def __init__(self, keys: list[int], hot: dict[int, float], discount: float, strength: float, samples: int, burn_in: int, seed: int):
         self.keys, self.blocks, self.discount, self.strength = np.array(keys, dtype=np.int64), len(keys), discount, strength
-        self.samples, self.burn_in, self.steps, self.seed = samples, burn_in, steps, seed
+        self.samples, self.burn_in, self.seed = samples, burn_in, seed
         order = sorted(hot)
         self.hot, self.hot_share = np.array(order, dtype=np.uint64), np.array([hot[h] for h in order])
 
@@ -225,12 +269,12 @@ class Block:
             base = 1.0 / max(1.0, cold.sum() * s.blocks)
             root = np.minimum(np.maximum(root, sent > 0), sent)
             if len(busy):
-                root[busy] = reseat(rng, sent[busy], root[busy], lone, d, np.full(len(busy), (theta + d * tables) * base), s.steps)
+                root[busy] = reseat(rng, sent[busy], root[busy], lone, d, np.full(len(busy), (theta + d * tables) * base))
             p = (sent - d * root + (theta + d * tables) * base) / (theta + total)
             p[self.hot] = guess[self.hot]
             if len(many):
                 own = np.bincount(self.pc, weights=t, minlength=CONTEXTS)[self.pc[many]] * s.blocks
-                t[many] = reseat(rng, self.c[many], t[many], lone, d, (theta + d * own) * p[self.pw[many]], s.steps)
+                t[many] = reseat(rng, self.c[many], t[many], lone, d, (theta + d * own) * p[self.pw[many]])
             if k >= s.burn_in:
                 sent = np.bincount(self.pw, weights=t, minlength=len(self.words)).astype(np.int64)
                 yield t.copy(), np.minimum(np.maximum(root, sent > 0), sent)
@@ -302,7 +346,7 @@ class Totals:
             t = np.minimum(c, 1)
             many = c > 1
             if many.any():
-                t[many] = reseat(rng, c[many], t[many], lone, setting.discount, (setting.strength + setting.discount * tables[many]) * base, 200)
+                t[many] = reseat(rng, c[many], t[many], lone, setting.discount, (setting.strength + setting.discount * tables[many]) * base)
             self.hot_root[key] = t
         zero = np.zeros(s)
         self.sent = sent + sum(self.hot_sent.values(), zero)
@@ -393,14 +437,14 @@ def hot_words(docs: DataFrame, share: float = 0.003, sample: int = 2000) -> dict
     return {r.h & (1 << 64) - 1: r.n / total for r in got if not r["all"] and r.n > share * total}
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, discount: float = 0.8, strength: float = 1.0, samples: int = 3, burn_in: int = 5, steps: int = 3, seed: int = 1, least_blocks: int = 64) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, discount: float = 0.8, strength: float = 1.0, samples: int = 3, burn_in: int = 5, seed: int = 1, least_blocks: int = 64) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of `df`.
 
     Rows whose crc32(id as text) mod `modulus` is `held_out` (and null ids) teach nothing."""
     spark = df.sparkSession
     id_type = df.schema[id_col].dataType.simpleString()
     docs = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("t"))
-    setting = Setting(partition_keys(spark, max(least_blocks, partitions(spark))), hot_words(docs), discount, strength, samples, burn_in, steps, seed)
+    setting = Setting(partition_keys(spark, max(least_blocks, partitions(spark))), hot_words(docs), discount, strength, samples, burn_in, seed)
     dealt = docs.mapInArrow(_deal(setting, modulus, held_out), DEALT.format(id_type))
     dealt = dealt.repartition(setting.blocks, "block").sortWithinPartitions("block")
     path = f"{shared_root(spark)}/hpylm-{uuid.uuid4().hex}"

@@ -194,3 +194,24 @@ def test_marked_pages_take_region_and_template_from_the_wrapper(spark):
     got = {x.page_id: x.text for x in html.extract(df, html.wrappers(df)).collect()}
     assert got[3] == ("News story 3 " + "long text " * 20).strip()  # neither the marked template nor the one in the region
     assert got[9] == "We are a paper."  # a host with one page, no region with nearly all text: marks decide
+
+
+def test_table_numbers_of_large_counts_converge():
+    d, rng = 0.8, np.random.default_rng(3)
+    lone = hpylm.lone_table(d)
+    for c, mass in ((1000, 20.0), (3000, 5.0)):
+        s = np.full(400, -np.inf)  # log S(n, t), t below 400
+        s[0] = 0.0
+        k = np.arange(400)
+        for n in range(1, c + 1):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                stay = s + np.where(n - 1 - d * k > 0, np.log(np.maximum(n - 1 - d * k, 1e-300)), -np.inf)
+            s = np.logaddexp(stay, np.concatenate([[-np.inf], s[:-1]]))
+        w = np.exp(s + k * math.log(mass) - (s + k * math.log(mass)).max())
+        exact = (w * k).sum() / w.sum()
+        count, masses = np.full(2000, c), np.full(2000, mass)
+        assert abs(hpylm.expected_tables(count, d, masses)[0] - exact) < 0.1 * exact
+        t = np.ones(2000, dtype=np.int64)
+        for _ in range(12):
+            t = hpylm.reseat(rng, count, t, lone, d, masses)
+        assert abs(t.mean() - exact) < 0.1 * exact
