@@ -1,15 +1,17 @@
 """Language model scoring by a hierarchical Pitman-Yor model (operator 4).
 
-Every word is a customer in the restaurant of its context (the previous word, hashed to one of 65,536 contexts); each
-table there sends one customer to the restaurant that all contexts share, and each of its tables one to the uniform base.
-Seating is sampled by Gibbs in the table-indicator form: a customer is taken out, alone at its table with the chance
-S(c-1, t-1) / S(c, t) of generalised Stirling numbers, and seated again by the Chinese-restaurant rule.  The predictive
-probabilities of several samples are averaged and summed over a text as log10.
+Every word is a customer in the restaurant of its context (the previous word, by its 64-bit hash); each table there
+sends one customer to the restaurant that all contexts share, and each of its tables one to the uniform base.  Seating
+is sampled by Gibbs in the table-indicator form: a customer is taken out, alone at its table with the chance
+S(c-1, t-1) / S(c, t) of generalised Stirling numbers, and seated again by the Chinese-restaurant rule; a sweep moves as
+many customers as there are.  The predictive probabilities of several samples are averaged and summed over a text as log10.
 
 Occurrences are dealt by word: a block holds all contexts of its words, so the seating of a pair, the word's count and
-its place in the shared restaurant are local.  Totals per context come from one small table (one row per context).
-Words that take more than a share of all tokens in a sample of documents are dealt by word and context instead, and
-their counts come from the same table; the sample only steers the dealing, counts always cover all rows.
+its place in the shared restaurant are local.  Contexts are dealt by hash to parts that add up what blocks tell of them:
+after each sweep every block tells the tables of its contexts and is told those of all blocks.  Pairs met once have one
+table, so only the contexts of other pairs take part; those get numbers within their part once.  Words that take more
+than a share of all tokens in a sample of documents are dealt by word and context instead; the sample only steers the
+dealing, and their seats in the shared restaurant come from the sums over all blocks.
 
 Input rules: null text is the empty text, which has its end token alone; every row is scored and, unless held out,
 counted, whether its id repeats or not; with no training token every probability is that of the base.
@@ -18,7 +20,7 @@ counted, whether its id repeats or not; with no training token every probability
 from __future__ import annotations
 
 import math
-import uuid
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -29,9 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import crc_mod, enter, partition_keys, partitions, release_memory, shared_root, text_or_empty, worker_cache
+from tessera.llm._shared import crc_mod, enter, materialize, partition_keys, partitions, release_memory, text_or_empty, worker_cache
 
-CONTEXTS = 1 << 16
 END = b"\n"  # no word holds a line feed
 STIRLING = 64
 
@@ -137,7 +138,7 @@ class Setting:
         self.keys, self.blocks, self.discount, self.strength = np.array(keys, dtype=np.int64), len(keys), discount, strength
         self.samples, self.burn_in, self.seed = samples, burn_in, seed
         order = sorted(hot)
-        self.hot, self.hot_share = np.array(order, dtype=np.uint64), np.array([hot[h] for h in order])
+        self.hot = np.array(order, dtype=np.uint64)
 
     def is_hot(self, words: np.ndarray) -> np.ndarray:
         if not len(self.hot):
@@ -156,7 +157,7 @@ def _deal(setting: Setting, modulus: int, held_out: int):
         block = (w >> np.uint64(20)) % np.uint64(setting.blocks)
         hot = setting.is_hot(w)
         if hot.any():
-            block[hot] = (w[hot] + c[hot].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(setting.blocks)
+            block[hot] = (w[hot] + c[hot] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(setting.blocks)
         order = np.argsort(block, kind="stable")
         w, c, d, block = w[order], c[order], d[order], block[order]
         cut = np.flatnonzero(np.diff(block)) + 1
@@ -164,11 +165,12 @@ def _deal(setting: Setting, modulus: int, held_out: int):
         press = zstandard.ZstdCompressor(level=1)
         for lo, hi in zip([0, *cut], [*cut, len(w)]):
             names, at = np.unique(w[lo:hi], return_inverse=True)
+            contexts, of = np.unique(c[lo:hi], return_inverse=True)
             docs, first = np.unique(d[lo:hi], return_index=True)
-            wide = np.uint16 if len(names) < 1 << 16 else np.uint32
-            head = np.array([len(names), hi - lo, wide().itemsize, len(docs)], dtype=np.int64)
+            wide = np.uint16 if max(len(names), len(contexts)) < 1 << 16 else np.uint32
+            head = np.array([len(names), hi - lo, wide().itemsize, len(docs), len(contexts)], dtype=np.int64)
             sizes = np.diff(np.append(first, hi - lo)).astype(np.uint32)
-            blobs.append(press.compress(b"".join(x.tobytes() for x in (head, names, docs.astype(np.uint32), sizes, held[docs], at.astype(wide), c[lo:hi]))))
+            blobs.append(press.compress(b"".join(x.tobytes() for x in (head, names, docs.astype(np.uint32), sizes, held[docs], at.astype(wide), contexts, of.astype(wide)))))
             blocks.append(int(setting.keys[int(block[lo])]))
         n = len(blobs)
         blocks.append(int(setting.keys[chunk % setting.blocks]))
@@ -194,9 +196,9 @@ def _deal(setting: Setting, modulus: int, held_out: int):
             for i, t in zip(b.column("id").to_pylist(), b.column("t").to_pylist()):
                 tok = tokens_of(t)
                 w = np.fromiter(map(_WORDS.__getitem__, tok), dtype=np.uint64, count=len(tok))
-                c = np.empty(len(w), dtype=np.uint16)
+                c = np.empty(len(w), dtype=np.uint64)
                 c[0] = 0
-                c[1:] = w[:-1] & np.uint64(CONTEXTS - 1)
+                c[1:] = w[:-1]
                 ws.append(w), cs.append(c), ids.append(i), lens.append(len(w)), held.append(i is None or crc_mod(i, modulus) == held_out)
                 size += len(w)
                 if size > 1_000_000:
@@ -213,13 +215,13 @@ class Block:
 
     def __init__(self, rows: list[tuple], setting: Setting, number: int):
         """`rows`: chunks and their blobs."""
-        names, ats, ctxs, train = [], [], [], []
+        names, ats, known, ctxs, train = [], [], [], [], []
         self.docs: list[tuple] = []  # of each row: chunk, places and lengths of its documents
         undo = zstandard.ZstdDecompressor()
         for chunk, blob in rows:
             raw = undo.decompress(blob)
-            k, n, wide, m = np.frombuffer(raw, dtype=np.int64, count=4)
-            at = 32
+            k, n, wide, m, x = np.frombuffer(raw, dtype=np.int64, count=5)
+            at = 40
 
             def take(kind, count):
                 nonlocal at
@@ -229,151 +231,291 @@ class Block:
             names.append(take(np.uint64, k))
             places, sizes, held = take(np.uint32, m), take(np.uint32, m), take(np.bool_, m)
             ats.append(take(np.uint16 if wide == 2 else np.uint32, n))
-            ctxs.append(take(np.uint16, n))
+            known.append(take(np.uint64, x))
+            ctxs.append(take(np.uint16 if wide == 2 else np.uint32, n))
             train.append(np.repeat(~held, sizes))
             self.docs.append((chunk, places, sizes))
-        self.words = np.unique(np.concatenate(names))
-        self.word = np.concatenate([np.searchsorted(self.words, a).astype(np.int32)[i] for a, i in zip(names, ats)])
+        self.words, self.contexts = np.unique(np.concatenate(names)), np.unique(np.concatenate(known))
+        width = len(self.contexts)
+        word = np.concatenate([np.searchsorted(self.words, a).astype(np.int32)[i] for a, i in zip(names, ats)])
+        self.word = word
         del names, ats
         self.hot = setting.is_hot(self.words)
-        key = (self.word.astype(np.int64) << 16) | np.concatenate(ctxs)
-        del ctxs
+        key = word.astype(np.int64) * width + np.concatenate([np.searchsorted(self.contexts, a).astype(np.int32)[i] for a, i in zip(known, ctxs)])
+        del ctxs, known
         pairs, at = np.unique(key, return_inverse=True)  # of all rows, held out or not
         del key
         self.at = at.astype(np.int32)
         del at
         self.c = np.bincount(self.at, weights=np.concatenate(train), minlength=len(pairs)).astype(np.int64)
-        self.pw, self.pc = (pairs >> 16).astype(np.int32), (pairs & (CONTEXTS - 1)).astype(np.int32)
+        self.pw, self.pc = (pairs // width).astype(np.int32), (pairs % width).astype(np.int32)
         self.count = np.bincount(self.pw, weights=self.c, minlength=len(self.words)).astype(np.int64)
+        self.part = ((self.contexts >> np.uint64(20)) % np.uint64(setting.blocks)).astype(np.int64)
+        self.order = np.lexsort((self.contexts, self.part))  # contexts by part, then hash: as parts are asked and answer
         self.setting, self.number = setting, number
 
-    def samples(self):
-        """Yields (tables of each pair, root tables of each word) after the burn-in, from a seed of its own.
-
-        While sampling, totals outside the block are taken from the block's own, times the number of blocks."""
-        s = self.setting
-        d, theta = s.discount, s.strength
-        rng = np.random.default_rng([s.seed, self.number])
-        lone = lone_table(d)
-        t = np.minimum(self.c, 1)
-        many = np.flatnonzero(self.c > 1)
-        guess = np.zeros(len(self.words))
-        if self.hot.any():
-            guess[self.hot] = s.hot_share[np.searchsorted(s.hot, self.words[self.hot])]
-        cold = ~self.hot
-        root = np.minimum(self.count, 1)
-        for k in range(s.burn_in + s.samples):
-            sent = np.bincount(self.pw, weights=t, minlength=len(self.words)).astype(np.int64)
-            busy = np.flatnonzero((sent > 1) & cold)
-            total, tables = sent[cold].sum() * s.blocks + 1.0, root[cold].sum() * s.blocks + 1.0
-            base = 1.0 / max(1.0, cold.sum() * s.blocks)
-            root = np.minimum(np.maximum(root, sent > 0), sent)
-            if len(busy):
-                root[busy] = reseat(rng, sent[busy], root[busy], lone, d, np.full(len(busy), (theta + d * tables) * base))
-            p = (sent - d * root + (theta + d * tables) * base) / (theta + total)
-            p[self.hot] = guess[self.hot]
-            if len(many):
-                own = np.bincount(self.pc, weights=t, minlength=CONTEXTS)[self.pc[many]] * s.blocks
-                t[many] = reseat(rng, self.c[many], t[many], lone, d, (theta + d * own) * p[self.pw[many]])
-            if k >= s.burn_in:
-                sent = np.bincount(self.pw, weights=t, minlength=len(self.words)).astype(np.int64)
-                yield t.copy(), np.minimum(np.maximum(root, sent > 0), sent)
-
-
-def _blocks(batches, setting: Setting):
-    """The blocks of a partition that is sorted by block.  The consumer lets one go before it asks for the next."""
+
+def _blocks(batches, setting: Setting, told: bool = False):
+    """The blocks of a partition that is sorted by block, `told` with their states by sweep and the parts' answers.  The
+    consumer lets one go before it asks for the next."""
     held: list[tuple] = []
+    states: dict[int, dict] = {}
+    answers: dict[int, tuple] = {}
     number = None
     enter("hpylm")
     _WORDS.clear()
     release_memory()
+
+    def out():
+        block = Block(held, setting, number)
+        held.clear()
+        return (block, dict(states), dict(answers)) if told else block
+
     for b in batches:
-        for k, chunk, blob in zip(*(b.column(c) for c in ("block", "chunk", "blob"))):
+        for k, kind, chunk, blob, part, sample in zip(*(b.column(c) for c in ("block", "kind", "chunk", "blob", "part", "sample"))):
             if number is not None and k.as_py() != number:
-                yield Block(held, setting, number)
-                held.clear()
+                yield out()
+                states.clear(), answers.clear()
             number = k.as_py()
-            held.append((chunk.as_py(), blob.as_py()))
+            if kind.as_py() == 0:
+                states[sample.as_py()] = {x: v for x, v in _undo(blob.as_py()).items() if x in ("t", "root")}
+            elif kind.as_py() == 3:
+                answers[part.as_py()] = _undo(blob.as_py())
+            else:
+                held.append((chunk.as_py(), blob.as_py()))
     if held:
-        yield Block(held, setting, number)
+        yield out()
+
+
+# ---- sweeps ---------------------------------------------------------------------------------------------------------
+# Rows between tasks.  kind 0: a block's state; 1: what a block tells a part of its contexts; 2: key and value of a sum
+# over all blocks; 3: a part's answer.  `sample` tells the sweeps apart where several are read together.
+
+ROWS = "kind int, block bigint, part bigint, sample int, blob binary, key bigint, value bigint"
+TOKENS, WORDS, SENT, TABLES, HOT, HOT_COUNT = 0, 1, 2, 3, 1 << 20, 1 << 21
+
+
+def _press(x) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
+
+
+def _undo(blob: bytes):
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["kind", "block", "part", "sample", "blob", "key", "value"])
+
+
+def _sums(values: dict[int, int]) -> list[tuple]:
+    return [(2, None, None, 0, None, k, int(v)) for k, v in values.items()]
+
+
+def _pieces(part: np.ndarray):
+    """Part and range of each run of a sorted array."""
+    cut = np.flatnonzero(np.diff(part)) + 1
+    return [(int(part[lo]), lo, hi) for lo, hi in zip([0, *cut], [*cut, len(part)])] if len(part) else []
 
 
-def _totals(setting: Setting):
-    """Per block: kind 0, key context: customers and tables; 1, key hot word: count and customers sent; 2: key 0 tokens,
-    key 1 words with a count and, for the others' root, customers (3) and tables (4) by sample."""
-    names = ["kind", "key", "c", *(f"t{k}" for k in range(setting.samples))]
+def _open(setting: Setting):
+    """A block's state at one table a pair, and what it tells of all its contexts: hash, customers, pairs met once, others."""
 
     def run(batches):
         for block in _blocks(batches, setting):
-            got = list(block.samples())
-            cold = ~block.hot
-            met = np.unique(block.pc)
-            cols = [np.zeros(len(met)), met, np.bincount(block.pc, weights=block.c, minlength=CONTEXTS)[met], *(np.bincount(block.pc, weights=t, minlength=CONTEXTS)[met] for t, _ in got)]
-            sent = [np.bincount(block.pw, weights=t, minlength=len(block.words)) for t, _ in got]
+            n, width, cold = len(block.words), len(block.contexts), ~block.hot
+            once, many = block.c == 1, np.flatnonzero(block.c > 1)
+            c, t1, others = (np.bincount(block.pc, weights=x, minlength=width).astype(np.int64)[block.order] for x in (block.c, once, block.c > 1))
+            met, part = block.contexts[block.order], block.part[block.order]
+            place = np.cumsum(others > 0) - 1
+            back = np.empty(width, dtype=np.int64)
+            back[block.order] = place
+            sent1 = np.bincount(block.pw, weights=once, minlength=n).astype(np.int64)
+            sent = sent1 + np.bincount(block.pw[many], minlength=n)
             hot = np.flatnonzero(block.hot)
-            for k, v in enumerate([np.ones(len(hot)), block.words[hot].view(np.int64), block.count[hot], *(x[hot] for x in sent)]):
-                cols[k] = np.concatenate([cols[k], v]) if k != 1 else np.concatenate([cols[k].astype(np.int64), v])
-            extra = [(2, 0, block.count.sum(), [0] * len(got)), (2, 1, (block.count[cold] > 0).sum(), [0] * len(got)), (2, 3, 0, [x[cold].sum() for x in sent]), (2, 4, 0, [r[cold].sum() for _, r in got])]
-            arrays = [pa.array(np.concatenate([np.asarray(c), [e[i] if i < 3 else e[3][i - 3] for e in extra]]).astype(np.int64)) for i, c in enumerate(cols)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-            del block, got, sent
+            root = np.where(cold, np.minimum(sent, 1), 0)
+            at = np.searchsorted(setting.hot, block.words[hot])
+            state = {"w": block.pw[many], "x": _small(back[block.pc[many]]), "c": _small(block.c[many]), "t": np.ones(len(many), dtype=np.uint8), "sent1": _small(sent1), "root": _small(root), "hot": hot, "hot_at": at, "part": part[others > 0]}
+            rows = [(0, block.number, None, 0, _press(state), None, None)]
+            rows += [(1, block.number, int(setting.keys[p]), -1, _press((met[lo:hi], _small(c[lo:hi]), _small(t1[lo:hi]), _small(others[lo:hi]))), None, None) for p, lo, hi in _pieces(part)]
+            rows += _sums({TOKENS: block.count.sum(), WORDS: (block.count[cold] > 0).sum(), SENT: sent[cold].sum(), TABLES: root.sum()} | {HOT + int(a): sent[h] for a, h in zip(at, hot)} | {HOT_COUNT + int(a): block.count[h] for a, h in zip(at, hot)})
+            yield _batch(rows)
+            del block
 
     return run
 
 
-class Totals:
-    """What the scoring tasks need of other blocks; its size is fixed by the number of contexts and of hot words."""
-
-    def __init__(self, pdf, setting: Setting):
-        s = setting.samples
-        cols = [f"t{k}" for k in range(s)]
-        self.c, self.t = np.zeros(CONTEXTS), np.zeros((s, CONTEXTS))
-        x = pdf[pdf.kind == 0]
-        self.c[x.key.to_numpy()] = x.c.to_numpy()
-        self.t[:, x.key.to_numpy()] = x[cols].to_numpy().T
-        one = {k: pdf[(pdf.kind == 2) & (pdf.key == k)] for k in (0, 1, 3, 4)}
-        first = lambda k: [float(one[k][c].iloc[0]) if len(one[k]) else 0.0 for c in ("c", *cols)]
-        self.tokens, self.words = int(first(0)[0]), int(first(1)[0])
-        sent, tables = np.array(first(3)[1:]), np.array(first(4)[1:])
-        h = pdf[pdf.kind == 1]
-        self.hot_c = dict(zip(h.key.tolist(), h.c.tolist()))
-        self.words += sum(v > 0 for v in self.hot_c.values())
-        rng, lone = np.random.default_rng(setting.seed), lone_table(setting.discount)
-        base = 1.0 / (self.words + 1)
-        self.hot_sent = dict(zip(h.key.tolist(), h[cols].to_numpy().astype(np.int64)))
-        self.hot_root: dict[int, np.ndarray] = {}
-        for key, c in self.hot_sent.items():
-            t = np.minimum(c, 1)
-            many = c > 1
-            if many.any():
-                t[many] = reseat(rng, c[many], t[many], lone, setting.discount, (setting.strength + setting.discount * tables[many]) * base)
-            self.hot_root[key] = t
-        zero = np.zeros(s)
-        self.sent = sent + sum(self.hot_sent.values(), zero)
-        self.tables = tables + sum(self.hot_root.values(), zero)
+def _groups(batches, by: str):
+    """(key, its rows) of a partition that is sorted by `by`."""
+    now, rows = None, []
+    for b in batches:
+        for x in zip(*(b.column(c).to_pylist() for c in (by, "kind", "block", "part", "sample", "blob"))):
+            if rows and x[0] != now:
+                yield now, rows
+                rows = []
+            now = x[0]
+            rows.append(x[1:])
+    if rows:
+        yield now, rows
+
+
+def _first_answers(batches):
+    """Numbers of a part's contexts that have pairs met more than once; to each block: number, pairs met once, others."""
+    enter("hpylm")
+    for part, rows in _groups(batches, "part"):
+        told = [(block, *_undo(blob)) for _, block, _, _, blob in rows]
+        busy = np.unique(np.concatenate([h[o > 0] for _, h, _, _, o in told]))
+        t1, others = np.zeros(len(busy), dtype=np.int64), np.zeros(len(busy), dtype=np.int64)
+        if len(busy):
+            for _, h, _, t, o in told:
+                at = np.minimum(np.searchsorted(busy, h), len(busy) - 1)
+                hit = busy[at] == h
+                t1[at[hit]] += t[hit]
+                others[at[hit]] += o[hit]
+        out = [(3, block, part, 0, _press((at := np.searchsorted(busy, h[o > 0]), _small(t1[at]), _small(others[at]))), None, None) for block, h, _, _, o in told if (o > 0).any()]
+        if out:
+            yield _batch(out)
+
+
+def _answers(batches):
+    """The tables of a part's contexts over all blocks, to each block those it has told of."""
+    enter("hpylm")
+    for part, rows in _groups(batches, "part"):
+        told = [(block, np.cumsum(d, dtype=np.int64), t) for _, block, _, _, blob in rows for d, t in [_undo(blob)]]
+        total = np.zeros(max(int(i[-1]) for _, i, _ in told) + 1, dtype=np.int64)
+        for _, i, t in told:
+            total[i] += t
+        yield _batch([(3, block, part, 0, _press(_small(total[i])), None, None) for block, i, _ in told])
+
+
+class Shared:
+    """Sums over all blocks and the seats of the hot words after a sweep; its size is that of the number of hot words."""
+
+    def __init__(self, sums: dict[int, int], setting: Setting, before: Shared | None = None):
+        n, d, theta = len(setting.hot), setting.discount, setting.strength
+        self.tokens = before.tokens if before else sums.get(TOKENS, 0)
+        self.hot_count = before.hot_count if before else np.array([sums.get(HOT_COUNT + k, 0) for k in range(n)], dtype=np.int64)
+        self.words = before.words if before else sums.get(WORDS, 0) + int((self.hot_count > 0).sum())
+        self.sweep = before.sweep + 1 if before else 0
+        self.base = 1.0 / (self.words + 1)
+        self.hot_sent = np.array([sums.get(HOT + k, 0) for k in range(n)], dtype=np.int64)
+        cold = sums.get(TABLES, 0)
+        root = np.minimum(np.maximum(before.hot_root, self.hot_sent > 0), self.hot_sent) if before else np.minimum(self.hot_sent, 1)
+        busy = np.flatnonzero(self.hot_sent > 1)
+        if len(busy):
+            mass = np.full(len(busy), (theta + d * (cold + root.sum())) * self.base)
+            c = self.hot_sent[busy]
+            start = root[busy] if before else np.where(c > STIRLING, expected_tables(c, d, mass), 1)
+            root[busy] = reseat(np.random.default_rng([setting.seed, 1, self.sweep]), c, start, lone_table(d), d, mass)
+        self.hot_root, self.tables, self.sent = root, float(cold + root.sum()), float(sums.get(SENT, 0) + self.hot_sent.sum())
+        self.hot_p = self.p(self.hot_sent, root, setting)
+
+    def p(self, sent, root, setting: Setting):
+        d, theta = setting.discount, setting.strength
+        return (sent - d * root + (theta + d * self.tables) * self.base) / (theta + self.sent)
+
+
+def _sweep(setting: Setting, g: Shared):
+    """Moves all customers of a block's pairs and of its words' places in the shared restaurant once."""
+
+    def run(batches):
+        enter("hpylm")
+        lone, d, theta = lone_table(setting.discount), setting.discount, setting.strength
+        for number, rows in _groups(batches, "block"):
+            st = _undo(next(x[4] for x in rows if x[0] == 0))
+            answers = {x[2]: _undo(x[4]) for x in rows if x[0] == 3}
+            told = [answers[int(setting.keys[p])] for p, _, _ in _pieces(st["part"])]
+            if g.sweep == 0 and told:
+                st["id"], st["t1"], tables = (np.concatenate([x[k] for x in told]).astype(np.int64) for k in range(3))
+            elif told:
+                tables = np.concatenate(told).astype(np.int64)
+            w, x, c, t = (st[k].astype(np.int64) for k in "wxct")
+            sent1, root, n = st["sent1"].astype(np.int64), st["root"].astype(np.int64), len(st["sent1"])
+            rng = np.random.default_rng([setting.seed, 0, g.sweep, number & (1 << 63) - 1])
+            cold = np.ones(n, dtype=bool)
+            cold[st["hot"]] = False
+            sent = sent1 + np.bincount(w, weights=t, minlength=n).astype(np.int64)
+            busy = np.flatnonzero((sent > 1) & cold)
+            mass = np.full(len(busy), (theta + d * g.tables) * g.base)
+            if g.sweep == 0:
+                root[busy] = np.where(sent[busy] > STIRLING, expected_tables(sent[busy], d, mass), root[busy])
+            root[busy] = reseat(rng, sent[busy], root[busy], lone, d, mass)
+            p = g.p(sent, root, setting)
+            p[st["hot"]] = g.hot_p[st["hot_at"]]
+            if len(w):
+                mass = (theta + d * (st["t1"] + tables)[x]) * p[w]
+                if g.sweep == 0:
+                    t = np.where(c > STIRLING, expected_tables(c, d, mass), t)
+                t = reseat(rng, c, t, lone, d, mass)
+            sent = sent1 + np.bincount(w, weights=t, minlength=n).astype(np.int64)
+            root = np.where(cold, np.minimum(np.maximum(root, sent > 0), sent), 0)
+            own = np.bincount(x, weights=t, minlength=len(st["part"])).astype(np.int64)
+            st["t"], st["root"] = _small(t), _small(root)
+            out = [(0, number, None, g.sweep, _press(st), None, None)]
+            out += [(1, number, int(setting.keys[p_]), g.sweep, _press((_small(np.diff(st["id"][lo:hi], prepend=0)), _small(own[lo:hi]))), None, None) for p_, lo, hi in _pieces(st["part"])]
+            out += _sums({SENT: sent[cold].sum(), TABLES: root.sum()} | {HOT + int(a): sent[h] for a, h in zip(st["hot_at"], st["hot"])})
+            yield _batch(out)
+
+    return run
+
+
+def _last_answers(sweeps: list[int]):
+    """Customers and, by sample, tables over all blocks of every context that a block has."""
+
+    def run(batches):
+        enter("hpylm")
+        for part, rows in _groups(batches, "part"):
+            asked = [(block, *_undo(blob)) for _, block, _, sample, blob in rows if sample < 0]
+            met = np.unique(np.concatenate([h for _, h, _, _, _ in asked]))
+            c, t1, others = (np.zeros(len(met), dtype=np.int64) for _ in range(3))
+            for _, h, x, y, z in asked:
+                at = np.searchsorted(met, h)
+                c[at] += x
+                t1[at] += y
+                others[at] += z
+            tables, busy = np.tile(t1, (len(sweeps), 1)), np.flatnonzero(others)
+            for _, _, _, sample, blob in rows:
+                if sample >= 0:
+                    d, t = _undo(blob)
+                    tables[sweeps.index(sample), busy[np.cumsum(d, dtype=np.int64)]] += t
+            for block, h, *_ in asked:
+                at = np.searchsorted(met, h)
+                yield _batch([(3, block, part, 0, _press((_small(c[at]), [_small(t[at]) for t in tables])), None, None)])
+
+    return run
 
 
 def _scores(setting: Setting, shared):
     """A row per block and chunk: places of the documents, their known tokens, sums of log10(c + 1) and of log10 p."""
 
     def run(batches):
-        g: Totals = shared.value
-        d, theta = setting.discount, setting.strength
+        after: list[Shared] = shared.value
+        g, d, theta = after[0], setting.discount, setting.strength
         press = zstandard.ZstdCompressor(level=1)
-        for block in _blocks(batches, setting):
-            keys = block.words.view(np.int64)
+        for block, states, answers in _blocks(batches, setting, True):
             hot = np.flatnonzero(block.hot)
             count = block.count.astype(np.float64)
-            for k in hot:
-                count[k] = g.hot_c.get(int(keys[k]), 0)
-            base, mean = 1.0 / (g.words + 1), np.zeros(len(block.pw))
-            for k, (t, root) in enumerate(block.samples()):
-                sent, root = np.bincount(block.pw, weights=t, minlength=len(block.words)), root.astype(np.float64)
-                for j in hot:
-                    sent[j], root[j] = g.hot_sent[int(keys[j])][k], g.hot_root[int(keys[j])][k]
-                p = (sent - d * root + (theta + d * g.tables[k]) * base) / (theta + g.sent[k])
-                c, tables = g.c[block.pc], g.t[k][block.pc]
-                mean += (np.maximum(block.c - d * t, 0) + (theta + d * tables) * p[block.pw]) / (theta + c)
+            hot_at = np.searchsorted(setting.hot, block.words[hot])
+            count[hot] = g.hot_count[hot_at]
+            told = [answers[int(setting.keys[p])] for p, _, _ in _pieces(block.part[block.order])]
+            c = np.empty(len(block.contexts))
+            c[block.order] = np.concatenate([x[0] for x in told])
+            mean, many = np.zeros(len(block.pw)), block.c > 1
+            for k, now in enumerate(after):
+                state = states[now.sweep - 1]
+                t = np.minimum(block.c, 1)
+                t[many] = state["t"]
+                tables = np.empty(len(block.contexts))
+                tables[block.order] = np.concatenate([x[1][k] for x in told])
+                p = now.p(np.bincount(block.pw, weights=t, minlength=len(block.words)), state["root"].astype(np.float64), setting)
+                p[hot] = now.hot_p[hot_at]
+                mean += (np.maximum(block.c - d * t, 0) + (theta + d * tables[block.pc]) * p[block.pw]) / (theta + c[block.pc])
+            del states, answers, told
             sizes = np.concatenate([x[2] for x in block.docs]).astype(np.int64)
             starts = np.cumsum(sizes) - sizes
             logp = np.add.reduceat(np.log10(mean / setting.samples)[block.at], starts)
@@ -445,22 +587,37 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id_type = df.schema[id_col].dataType.simpleString()
     docs = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("t"))
     setting = Setting(partition_keys(spark, max(least_blocks, partitions(spark))), hot_words(docs), discount, strength, samples, burn_in, seed)
-    dealt = docs.mapInArrow(_deal(setting, modulus, held_out), DEALT.format(id_type))
-    dealt = dealt.repartition(setting.blocks, "block").sortWithinPartitions("block")
-    path = f"{shared_root(spark)}/hpylm-{uuid.uuid4().hex}"
-    dealt.write.option("parquet.block.size", str(1 << 30)).parquet(path)  # one row group a file: a block is never cut
-    table = spark.read.schema(dealt.schema).parquet(path)
-    blocks = table.filter("kind = 0").select("block", "chunk", "blob")
-    names = ", ".join(f"t{k} bigint" for k in range(samples))
-    sums = blocks.mapInArrow(_totals(setting), f"kind bigint, key bigint, c bigint, {names}").groupBy("kind", "key").agg(F.sum("c").alias("c"), *(F.sum(f"t{k}").alias(f"t{k}") for k in range(samples)))
-    totals = Totals(sums.toPandas(), setting)  # one row per context and hot word
-    shared = spark.sparkContext.broadcast(totals)
-    parts = blocks.mapInArrow(_scores(setting, shared), "chunk bigint, blob binary").withColumn("kind", F.lit(0))
+    table = materialize(docs.mapInArrow(_deal(setting, modulus, held_out), DEALT.format(id_type)), "hpylm-dealt")
+    blobs = table.filter("kind = 0").select(F.lit(4).alias("kind"), "block", "chunk", "blob", F.lit(None).cast("bigint").alias("part"), F.lit(None).cast("int").alias("sample"))
+
+    def dealt(rows, by):
+        return rows.repartition(setting.blocks, by).sortWithinPartitions(by)
+
+    def sums(rows):
+        return {r.key: r.value for r in rows.filter("kind = 2").groupBy("key").agg(F.sum("value").alias("value")).collect()}
+
+    first = now = materialize(dealt(blobs, "block").mapInArrow(_open(setting), ROWS), "hpylm-open")
+    shared = Shared(sums(now), setting)
+    after, tables = [], []
+    for k in range(burn_in + samples):
+        answers = dealt(now.filter("kind = 1"), "part").mapInArrow(_answers if k else _first_answers, ROWS)
+        now = materialize(dealt(now.filter("kind = 0").unionByName(answers), "block").mapInArrow(_sweep(setting, shared), ROWS), "hpylm-sweep")
+        shared = Shared(sums(now), setting, shared)
+        if k >= burn_in:
+            after.append(shared)
+            tables.append(now)
+    asked, states = first.filter("kind = 1"), None
+    for x in tables:
+        asked = asked.unionByName(x.filter("kind = 1"))
+        states = x.filter("kind = 0") if states is None else states.unionByName(x.filter("kind = 0"))
+    answers = dealt(asked, "part").mapInArrow(_last_answers([x.sweep - 1 for x in after]), ROWS)
+    told = states.unionByName(answers).select("kind", "block", F.lit(None).cast("bigint").alias("chunk"), "blob", "part", "sample")
+    parts = dealt(blobs.unionByName(told), "block").mapInArrow(_scores(setting, spark.sparkContext.broadcast(after)), "chunk bigint, blob binary").withColumn("kind", F.lit(0))
     chunks = table.filter("kind = 1").select("chunk", "kind", "ids", "held")
     both = chunks.unionByName(parts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.desc("kind"))
     each = both.select("kind", "blob", "ids", "held").mapInArrow(_gather, f"id {id_type}, held boolean, n bigint, known bigint, logc double, logp double")
-    floor = math.log10(totals.tokens + totals.words + 1)
-    return each.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(totals.tokens).cast("bigint").alias("train_tokens"), (F.col("logc") - F.col("n") * F.lit(floor)).alias("base_score"), F.col("logp").alias("score"))
+    floor = math.log10(shared.tokens + shared.words + 1)
+    return each.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(shared.tokens).cast("bigint").alias("train_tokens"), (F.col("logc") - F.col("n") * F.lit(floor)).alias("base_score"), F.col("logp").alias("score"))
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

@@ -215,3 +215,22 @@ def test_table_numbers_of_large_counts_converge():
         for _ in range(12):
             t = hpylm.reseat(rng, count, t, lone, d, masses)
         assert abs(t.mean() - exact) < 0.1 * exact
+
+
+def test_contexts_of_equal_low_bits_stay_apart_and_blocks_do_not_matter(spark):
+    met = {}
+    for i in range(5000):
+        a, b = met.setdefault(hpylm._WORDS[b"c%d" % i] & 0xFFFF, i), i
+        if a != b:
+            break
+    assert a != b
+    r = random.Random(4)
+    rows = [(i, f"c{a} left" if i % 2 else f"c{b} right") for i in range(600)]
+    rows += [(1000 + i, " ".join(r.choices([f"w{k}" for k in range(40)], k=30))) for i in range(200)]
+    held = [i for i in range(5000, 5100) if crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(held[0], f"c{a} left"), (held[1], f"c{a} right")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = ({x.doc_id: x for x in hpylm.score_documents(df, least_blocks=n).collect()} for n in (4, 32))
+    assert few[held[0]].score > few[held[1]].score + 1.0 and many[held[0]].score > many[held[1]].score + 1.0
+    total = sum(x.score for x in few.values())
+    assert abs(total - sum(x.score for x in many.values())) < 0.004 * abs(total)
