@@ -57,7 +57,9 @@ def brief(blocks: DataFrame, per_block: int = 2, bullets: int = 12) -> DataFrame
 def mindmap(sections: DataFrame, branches: int = 12, leaves: int = 6) -> DataFrame:
     """parent, position, titles: section titles under their parents, parents in the order first seen."""
     clean = F.trim(F.regexp_replace("title", r"[\[\](){}]", " "))
-    by = sections.filter("parent_id is not null").groupBy(F.col("parent_id").alias("parent")).agg(F.min("ordinal").alias("seen"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", clean.alias("t")))), lambda x: x["t"]), 1, leaves).alias("titles"))
+    rows = sections.filter("parent_id is not null").select(F.col("parent_id").alias("parent"), "ordinal", clean.alias("t"))
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("parent").orderBy("ordinal", "t"))).filter(F.col("rn") <= max(leaves, 1))
+    by = first.groupBy("parent").agg(F.min("ordinal").alias("seen"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "t"))), lambda x: x["t"]), 1, leaves).alias("titles"))
     top = by.orderBy("seen", "parent").limit(branches)
 
     return top.withColumn("position", F.row_number().over(Window.orderBy("seen", "parent"))).drop("seen")

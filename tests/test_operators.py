@@ -208,3 +208,11 @@ def test_incremental_vectors(spark):
     assert retrieval.check_identity(meta, {"model": "m", "dims": "2"}).first().same
     with pytest.raises(Exception):
         retrieval.check_identity(meta, {"model": "other"}).collect()
+
+
+def test_mindmap_bounds_groups_before_titles_are_collected(spark):
+    rows = [(1, i, f"t{i % 97}") for i in range(3000)] + [(2, 5, "b"), (2, 5, "a"), (None, 0, "x")]
+    found = compile.mindmap(spark.createDataFrame(rows, "parent_id long, ordinal long, title string"))
+    assert [(x.parent, x.position, x.titles) for x in found.orderBy("position").collect()] == [(1, 1, [f"t{i}" for i in range(6)]), (2, 2, ["a", "b"])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
