@@ -38,13 +38,38 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def plan_of(n: int, dim: int, share: float = 0.85, miss: float = 1e-3) -> tuple[int, int, int]:
-    """Hashes per bucket, tables and probes for n vectors: buckets hold a few vectors each, and a pair at the threshold,
-    whose two best axes of one hash meet with a chance of `share`, is missed with a chance of `miss`."""
+def meeting_chance(d: int, cosine: float, hashes: int, probes: int) -> float:
+    """The chance that two vectors of that cosine meet in a bucket of one table, less three standard errors: measured on
+    normal vectors, which are what the rotations make of any pair."""
+    rng = np.random.default_rng([d, hashes, probes])
+    n = max(1000, min(20_000, (1 << 22) // (d * hashes)))
+    best, cost = [], []
+    for _ in range(hashes):
+        x = rng.standard_normal((n, d))
+        for y in (x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * rng.standard_normal((n, d))):
+            a = np.abs(y)
+            top = np.argpartition(-a, 1, axis=1)[:, :2]
+            top = np.where((a[np.arange(n), top[:, 0]] >= a[np.arange(n), top[:, 1]])[:, None], top, top[:, ::-1])
+            best.append(2 * top + (np.take_along_axis(y, top, 1) < 0))
+            size = np.take_along_axis(a, top, 1)
+            cost.append((size[:, 0] - size[:, 1]) / np.linalg.norm(y, axis=1))
+    codes = []
+    for side in (0, 1):
+        losses = np.stack([sum((cost[2 * k + side] for k in range(hashes) if m >> k & 1), np.zeros(n)) for m in range(1 << hashes)], axis=1)
+        order = np.argsort(losses, axis=1, kind="stable")[:, :probes]
+        codes.append(np.stack([np.take_along_axis(best[2 * k + side], order >> k & 1, 1) for k in range(hashes)], axis=2))
+    met = (codes[0][:, :, None] == codes[1][:, None]).all(axis=3).any(axis=(1, 2)).mean()
+    return min(0.999, max(1 / n, met - 3 * math.sqrt(met * (1 - met) / n)))
+
+
+def plan_of(n: int, dim: int, cosine: float = 0.9, miss: float = 1e-3) -> tuple[int, int, int]:
+    """Hashes per bucket, tables and probes for n vectors: buckets hold a few vectors each, and a pair at the threshold
+    is missed with a chance of `miss`, by the chance that it meets with the probes that are made."""
     d = 1 << max(1, (dim - 1).bit_length())
     hashes = max(1, math.ceil(math.log(max(2.0, n / 8)) / math.log(2 * d)))
-    tables = max(2, math.ceil(math.log(miss) / math.log(1 - share**hashes)))
-    return hashes, tables, min(1 << hashes, 8)
+    probes = min(1 << hashes, 8)
+    tables = max(2, math.ceil(math.log(miss) / math.log(1 - meeting_chance(d, cosine, hashes, probes))))
+    return hashes, tables, probes
 
 
 def buckets_of(x: np.ndarray, hashes: int, tables: int, probes: int) -> np.ndarray:
@@ -209,7 +234,7 @@ def similar_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     id_type = df.schema[id_col].dataType.simpleString()
     src = df.select(df[id_col].alias("id"), df[vector_col].alias("v"))
     shape = src.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    hashes, tables, probes = plan_of(shape.n, dim := max(1, shape.d or 1))
+    hashes, tables, probes = plan_of(shape.n, dim := max(1, shape.d or 1), cosine)
     kind = "<f4" if df.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
     codes_as = code_kind(dim, hashes)
     rows = materialize(src.mapInArrow(_rows(hashes, tables, probes, kind, codes_as), f"id {id_type}, h1 bigint, h2 bigint, vec binary, codes binary"), "vector-rows")

@@ -90,3 +90,17 @@ def test_vectors_equal_brute_force(spark, block):
 def test_hadamard_is_orthogonal():
     h = vectors.hadamard(np.eye(16))
     assert np.array_equal(h @ h.T, 16 * np.eye(16))
+
+
+def test_planned_tables_find_the_planned_share_of_links():
+    rng = np.random.default_rng(8)
+    for n, dim, cosine in ((50_000, 1024, 0.9), (1_000_000, 8, 0.9), (3_000, 64, 0.7)):  # low dimension: five hashes, not all probes
+        hashes, tables, probes = vectors.plan_of(n, dim, cosine)
+        x = rng.standard_normal((1000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z = rng.standard_normal((1000, dim))
+        z -= (z * x).sum(1, keepdims=True) * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        a, b = (vectors.buckets_of(v, hashes, tables, probes) for v in (x, y))
+        met = (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3))
+        assert (~met).sum() <= 6, (dim, cosine, (~met).sum())
