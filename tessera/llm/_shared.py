@@ -34,12 +34,35 @@ def shared_root(spark: SparkSession) -> str:
     return _OWN_ROOT[app]
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write `df` as a table in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The shuffle files of the write go when it has ended."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._own_folder = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of `materialize` that nothing will read any more; others are left alone."""
+    for t in tables:
+        path = getattr(t, "_own_folder", None)
+        if path:
+            jvm = t.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            t._own_folder = None
 
 
 def text_or_empty(col: str = "text"):

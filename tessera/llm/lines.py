@@ -20,8 +20,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm._shared import enter, materialize, text_or_empty
+from tessera.llm._shared import discard, enter, materialize, text_or_empty
 
 # Fixed value: the white space that is stripped from both ends of a line.
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -181,6 +182,7 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = materialize(docs.mapInArrow(_line_rows(min_key), f"h1 bigint, h2 bigint, id {id_type}, tk bigint, pos int"), "line-hashes")
     dealt = rows.repartitionByRange("h1", "h2", "id").sortWithinPartitions("h1", "h2", "id", "pos")
     found = materialize(dealt.mapInArrow(_stream(min_docs, keep == "first"), f"h1 bigint, h2 bigint, id {id_type}, tk bigint, pos int, kind int, n bigint, part bigint"), "line-runs")
+    discard(rows)
     edges = found.filter("kind = 2").groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.min("part").alias("first_part"))  # at most two rows a partition
     waits = found.filter("kind = 1").join(F.broadcast(edges), ["h1", "h2"]).filter(F.col("docs") >= min_docs)
     if keep == "first":
@@ -200,7 +202,9 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 maps.append(zlib.compress(np.packbits(keepers).tobytes(), 6))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tk"), b.column("n_lines"), pa.array(lost, pa.int64()), pa.array(maps, pa.binary())], names=["id", "tk", "n_lines", "n_dropped", "bitmap"])
 
-    return both.mapInArrow(bits, f"id {id_type}, tk bigint, n_lines bigint, n_dropped bigint, bitmap binary")
+    maps = materialize(both.mapInArrow(bits, f"id {id_type}, tk bigint, n_lines bigint, n_dropped bigint, bitmap binary"), "line-bitmaps")
+    discard(found)
+    return maps
 
 
 def kept_text(text: str, bitmap: bytes) -> str:
@@ -210,21 +214,28 @@ def kept_text(text: str, bitmap: bytes) -> str:
     return text if keepers.all() else "\n".join([x for x, k in zip(lines, keepers) if k])
 
 
-def apply_bitmaps(df: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "kept") -> DataFrame:
-    """`df` with n_lines, n_dropped and the kept text in `out`; its other columns stay, in order."""
-    from pyspark.sql import types as T
+def kept_lines(df: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row of `df` as the struct `row_`, with n_lines, n_dropped and the kept text in `kept_`.
 
+    Texts are shuffled once, at any size."""
     names = [f"`{c}`" for c in df.columns]
-    left = df.select(F.struct(*names).alias("row_"), df[id_col].alias("id_"), text_or_empty(text_col).alias("t_")).withColumn("tk_", F.xxhash64("t_"))
-    both = left.join(maps, F.expr("id_ <=> id and tk_ = tk")).select("row_", "t_", "n_lines", "n_dropped", "bitmap")
+    left = df.select(F.struct(*names).alias("row_"), df[id_col].alias("id_"), F.xxhash64(text_or_empty(text_col)).alias("tk_"))
+    both = left.join(maps.hint("merge"), F.expr("id_ <=> id and tk_ = tk")).select("row_", "n_lines", "n_dropped", "bitmap")
 
     def run(batches):
         enter("lines")
         for b in batches:
-            kept = pa.array([kept_text(t, m) for t, m in zip(b.column("t_").to_pylist(), b.column("bitmap").to_pylist())], pa.string())
+            texts = b.column("row_").field(text_col).to_pylist()
+            kept = pa.array([kept_text(t or "", m) for t, m in zip(texts, b.column("bitmap").to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("row_"), b.column("n_lines"), b.column("n_dropped"), kept], names=["row_", "n_lines", "n_dropped", "kept_"])
 
     schema = T.StructType([T.StructField("row_", T.StructType(df.schema.fields)), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_", T.StringType())])
-    done = both.mapInArrow(run, schema)
+    return both.mapInArrow(run, schema)
+
+
+def apply_bitmaps(df: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "kept") -> DataFrame:
+    """`df` with n_lines, n_dropped and the kept text in `out`; its other columns stay, in order, and columns of these
+    names go."""
+    done = kept_lines(df, maps, id_col, text_col)
     new = {"n_lines", "n_dropped", out}
     return done.select(*(F.col(f"row_.`{c}`").alias(c) for c in df.columns if c not in new), "n_lines", "n_dropped", F.col("kept_").alias(out))

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.llm import jaccard, vectors
+from tessera.llm import _words, jaccard, vectors
 from tessera.llm.components import components
 
 
@@ -66,6 +67,45 @@ def test_jaccard_of_repeated_rows_null_ids_and_empty_table(spark):
     assert jaccard.similar_documents(df.limit(0)).count() == 0
 
 
+def test_jaccard_of_one_id_with_several_texts_ties_them(spark):
+    rows = [(1, "a b c d e"), (2, "p q r s t"), (3, "A b c d e"), (3, "p q r s t"), (4, "u v w"), (1, "a b c d e")]
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, k int, row string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.similar_documents(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (4, 4)]
+
+
+def test_jaccard_of_very_long_texts_and_very_long_words(spark):
+    words = [f"w{i % 5000}x{i // 7}" for i in range(300_000)]
+    other = list(words)
+    for i in range(0, 300_000, 6000):
+        other[i] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "y" * 1_000_000), (4, "Y" * 1_000_000), (5, "y" * 999_999)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][1] for i in range(1, 6)] == [1, 1, 3, 3, 5] and got[1][0] == 299_998 and got[3][0] == 1
+
+
+@pytest.mark.parametrize("piece", [16, 64, 1 << 17])
+def test_word_hashes_split_as_bytes_do(monkeypatch, piece):
+    monkeypatch.setattr(_words, "PIECE", piece)
+    r = random.Random(piece)
+    for _ in range(60):
+        texts = [None if r.random() < 0.05 else "".join(r.choice(["a", "B", "é", " ", "\n", "\t", "xyz", "ABCDEFGHIJ" * r.choice([1, 9]), "q" * r.choice([1, 70])]) for _ in range(r.choice([0, 1, 30]))) for _ in range(r.choice([0, 1, 12]))]
+        hashes, counts = _words.word_hashes(pa.array(texts, pa.string()))
+        split = [(t or "").encode().lower().split() for t in texts]
+        assert counts.tolist() == [len(x) for x in split]
+        met = dict(zip((w for x in split for w in x), hashes.tolist()))
+        assert [met[w] for x in split for w in x] == hashes.tolist() and len(set(met.values())) == len(met)
+
+
+def test_signatures_never_deny_a_link():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        a = r.integers(0, 1 << 62, r.integers(1, 400)).astype(np.uint64)
+        b = np.unique(np.concatenate([a[r.random(len(a)) < r.uniform(0.6, 1)], r.integers(0, 1 << 62, r.integers(0, 30)).astype(np.uint64)]))
+        a = np.unique(a)
+        bits = sum(int(x ^ y).bit_count() for x, y in zip(jaccard.signature(a).view(np.uint64), jaccard.signature(b).view(np.uint64)))
+        assert bits <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+
+
 @pytest.mark.parametrize("block", [1000, 40])
 def test_vectors_equal_brute_force(spark, block):
     r = np.random.default_rng(4)
