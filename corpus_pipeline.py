@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, langid, lines, packing, registry, toxicity
-from tessera.llm._shared import materialize, table, text_or_empty
+from tessera.llm._shared import discard, materialize, table, text_or_empty
 
 OWN = "tessera_own_"
 
@@ -35,12 +35,11 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that at least 10 documents share stay where they come first; documents that lose every line go."""
     maps = lines.keep_bitmaps(docs, min_docs=10, min_key=1, keep="first")
-    whole = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(OWN))
-    kept = lines.apply_bitmaps(whole, maps, out="text")
-    kept = kept.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.when(F.col(f"{OWN}.text").isNull(), F.lit(None).cast("string")).otherwise(F.col("text"))}
-    new["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col(f"{OWN}.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return kept.select(*(new[c].alias(c) if c in new else F.col(f"{OWN}.`{c}`").alias(c) for c in docs.columns))
+    kept = lines.kept_lines(docs, maps).filter((F.col("n_dropped") == 0) | F.col("kept_").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.when(F.col("n_dropped") > 0, F.col("kept_")).otherwise(F.col("row_.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept_")).otherwise(F.col("row_.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*(new.get(c, F.col(f"row_.`{c}`")).alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
