@@ -1,46 +1,43 @@
 """Language identification by a bidirectional gated recurrent network over bytes (operator 10).
 
-A text is read as runs of non-space bytes, each between two spaces and in pieces of at most 32 bytes; the network reads
-every piece in both directions, labels every position, and a document pools the log probabilities of all its positions.
-The states start anew at each piece, so equal pieces have equal labels and a worker keeps those it has met.  The network
-is trained in numpy by backpropagation through time with Adam, on the driver, on a bounded sample.
-
-Input rules: a text that is null or has no letter is `und` with score 0; null languages teach nothing; with no training
-row every text is `und`.
+The network reads a text byte by byte in both directions and labels every position; a document pools the probabilities
+of its letter positions.  A text is read in windows of `CORE` positions, each with `MARGIN` bytes of its neighbours on
+the side that a direction comes from, so states carry across words and long texts are many rows of one batch; before and
+behind a text stand spaces.  The network is trained in numpy by backpropagation through time with Adam, on the driver, on a bounded sample.
+
+Input rules: a text that is null or has no letter (Unicode category L) is `und` with score 0; null languages teach
+nothing; with no training row every text is `und`; repeated rows teach and are labelled each on their own; languages
+that tie go to the one that sorts first; only the columns named in the arguments are read, whatever else there is.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import enter, id_remainder, text_or_empty, worker_cache
+from tessera.llm._shared import enter, id_remainder, text_or_empty
 
 UNKNOWN = "und"
-PIECE = 32
-LETTER = re.compile(r"[^\W\d_]")
+CORE, MARGIN = 128, 16
+SLICE = 1 << 18  # bytes that are labelled together
+LETTER = regex.compile(r"\p{L}")
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_LETTER_BYTE = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
 
 
-def pieces_of(text: str) -> list[bytes]:
-    """The runs of non-space bytes that hold a letter, A-Z lower-cased, cut at 32 bytes."""
-    out = []
-    for w in text.encode("utf-8", "surrogatepass").lower().split():
-        if len(w) <= PIECE:
-            out.append(w)
-        else:
-            out += [w[i : i + PIECE] for i in range(0, len(w), PIECE)]
-    return out
+def bytes_of(text: str) -> bytes:
+    """UTF-8 with A-Z lower-cased; line ends and tabs count as spaces."""
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).translate(_BLANK)
 
 
-def _sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+_BLANK = bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))
 
 
 @dataclass
@@ -51,7 +48,7 @@ class ByteGRU:
     p: dict[str, np.ndarray]
 
     @classmethod
-    def fresh(cls, langs: list[str], hidden: int = 16, seed: int = 11) -> ByteGRU:
+    def fresh(cls, langs: list[str], hidden: int = 8, seed: int = 11) -> ByteGRU:
         r = np.random.default_rng(seed)
         p = {}
         for d in "fb":
@@ -62,37 +59,57 @@ class ByteGRU:
         p["q"] = np.zeros(len(langs), dtype=np.float32)
         return cls(langs, p)
 
-    def _direction(self, x: np.ndarray, d: str, keep: bool):
-        """States (length, rows, hidden) over byte columns `x` (length, rows), and what backpropagation needs."""
-        w, u, c = self.p["x" + d], self.p["u" + d], self.p["c" + d]
-        k = u.shape[0]
-        n, rows = x.shape
-        h, states, notes = np.zeros((rows, k), dtype=np.float32), np.empty((n, rows, k), dtype=np.float32), []
-        for t in range(n) if d == "f" else range(n - 1, -1, -1):
-            a = w[x[t]] + c
-            g = h @ u[:, : 2 * k]
-            zr = _sigmoid(a[:, : 2 * k] + g)
-            z, r = zr[:, :k], zr[:, k:]
-            rh = r * h
-            m = np.tanh(a[:, 2 * k :] + rh @ u[:, 2 * k :])
-            new = h + z * (m - h)
-            if keep:
-                notes.append((t, h, z, r, rh, m))
-            states[t] = h = new
-        return states, notes
-
-    def log_probs(self, x: np.ndarray) -> np.ndarray:
-        """Log probabilities (length, rows, languages) of every position."""
-        hf, hb = self._direction(x, "f", False)[0], self._direction(x, "b", False)[0]
+    def _states(self, x: np.ndarray, d: str, order, keep: list | None = None) -> np.ndarray:
+        """States (length, rows, hidden) after each of the byte rows of `x` (length, rows) named by `order`; `keep` gets
+        what backpropagation needs."""
+        w, u = self.p["x" + d] + self.p["c" + d], self.p["u" + d]
+        k, rows = u.shape[0], x.shape[1]
+        uz, um = np.ascontiguousarray(u[:, : 2 * k]), np.ascontiguousarray(u[:, 2 * k :])
+        h = np.zeros((rows, k), dtype=w.dtype)
+        states = np.empty((x.shape[0], rows, k), dtype=w.dtype)
+        a, zr, rh, m = (np.empty((rows, n), dtype=w.dtype) for n in (3 * k, 2 * k, k, k))
+        for t in order:
+            if keep is not None:
+                zr, rh, m = zr.copy(), rh.copy(), m.copy()
+            np.take(w, x[t], axis=0, out=a, mode="clip")
+            np.matmul(h, uz, out=zr)
+            zr += a[:, : 2 * k]
+            zr *= 0.5  # the logistic function by tanh
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            np.multiply(zr[:, k:], h, out=rh)
+            np.matmul(rh, um, out=m)
+            m += a[:, 2 * k :]
+            np.tanh(m, out=m)
+            if keep is not None:
+                keep.append((t, h, zr[:, :k], zr[:, k:], rh, m))
+            new = states[t]
+            np.subtract(m, h, out=new)
+            new *= zr[:, :k]
+            new += h
+            h = new
+        return states
+
+    def probs(self, x: np.ndarray, margin: int = 0) -> np.ndarray:
+        """Probabilities (positions, rows, languages) of the byte rows of `x` without `margin` rows at either end."""
+        n, x = len(x), x.astype(np.intp)
+        hf = self._states(x, "f", range(n - margin))[margin : n - margin]
+        hb = self._states(x, "b", range(n - 1, margin - 1, -1))[margin : n - margin]
         k = hf.shape[2]
         s = hf @ self.p["o"][:k] + hb @ self.p["o"][k:] + self.p["q"]
         s -= s.max(axis=2, keepdims=True)
-        return s - np.log(np.exp(s).sum(axis=2, keepdims=True))
+        np.exp(s, out=s)
+        s /= s.sum(axis=2, keepdims=True)
+        return s
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy over all positions, and its gradients by backpropagation through time."""
         n, rows = x.shape
-        (hf, nf), (hb, nb) = self._direction(x, "f", True), self._direction(x, "b", True)
+        x = x.astype(np.intp)
+        nf: list = []
+        nb: list = []
+        hf, hb = self._states(x, "f", range(n), nf), self._states(x, "b", range(n - 1, -1, -1), nb)
         h = np.concatenate([hf, hb], axis=2)
         s = h @ self.p["o"] + self.p["q"]
         s -= s.max(axis=2, keepdims=True)
@@ -106,57 +123,41 @@ class ByteGRU:
         k = hf.shape[2]
         for d, notes, part in (("f", nf, dh[:, :, :k]), ("b", nb, dh[:, :, k:])):
             u = self.p["u" + d]
-            gx, gu, gc = np.zeros_like(self.p["x" + d]), np.zeros_like(u), np.zeros(3 * k, dtype=np.float32)
-            back = np.zeros((rows, k), dtype=np.float32)
+            gu, steps = np.zeros_like(u), np.empty((n, rows, 3 * k), dtype=u.dtype)
+            back = np.zeros((rows, k), dtype=u.dtype)
             for t, prev, z, r, rh, m in reversed(notes):
                 back = back + part[t]
                 dm = back * z * (1 - m * m)
                 dz = back * (m - prev) * z * (1 - z)
                 drh = dm @ u[:, 2 * k :].T
-                dr = drh * prev * r * (1 - r)
-                da = np.concatenate([dz, dr, dm], axis=1)
-                np.add.at(gx, x[t], da) if rows < 8 else _scatter(gx, x[t], da)
-                gc += da.sum(axis=0)
+                da = steps[t]
+                da[:, :k], da[:, k : 2 * k], da[:, 2 * k :] = dz, drh * prev * r * (1 - r), dm
                 gu[:, : 2 * k] += prev.T @ da[:, : 2 * k]
                 gu[:, 2 * k :] += rh.T @ dm
                 back = back * (1 - z) + drh * r + da[:, : 2 * k] @ u[:, : 2 * k].T
-            g |= {"x" + d: gx, "u" + d: gu, "c" + d: gc}
+            flat, at = steps.reshape(-1, 3 * k), np.argsort(x.reshape(-1), kind="stable")
+            met, first = np.unique(x.reshape(-1)[at], return_index=True)
+            gx = np.zeros_like(self.p["x" + d])
+            gx[met] = np.add.reduceat(flat[at], first)
+            g |= {"x" + d: gx, "u" + d: gu, "c" + d: flat.sum(axis=0)}
         return loss, g
 
 
-def _scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Add values to rows that may repeat: a matrix product with the one-hot rows met."""
-    met, at = np.unique(rows, return_inverse=True)
-    hot = np.zeros((len(met), len(rows)), dtype=np.float32)
-    hot[at, np.arange(len(rows))] = 1
-    into[met] += hot @ values
-
-
-def columns_of(pieces: list[bytes]) -> np.ndarray:
-    """Byte columns of pieces of one length, a space before and after each."""
-    n = len(pieces[0])
-    x = np.full((n + 2, len(pieces)), 32, dtype=np.uint8)
-    x[1:-1] = np.frombuffer(b"".join(pieces), dtype=np.uint8).reshape(len(pieces), n).T
-    return x
+def columns_of(windows: list[bytes]) -> np.ndarray:
+    """Byte rows (length, number) of windows of one length."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(windows), dtype=np.uint8).reshape(len(windows), -1).T)
 
 
-def train(pieces: list[bytes], labels: np.ndarray, langs: list[str], hidden: int = 16, epochs: int = 3, rows: int = 512, rate: float = 0.01, seed: int = 11) -> ByteGRU:
-    """Adam over batches of pieces of equal length."""
+def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], hidden: int = 8, epochs: int = 5, rows: int = 256, rate: float = 0.02, seed: int = 11) -> ByteGRU:
+    """Adam over batches of windows, byte rows of `windows` (length, number)."""
     net, rng = ByteGRU.fresh(langs, hidden, seed), np.random.default_rng(seed)
     m, v, step = {k: np.zeros_like(a) for k, a in net.p.items()}, {k: np.zeros_like(a) for k, a in net.p.items()}, 0
-    by_len: dict[int, list[int]] = {}
-    for i, p in enumerate(pieces):
-        by_len.setdefault(len(p), []).append(i)
-    groups = [np.array(g) for _, g in sorted(by_len.items())]
-    total = epochs * sum(-(-len(g) // rows) for g in groups)
+    total = epochs * -(-windows.shape[1] // rows)
     for _ in range(epochs):
-        batches = []
-        for g in groups:
-            g = rng.permutation(g)
-            batches += [g[i : i + rows] for i in range(0, len(g), rows)]
-        for k in rng.permutation(len(batches)):
-            b = batches[k]
-            _, grad = net.gradients(columns_of([pieces[i] for i in b]), labels[b])
+        order = rng.permutation(windows.shape[1])
+        for lo in range(0, len(order), rows):
+            b = order[lo : lo + rows]
+            _, grad = net.gradients(windows[:, b], labels[b])
             step += 1
             pace = rate * (1 - step / (total + 1)) * min(1.0, len(b) / 64) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
             for name, g in grad.items():
@@ -167,92 +168,117 @@ def train(pieces: list[bytes], labels: np.ndarray, langs: list[str], hidden: int
     return net
 
 
-def _sample_pieces(per_doc: int):
-    """At most `per_doc` pieces of a document, drawn from its whole text."""
+def _sample_windows(per_doc: int, length: int):
+    """At most `per_doc` windows of a document that hold a letter, drawn from its whole text; short ones are filled up with spaces."""
 
     def run(batches):
         for b in batches:
-            langs, pieces = [], []
+            langs, windows = [], []
             for t, y in zip(b.column("t").to_pylist(), b.column("y").to_pylist()):
-                p = [x for x in pieces_of(t) if LETTER.search(x.decode("utf-8", "ignore"))]
-                if len(p) > per_doc:
-                    p = [p[i] for i in np.random.default_rng(zlib.crc32(t.encode("utf-8", "surrogatepass"))).choice(len(p), per_doc, replace=False)]
-                pieces += p
-                langs += [y] * len(p)
-            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), pa.array(langs, pa.string())], names=["piece", "y"])
+                raw = bytes_of(t)
+                rng = np.random.default_rng(zlib.crc32(raw))
+                starts = range(0, max(1, len(raw) - length // 2), length)
+                picks = starts if len(starts) <= per_doc else rng.integers(0, len(raw) - length, per_doc).tolist()
+                for s in picks:
+                    w = raw[s : s + length]
+                    if LETTER.search(w.decode("utf-8", "ignore")):
+                        windows.append(w.ljust(length))
+                        langs.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(langs, pa.string())], names=["w", "y"])
 
     return run
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held_out: int = 2, docs_per_lang: int = 800, pieces_per_doc: int = 48) -> ByteGRU:
-    """Train on at most `docs_per_lang` documents a language (the smallest id hashes) and `pieces_per_doc` pieces of each."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held_out: int = 2, docs_per_lang: int = 800, max_docs: int = 8_000, windows_per_doc: int = 4, length: int = 48) -> ByteGRU:
+    """Train on at most `docs_per_lang` documents a language (those of the smallest id hashes), `max_docs` in all, and
+    `windows_per_doc` windows of each.
+
+    A threshold of the hash, from the counts of all rows, leaves little more than the sample before rows are ranked."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"), docs[lang_col].alias("y")).filter("id is not null and t is not null and y is not null").filter(id_remainder("id", modulus) != held_out)
-    chosen = rows.select("id", "y").withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))).filter(F.col("n") <= docs_per_lang).select("id").distinct()
-    sample = rows.join(F.broadcast(chosen), "id").select("t", "y").mapInArrow(_sample_pieces(pieces_per_doc), "piece binary, y string")  # bounded by docs_per_lang
-    got = sample.toPandas().sort_values(["y", "piece"], kind="stable")
-    langs = sorted(got["y"].unique())
+    counts = rows.groupBy("y").agg(F.count("*").alias("rows_")).orderBy(F.desc("rows_"), "y").limit(max_docs).collect()
+    langs = sorted(r.y for r in counts)
     if not langs:
         return ByteGRU([], {})
+    each = max(1, min(docs_per_lang, max_docs // len(langs)))
+    limits = docs.sparkSession.createDataFrame([(r.y, min(1.0, (2.0 * each + 100) / r.rows_)) for r in counts], "y string, share double")
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
+    some = rows.join(F.broadcast(limits), "y").filter(draw < F.col("share")).select("id", "y", "t")  # bounded by max_docs
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id", F.xxhash64("t")))
+    chosen = some.withColumn("n", rank).filter(F.col("n") <= each).select("t", "y")
+    got = chosen.mapInArrow(_sample_windows(windows_per_doc, length), "w binary, y string").toPandas().sort_values(["y", "w"], kind="stable")
+    if not len(got):
+        return ByteGRU([], {})
+    langs = sorted(got["y"].unique())
     code = {y: i for i, y in enumerate(langs)}
-    return train([bytes(x) for x in got["piece"]], got["y"].map(code).to_numpy(), langs)
-
-
-class _Labeller:
-    """Summed position log probabilities of pieces, kept as they are met; bounded."""
-
-    def __init__(self, net: ByteGRU, limit: int = 250_000):
-        self.net, self.limit, self.at, self.sums = net, limit, {}, np.zeros((1024, len(net.langs)), dtype=np.float32)
-
-    def learn(self, pieces: list[bytes]) -> None:
-        new = sorted(pieces, key=lambda p: (len(p), p))
-        lo = 0
-        need = len(self.at) + len(new)
-        if need > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros((need, self.sums.shape[1]), dtype=np.float32)])
-        while lo < len(new):
-            hi = lo
-            while hi < len(new) and len(new[hi]) == len(new[lo]) and hi - lo < 4096:
-                hi += 1
-            part = new[lo:hi]
-            s = self.net.log_probs(columns_of(part)).mean(axis=0)
-            for i, p in enumerate(part):
-                if not LETTER.search(p.decode("utf-8", "ignore")):
-                    s[i] = 0
-            base = len(self.at)
-            self.sums[base : base + len(part)] = s
-            self.at.update(zip(part, range(base, base + len(part))))
-            lo = hi
-
-    def label(self, texts: list[str]) -> list[tuple[str, float]]:
-        if len(self.at) > self.limit:
-            self.at, self.sums = {}, self.sums[:1024].copy()
-        split, missing = [], set()
-        for t in texts:
-            p = pieces_of(t)
-            split.append(p)
-            missing.update([x for x in p if x not in self.at])
-        if missing:
-            self.learn(list(missing))
-        out = []
-        for t, p in zip(texts, split):
-            if not p or not LETTER.search(t):
-                out.append((UNKNOWN, 0.0))
-                continue
-            pool = self.sums[np.fromiter(map(self.at.__getitem__, p), dtype=np.int64, count=len(p))].sum(axis=0, dtype=np.float64)
-            pool -= pool.max()
-            e = np.exp(pool)
-            k = int(np.argmax(e))
-            out.append((self.net.langs[k], float(e[k] / e.sum())))
-        return out
-
-
-_LABELLERS: dict[int, _Labeller] = {}
-worker_cache("langid", _LABELLERS.clear)
+    return train(columns_of([bytes(w) for w in got["w"]]), got["y"].map(code).to_numpy(), langs)
+
+
+def position_probs(net: ByteGRU, raws: list[bytes]):
+    """Probabilities of all positions, as (texts of the windows, valid positions, probabilities): window i holds up to
+    CORE positions of a text, in order; arrays are (windows,), (CORE, windows) and (CORE, windows, languages)."""
+    sizes = np.array([len(r) for r in raws], dtype=np.int64)
+    per = -(-sizes // CORE)
+    own = np.repeat(np.arange(len(raws)), per)
+    number = np.arange(len(own)) - np.repeat(np.cumsum(per) - per, per)
+    base = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(raws) + b" ", dtype=np.uint8)
+    at = number * CORE + np.arange(-MARGIN, CORE + MARGIN)[:, None]
+    inside = (at >= 0) & (at < sizes[own])
+    x = data[np.where(inside, at + base[own], len(data) - 1)]
+    core = slice(MARGIN, MARGIN + CORE)
+    return own, inside[core], x[core], net.probs(x, MARGIN)
+
+
+def _parts(net: ByteGRU, raw: bytes):
+    """What `position_probs` returns of one text, some windows at a time, each part read with its neighbours."""
+    step = max(1, SLICE // CORE) * CORE
+    for lo in range(0, len(raw), step):
+        _, inside, x, p = position_probs(net, [raw[max(0, lo - CORE) : lo + step + CORE]])
+        own = slice(lo > 0, (lo > 0) + step // CORE)
+        yield inside[:, own], x[:, own], p[:, own]
+
+
+def _pooled(net: ByteGRU, raws: list[bytes]) -> np.ndarray:
+    """Mean probabilities over the letter positions of each text."""
+
+    def sums(inside, x, p):
+        mask = (inside & _LETTER_BYTE[x]).astype(np.float32)
+        return np.column_stack([np.einsum("tb,tbl->bl", mask, p), mask.sum(axis=0)])
+
+    out = np.zeros((len(raws), len(net.langs) + 1))
+    if len(raws) == 1:
+        out[0] = sum((sums(*part).sum(axis=0, dtype=np.float64) for part in _parts(net, raws[0])), out[0])
+    else:
+        own, inside, x, p = position_probs(net, raws)
+        np.add.at(out, own, sums(inside, x, p))
+    return out[:, :-1] / np.maximum(out[:, -1:], 1)
+
+
+def label_texts(net: ByteGRU, texts: list[str | None]) -> list[tuple[str, float]]:
+    """Language and score of each text, texts of about SLICE bytes at a time."""
+    out: list[tuple[str, float]] = []
+    held: list[bytes] = []
+
+    def flush():
+        for p in _pooled(net, held) if held else ():
+            k = int(np.argmax(p))
+            out.append((net.langs[k], float(min(1.0, p[k]))))
+        held.clear()
+
+    size = 0
+    for t in texts:
+        raw = bytes_of(t or "")
+        if held and size + len(raw) > SLICE:
+            flush()
+            size = 0
+        held.append(raw)
+        size += len(raw)
+    flush()
+    return [x if t is not None and LETTER.search(t) else (UNKNOWN, 0.0) for t, x in zip(texts, out)]
 
 
 def language_column(net: ByteGRU, text):
     """struct<lang_pred string, score double> of a text column."""
-    key = zlib.crc32(b"".join(net.p[k].tobytes() for k in sorted(net.p)))
 
     @F.pandas_udf("lang_pred string, score double")
     def label(texts: pd.Series) -> pd.DataFrame:
@@ -260,19 +286,7 @@ def language_column(net: ByteGRU, text):
         values = texts.tolist()
         if not net.langs:
             return pd.DataFrame({"lang_pred": [UNKNOWN] * len(values), "score": [0.0] * len(values)})
-        if key not in _LABELLERS:
-            _LABELLERS.clear()
-            _LABELLERS[key] = _Labeller(net)
-        out: list[tuple[str, float]] = []
-        at = 0
-        while at < len(values):
-            stop, size = at, 0
-            while stop < len(values) and size < 1 << 20:
-                size += len(values[stop])
-                stop += 1
-            out += _LABELLERS[key].label(values[at:stop])
-            at = stop
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
+        return pd.DataFrame(label_texts(net, values), columns=["lang_pred", "score"])
 
     return label.asNondeterministic()(text)
 
@@ -281,3 +295,21 @@ def label_documents(docs: DataFrame, net: ByteGRU, id_col: str = "doc_id", text_
     """The id, lang_pred and score of every document."""
     rows = docs.select(docs[id_col], language_column(net, text_or_empty(text_col)).alias("x_"))
     return rows.select(id_col, "x_.lang_pred", "x_.score")
+
+
+def label_spans(docs: DataFrame, net: ByteGRU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id and `spans`, the label of every position: runs (start and length in bytes of UTF-8, language) that cover the text."""
+
+    def spans(raw: bytes) -> list[dict]:
+        found = [p.argmax(axis=2).T[inside.T] for inside, _, p in _parts(net, raw)]
+        label = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+        cut = np.flatnonzero(np.diff(label)) + 1
+        starts = np.concatenate(([0], cut)) if len(label) else cut
+        return [{"start": int(a), "length": int(b - a), "lang": net.langs[label[a]]} for a, b in zip(starts, np.append(starts[1:], len(label)))]
+
+    @F.pandas_udf("array<struct<start: int, length: int, lang: string>>")
+    def label(texts: pd.Series) -> pd.Series:
+        enter("langid")
+        return pd.Series([spans(bytes_of(t)) if net.langs else [] for t in texts])
+
+    return docs.select(docs[id_col], label(text_or_empty(text_col)).alias("spans"))

@@ -196,6 +196,62 @@ def test_marked_pages_take_region_and_template_from_the_wrapper(spark):
     assert got[9] == "We are a paper."  # a host with one page, no region with nearly all text: marks decide
 
 
+def slow_probs(net, raw):
+    """Probabilities of all positions by one pass over the whole text in either direction."""
+    def step(x, d, h):
+        k = len(h)
+        a = net.p["x" + d][x] + net.p["c" + d]
+        z, r = (1 / (1 + np.exp(-(a[i * k : (i + 1) * k] + h @ net.p["u" + d][:, i * k : (i + 1) * k]))) for i in (0, 1))
+        return h + z * (np.tanh(a[2 * k :] + (r * h) @ net.p["u" + d][:, 2 * k :]) - h)
+
+    sides = []
+    for d, order in (("f", raw), ("b", raw[::-1])):
+        h, out = np.zeros(net.p["u" + d].shape[0]), []
+        for x in order:
+            h = step(x, d, h)
+            out.append(h)
+        sides.append(np.array(out if d == "f" else out[::-1]))
+    s = np.concatenate(sides, axis=1) @ net.p["o"] + net.p["q"]
+    e = np.exp(s - s.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def test_windows_of_long_texts_label_as_one_pass_does(monkeypatch):
+    monkeypatch.setattr(langid, "MARGIN", 100)  # so that what lies further back has faded
+    monkeypatch.setattr(langid, "SLICE", 1000)
+    net = langid.ByteGRU.fresh(["a", "b", "c"], hidden=4)
+    r = random.Random(2)
+    texts = ["".join(r.choice("abc dé1.") for _ in range(n)) for n in (0, 1, 127, 128, 129, 500, 3000)]
+    got = langid.label_texts(net, texts)
+    for t, (lang, score) in zip(texts, got):
+        raw = langid.bytes_of(t)
+        letters = [i for i, x in enumerate(raw) if x > 127 or chr(x).isalpha()]
+        if not letters:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        p = slow_probs(net, raw)[letters].mean(axis=0)
+        assert abs(score - p.max()) < 0.02 and (net.langs[int(p.argmax())] == lang or np.sort(p)[-1] - np.sort(p)[-2] < 0.02)
+
+
+def test_positions_have_labels_and_other_signs_are_no_letters(spark):
+    rows = [(i, f"{'alpha beta gamma' if i % 2 else 'xyzzy quux wq'} " * 8, "aa" if i % 2 else "xx") for i in range(120)]
+    mixed = "alpha beta gamma " * 20 + "xyzzy quux wq " * 20
+    extra = [(500, "\u00b2\u00bd\u2460", None), (501, mixed, None), (502, None, None), (503, "\u4e2d", None), (504, "12 !?", "aa"), (1, rows[1][1], "aa")]
+    df = spark.createDataFrame([(*x, 0.5) for x in rows + extra], "doc_id long, text string, lang string, score double")
+    net = langid.fit(df)
+    got = {x.doc_id: x for x in langid.label_documents(df, net).collect()}
+    assert [got[i].lang_pred for i in (500, 502, 504)] == ["und"] * 3 and got[500].score == 0 and got[503].lang_pred in ("aa", "xx")
+    assert all(got[i].lang_pred == y and got[i].score > 0.8 for i, _, y in rows)
+    spans = {x.doc_id: x.spans for x in langid.label_spans(df, net).collect()}
+    assert spans[502] == [] and sum(x.length for x in spans[501]) == len(mixed)
+    n = np.zeros(2)
+    for x in spans[501]:
+        half = len("alpha beta gamma ") * 20
+        first = max(0, min(x.start + x.length, half) - x.start)
+        n += (first, x.length - first) if x.lang == "aa" else (0, 0)
+    assert n[0] > 0.9 * half and n[1] < 0.1 * (len(mixed) - half)
+
+
 def test_table_numbers_of_large_counts_converge():
     d, rng = 0.8, np.random.default_rng(3)
     lone = hpylm.lone_table(d)
