@@ -148,11 +148,13 @@ def columns_of(windows: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b"".join(windows), dtype=np.uint8).reshape(len(windows), -1).T)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], hidden: int = 8, epochs: int = 5, rows: int = 256, rate: float = 0.02, seed: int = 11) -> ByteGRU:
-    """Adam over batches of windows, byte rows of `windows` (length, number)."""
+def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], hidden: int = 8, epochs: int = 5, rows: int = 256, rate: float = 0.02, seed: int = 11, least_steps: int = 150) -> ByteGRU:
+    """Adam over batches of windows, byte rows of `windows` (length, number), `least_steps` at least."""
     net, rng = ByteGRU.fresh(langs, hidden, seed), np.random.default_rng(seed)
     m, v, step = {k: np.zeros_like(a) for k, a in net.p.items()}, {k: np.zeros_like(a) for k, a in net.p.items()}, 0
-    total = epochs * -(-windows.shape[1] // rows)
+    each = -(-windows.shape[1] // rows)
+    epochs = max(epochs, -(-least_steps // each))
+    total = epochs * each
     for _ in range(epochs):
         order = rng.permutation(windows.shape[1])
         for lo in range(0, len(order), rows):
@@ -169,16 +171,15 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], hidden: int
 
 
 def _sample_windows(per_doc: int, length: int):
-    """At most `per_doc` windows of a document that hold a letter, drawn from its whole text; short ones are filled up with spaces."""
+    """At most `per_doc` windows of a document that hold a letter, drawn from its whole text between spaces."""
 
     def run(batches):
         for b in batches:
             langs, windows = [], []
             for t, y in zip(b.column("t").to_pylist(), b.column("y").to_pylist()):
-                raw = bytes_of(t)
+                raw = b" " * MARGIN + bytes_of(t) + b" " * MARGIN
                 rng = np.random.default_rng(zlib.crc32(raw))
-                starts = range(0, max(1, len(raw) - length // 2), length)
-                picks = starts if len(starts) <= per_doc else rng.integers(0, len(raw) - length, per_doc).tolist()
+                picks = rng.integers(0, max(1, len(raw) - length + 1), min(per_doc, 1 + len(raw) // length)).tolist()
                 for s in picks:
                     w = raw[s : s + length]
                     if LETTER.search(w.decode("utf-8", "ignore")):
