@@ -235,7 +235,9 @@ def test_windows_of_long_texts_label_as_one_pass_does(monkeypatch):
 
 
 def test_positions_have_labels_and_other_signs_are_no_letters(spark):
-    rows = [(i, f"{'alpha beta gamma' if i % 2 else 'xyzzy quux wq'} " * 8, "aa" if i % 2 else "xx") for i in range(120)]
+    r = random.Random(6)
+    words = {"aa": ["alpha", "beta", "gamma"], "xx": ["xyzzy", "quux", "wq"]}
+    rows = [(i, " ".join(r.choices(words[y], k=24)), y) for i, y in enumerate(["xx", "aa"] * 60)]
     mixed = "alpha beta gamma " * 20 + "xyzzy quux wq " * 20
     extra = [(500, "\u00b2\u00bd\u2460", None), (501, mixed, None), (502, None, None), (503, "\u4e2d", None), (504, "12 !?", "aa"), (1, rows[1][1], "aa")]
     df = spark.createDataFrame([(*x, 0.5) for x in rows + extra], "doc_id long, text string, lang string, score double")
