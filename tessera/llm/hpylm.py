@@ -6,22 +6,23 @@ is sampled by Gibbs in the table-indicator form: a customer is taken out, alone
 S(c-1, t-1) / S(c, t) of generalised Stirling numbers, and seated again by the Chinese-restaurant rule; a sweep moves as
 many customers as there are.  The predictive probabilities of several samples are averaged and summed over a text as log10.
 
-Occurrences are dealt by word: a block holds all contexts of its words, so the seating of a pair, the word's count and
-its place in the shared restaurant are local.  Contexts are dealt by hash to parts that add up what blocks tell of them:
+Documents are read in chunks; what is dealt are a chunk's distinct pairs, by word: a block holds all contexts of its
+words, so the seating of a pair, the word's count and its place in the shared restaurant are local.  At the end a block
+answers each chunk with the probabilities of the chunk's pairs, and the chunk sums them by document.  Contexts are dealt by hash to parts that add up what blocks tell of them:
 after each sweep every block tells the tables of its contexts and is told those of all blocks.  Pairs met once have one
 table, so only the contexts of other pairs take part; those get numbers within their part once.  Words that take more
 than a share of all tokens in a sample of documents are dealt by word and context instead; the sample only steers the
 dealing, and their seats in the shared restaurant come from the sums over all blocks.
 
 Input rules: null text is the empty text, which has its end token alone; every row is scored and, unless held out,
-counted, whether its id repeats or not; with no training token every probability is that of the base.
+counted, whether its id repeats or not; with no training token every probability is that of the base; other columns are
+not read, whatever their names.  Documents are read three times and must be the same each time, else the job fails.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,31 +32,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import crc_mod, enter, materialize, partition_keys, partitions, release_memory, text_or_empty, worker_cache
+from tessera.llm._shared import crc_mod, discard, enter, materialize, partition_keys, release_memory, text_or_empty
+from tessera.llm._words import word_hashes
 
-END = b"\n"  # no word holds a line feed
 STIRLING = 64
-
-
-class _Words(dict):
-    """64-bit hashes of words as they are met; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word, seed=5)
-        return h
-
-
-_WORDS = _Words()
-worker_cache("hpylm", _WORDS.clear)
+SEED = 5
+END = b"\n"  # no word holds a line feed
+END_HASH = np.uint64(0x5851F42D4C957F2D)
+CHUNK = 2_000_000  # tokens
+BLOCK_BYTES = 24 << 20  # of text that a block stands for
 
 
 def tokens_of(text: str) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased, then the end."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()
-    w.append(END)
-    return w
+    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
+
+
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, an end behind each text's, and the number of tokens of each."""
+    w, counts = word_hashes(texts, SEED)
+    return np.insert(w, np.cumsum(counts), END_HASH), counts + 1
 
 
 def lone_table(discount: float) -> np.ndarray:
@@ -145,65 +141,116 @@ class Setting:
             return np.zeros(len(words), dtype=bool)
         return self.hot[np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)] == words
 
+    def block_of(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        block = (words >> np.uint64(20)) % np.uint64(self.blocks)
+        hot = self.is_hot(words)
+        block[hot] = ((words[hot] + contexts[hot] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(self.blocks)
+        return block.astype(np.int64)
+
 
 DEALT = "kind int, block bigint, chunk bigint, blob binary, ids array<{0}>, held array<boolean>"
 
 
-def _deal(setting: Setting, modulus: int, held_out: int):
-    """Packs the tokens of a chunk of documents: kind 0, a blob per block (words, contexts, places and lengths of the
-    documents); kind 1, the chunk's ids and whether each is held out."""
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in arrays))
 
-    def pack(w: np.ndarray, c: np.ndarray, d: np.ndarray, ids: list, held: np.ndarray, chunk: int, id_type):
-        block = (w >> np.uint64(20)) % np.uint64(setting.blocks)
-        hot = setting.is_hot(w)
-        if hot.any():
-            block[hot] = (w[hot] + c[hot] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(setting.blocks)
+
+def _spread(blob: bytes, head: int):
+    """The numbers at a blob's head and a function that takes one array after another from the rest."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    at = 8 * head
+
+    def take(kind, count):
+        nonlocal at
+        at, lo = at + np.dtype(kind).itemsize * int(count), at
+        return np.frombuffer(raw, dtype=kind, count=count, offset=lo)
+
+    return np.frombuffer(raw, dtype=np.int64, count=head), take
+
+
+def _width(n: int):
+    return np.dtype(np.uint16 if n < 1 << 16 else np.uint32)
+
+
+class Chunk:
+    """The distinct pairs of a run of documents, ordered by block, word and context, and the pair of each token."""
+
+    def __init__(self, setting: Setting, w: np.ndarray, lens: np.ndarray, held: np.ndarray):
+        names, word = np.unique(w, return_inverse=True)
+        context = np.empty(len(w), dtype=np.int64)
+        context[1:] = word[:-1]
+        context[np.cumsum(lens) - lens] = len(names)  # nothing stands before the first word
+        names = np.append(names, np.uint64(0))
+        pairs, token = np.unique(word * len(names) + context, return_inverse=True)
+        pw, pc = pairs // len(names), pairs % len(names)
+        block = setting.block_of(names[pw], names[pc])
         order = np.argsort(block, kind="stable")
-        w, c, d, block = w[order], c[order], d[order], block[order]
-        cut = np.flatnonzero(np.diff(block)) + 1
-        blocks, blobs = [], []
-        press = zstandard.ZstdCompressor(level=1)
-        for lo, hi in zip([0, *cut], [*cut, len(w)]):
-            names, at = np.unique(w[lo:hi], return_inverse=True)
-            contexts, of = np.unique(c[lo:hi], return_inverse=True)
-            docs, first = np.unique(d[lo:hi], return_index=True)
-            wide = np.uint16 if max(len(names), len(contexts)) < 1 << 16 else np.uint32
-            head = np.array([len(names), hi - lo, wide().itemsize, len(docs), len(contexts)], dtype=np.int64)
-            sizes = np.diff(np.append(first, hi - lo)).astype(np.uint32)
-            blobs.append(press.compress(b"".join(x.tobytes() for x in (head, names, docs.astype(np.uint32), sizes, held[docs], at.astype(wide), contexts, of.astype(wide)))))
-            blocks.append(int(setting.keys[int(block[lo])]))
-        n = len(blobs)
-        blocks.append(int(setting.keys[chunk % setting.blocks]))
-        return pa.RecordBatch.from_arrays([pa.array([0] * n + [1], pa.int32()), pa.array(blocks, pa.int64()), pa.array([chunk] * (n + 1), pa.int64()), pa.array([*blobs, None], pa.binary()), pa.array([None] * n + [ids], pa.list_(id_type)), pa.array([None] * n + [held.tolist()], pa.list_(pa.bool_()))], names=["kind", "block", "chunk", "blob", "ids", "held"])
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.token, self.names, self.word, self.context, self.block = place[token], names, pw[order], pc[order], block[order]
+        self.count = np.bincount(self.token, weights=np.repeat(~held, lens), minlength=len(order)).astype(np.int64)
+        new = np.ones(len(order), dtype=np.bool_)
+        new[1:] = (self.word[1:] != self.word[:-1]) | (self.block[1:] != self.block[:-1])
+        self.firsts = np.flatnonzero(new)  # where a word's pairs of a block begin
+        self.cuts = np.append(np.flatnonzero(np.diff(self.block, prepend=-1)), len(order))
+
+    def blobs(self):
+        """Block and blob of each run of pairs of one block: words, pairs of each, contexts, context of each pair, counts."""
+        for lo, hi in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist()):
+            firsts = self.firsts[np.searchsorted(self.firsts, lo) : np.searchsorted(self.firsts, hi)]
+            known, of = np.unique(self.context[lo:hi], return_inverse=True)
+            each, counts, wide = np.diff(np.append(firsts, hi)).astype(np.uint32), _small(self.count[lo:hi]), _width(len(known))
+            head = np.array([len(firsts), len(known), hi - lo, counts.itemsize], dtype=np.int64)
+            yield int(self.block[lo]), _squeeze(head, self.names[self.word[firsts]], each, self.names[known], of.astype(wide), counts)
+
+    def tokens(self, lens: np.ndarray) -> bytes:
+        """Lengths of the documents, pair of each token, and the number of pairs of each word of a block."""
+        each = np.diff(np.append(self.firsts, len(self.word))).astype(np.uint32)
+        head = np.array([len(lens), len(self.token), len(each), len(self.word)], dtype=np.int64)
+        return _squeeze(head, lens.astype(np.int64), self.token.astype(np.uint32), each)
+
+
+def _deal(setting: Setting, modulus: int, held_out: int, blobs: bool):
+    """Chunks of documents: with `blobs` kind 0, what each block is told of their pairs; else kind 1, the ids, whether
+    each is held out, and their tokens.
+
+    A chunk is named by its place and content, so that rows of two readings that differ never meet."""
 
     def run(batches):
         enter("hpylm")
-        chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
-        ws, cs, ids, lens, held = [], [], [], [], []
-        size = 0
+        part, number = (TaskContext.get().partitionId() if TaskContext.get() else 0), 0
+        ws, lens, ids, held = [], [], [], []
 
         def flush(id_type):
-            nonlocal chunk
-            chunk += 1
-            out = pack(np.concatenate(ws), np.concatenate(cs), np.repeat(np.arange(len(ids)), lens), list(ids), np.array(held, dtype=bool), chunk, id_type)
-            for x in (ws, cs, ids, lens, held):
+            nonlocal number
+            number += 1
+            w, n, out = np.concatenate(ws), np.concatenate(lens), np.array(held, dtype=np.bool_)
+            name = xxhash.xxh3_64_intdigest(w.tobytes() + n.tobytes() + out.tobytes() + repr((part, number, ids)).encode()) >> 1
+            chunk = Chunk(setting, w, n, out)
+            if blobs:
+                keys, data = zip(*chunk.blobs())
+                rows = len(data)
+                cols = ([0] * rows, [int(setting.keys[k]) for k in keys], [name] * rows, data, [None] * rows, [None] * rows)
+            else:
+                cols = ([1], [0], [name], [chunk.tokens(n)], [list(ids)], [out.tolist()])
+            for x in (ws, lens, ids, held):
                 x.clear()
-            return out
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(id_type), pa.list_(pa.bool_()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "block", "chunk", "blob", "ids", "held"])
 
-        id_type = None
+        size = 0
         for b in batches:
-            id_type = b.column("id").type
-            for i, t in zip(b.column("id").to_pylist(), b.column("t").to_pylist()):
-                tok = tokens_of(t)
-                w = np.fromiter(map(_WORDS.__getitem__, tok), dtype=np.uint64, count=len(tok))
-                c = np.empty(len(w), dtype=np.uint64)
-                c[0] = 0
-                c[1:] = w[:-1]
-                ws.append(w), cs.append(c), ids.append(i), lens.append(len(w)), held.append(i is None or crc_mod(i, modulus) == held_out)
+            for lo in range(0, b.num_rows, 1000):
+                some = b.slice(lo, 1000)
+                w, n = token_hashes(some.column("t"))
+                names = some.column("id").to_pylist()
+                ws.append(w), lens.append(n), ids.extend(names)
+                held.extend(i is None or crc_mod(i, modulus) == held_out for i in names)
                 size += len(w)
-                if size > 1_000_000:
-                    yield flush(id_type)
+                if size > CHUNK:
+                    yield flush(b.column("id").type)
                     size = 0
+            id_type = b.column("id").type
         if ids:
             yield flush(id_type)
 
@@ -211,44 +258,32 @@ def _deal(setting: Setting, modulus: int, held_out: int):
 
 
 class Block:
-    """All occurrences of one block's words and the sampled seating of its training pairs."""
+    """All pairs of one block's words and the sampled seating of its training pairs."""
 
     def __init__(self, rows: list[tuple], setting: Setting, number: int):
         """`rows`: chunks and their blobs."""
-        names, ats, known, ctxs, train = [], [], [], [], []
-        self.docs: list[tuple] = []  # of each row: chunk, places and lengths of its documents
-        undo = zstandard.ZstdDecompressor()
+        names, known, each, ofs, counts = [], [], [], [], []
+        self.chunks = []
         for chunk, blob in rows:
-            raw = undo.decompress(blob)
-            k, n, wide, m, x = np.frombuffer(raw, dtype=np.int64, count=5)
-            at = 40
-
-            def take(kind, count):
-                nonlocal at
-                at, lo = at + np.dtype(kind).itemsize * int(count), at
-                return np.frombuffer(raw, dtype=kind, count=count, offset=lo)
-
+            (k, x, n, size), take = _spread(blob, 4)
             names.append(take(np.uint64, k))
-            places, sizes, held = take(np.uint32, m), take(np.uint32, m), take(np.bool_, m)
-            ats.append(take(np.uint16 if wide == 2 else np.uint32, n))
+            each.append(take(np.uint32, k))
             known.append(take(np.uint64, x))
-            ctxs.append(take(np.uint16 if wide == 2 else np.uint32, n))
-            train.append(np.repeat(~held, sizes))
-            self.docs.append((chunk, places, sizes))
+            ofs.append(take(_width(x), n))
+            counts.append(take(np.dtype(f"u{size}"), n))
+            self.chunks.append((chunk, int(k), int(n)))
         self.words, self.contexts = np.unique(np.concatenate(names)), np.unique(np.concatenate(known))
         width = len(self.contexts)
-        word = np.concatenate([np.searchsorted(self.words, a).astype(np.int32)[i] for a, i in zip(names, ats)])
-        self.word = word
-        del names, ats
-        self.hot = setting.is_hot(self.words)
-        key = word.astype(np.int64) * width + np.concatenate([np.searchsorted(self.contexts, a).astype(np.int32)[i] for a, i in zip(known, ctxs)])
-        del ctxs, known
+        self.word = np.concatenate([np.searchsorted(self.words, a).astype(np.int32) for a in names])  # of the words of all chunks
+        key = np.repeat(self.word, np.concatenate(each)).astype(np.int64) * width
+        key += np.concatenate([np.searchsorted(self.contexts, a)[i] for a, i in zip(known, ofs)])
+        del names, known, each, ofs
         pairs, at = np.unique(key, return_inverse=True)  # of all rows, held out or not
         del key
-        self.at = at.astype(np.int32)
-        del at
-        self.c = np.bincount(self.at, weights=np.concatenate(train), minlength=len(pairs)).astype(np.int64)
+        self.at = at.astype(np.int32)  # of the pairs of all chunks
+        self.c = np.bincount(self.at, weights=np.concatenate(counts), minlength=len(pairs)).astype(np.int64)
         self.pw, self.pc = (pairs // width).astype(np.int32), (pairs % width).astype(np.int32)
+        self.hot = setting.is_hot(self.words)
         self.count = np.bincount(self.pw, weights=self.c, minlength=len(self.words)).astype(np.int64)
         self.part = ((self.contexts >> np.uint64(20)) % np.uint64(setting.blocks)).astype(np.int64)
         self.order = np.lexsort((self.contexts, self.part))  # contexts by part, then hash: as parts are asked and answer
@@ -263,7 +298,6 @@ def _blocks(batches, setting: Setting, told: bool = False):
     answers: dict[int, tuple] = {}
     number = None
     enter("hpylm")
-    _WORDS.clear()
     release_memory()
 
     def out():
@@ -516,79 +550,84 @@ def _scores(setting: Setting, shared):
                 p[hot] = now.hot_p[hot_at]
                 mean += (np.maximum(block.c - d * t, 0) + (theta + d * tables[block.pc]) * p[block.pw]) / (theta + c[block.pc])
             del states, answers, told
-            sizes = np.concatenate([x[2] for x in block.docs]).astype(np.int64)
-            starts = np.cumsum(sizes) - sizes
-            logp = np.add.reduceat(np.log10(mean / setting.samples)[block.at], starts)
-            logc = np.add.reduceat(np.log10(count + 1)[block.word], starts)
-            known = np.add.reduceat((count > 0)[block.word], starts, dtype=np.uint32)
-            chunks, blobs, lo = [], [], 0
-            for chunk, places, n in block.docs:
-                hi = lo + len(n)
-                chunks.append(chunk)
-                blobs.append(press.compress(b"".join(x.tobytes() for x in (places, n, known[lo:hi], logc[lo:hi], logp[lo:hi]))))
-                lo = hi
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "blob"])
-            del block, mean, logp, logc, known, sizes, starts
+            logp, lo, at = np.log10(mean / setting.samples).astype(np.float32), 0, 0
+            seen, out = _small(count.astype(np.int64)), []
+            for chunk, k, n in block.chunks:
+                own = seen[block.word[lo : lo + k]]
+                out.append((chunk, block.number, _squeeze(np.array([k, n, own.itemsize], dtype=np.int64), logp[block.at[at : at + n]], own)))
+                lo, at = lo + k, at + n
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["chunk", "block", "blob"])
+            del block, mean, logp, out
 
     return run
 
 
-def _gather(batches):
-    """Reads a chunk's ids (kind 1 sorts first), then what every block adds to its documents."""
-    enter("hpylm")
-    undo = zstandard.ZstdDecompressor()
-    now: list = []
+def _gather(setting: Setting):
+    """Reads a chunk's tokens (kind 1 sorts first), then what every block answers; sums both by document."""
+    rank = {int(k): i for i, k in enumerate(setting.keys)}
+
+    def scores(ids, held, blob, answers):
+        (docs, n, words, pairs), take = _spread(blob, 4)
+        lens, token, each = take(np.int64, docs), take(np.uint32, n), take(np.uint32, words)
+        logps, counts = [], []
+        for _, x in sorted(answers, key=lambda x: rank[x[0]]):
+            (k, m, size), part = _spread(x, 3)
+            logps.append(part(np.float32, m))
+            counts.append(part(np.dtype(f"u{size}"), k).astype(np.int64))
+        logp, count = np.concatenate(logps), np.concatenate(counts)
+        if len(logp) != pairs or len(count) != words:
+            raise ValueError("answers for other pairs than a chunk's: the documents differ between two readings")
+        count = np.repeat(count, each)[token]
+        starts = np.cumsum(lens) - lens
+        known, base, own = (np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), np.log10(count + 1.0), logp[token].astype(np.float64)))
+        return pa.RecordBatch.from_arrays([ids, held, pa.array(lens), pa.array(known), pa.array(base), pa.array(own)], names=["id", "held", "n", "known", "logc", "logp"])
 
-    def out():
-        ids, held, n, known, logc, logp = now
-        return pa.RecordBatch.from_arrays([ids, held, pa.array(n), pa.array(known), pa.array(logc), pa.array(logp)], names=["id", "held", "n", "known", "logc", "logp"])
+    def run(batches):
+        enter("hpylm")
+        now, answers = None, []
+        for b in batches:
+            for kind, block, blob, ids, held in zip(*(b.column(c) for c in ("kind", "block", "blob", "ids", "held"))):
+                if kind.as_py() == 1:
+                    if now:
+                        yield scores(*now, answers)
+                    now, answers = (ids.values, held.values, blob.as_py()), []
+                elif now is None:
+                    raise ValueError("answers for an unknown chunk: the documents differ between two readings")
+                else:
+                    answers.append((block.as_py(), blob.as_py()))
+        if now:
+            yield scores(*now, answers)
 
-    for b in batches:
-        for kind, blob, ids, held in zip(*(b.column(c) for c in ("kind", "blob", "ids", "held"))):
-            if kind.as_py() == 1:
-                if now:
-                    yield out()
-                m = len(ids.values)
-                now = [ids.values, held.values, np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64), np.zeros(m), np.zeros(m)]
-                continue
-            raw = undo.decompress(blob.as_py())
-            m = len(raw) // 28
-            at = np.frombuffer(raw, dtype=np.uint32, count=m)
-            for x, kind_, size in ((now[2], np.uint32, 4), (now[3], np.uint32, 8), (now[4], np.float64, 12), (now[5], np.float64, 20)):
-                x[at] += np.frombuffer(raw, dtype=kind_, count=m, offset=size * m)
-    if now:
-        yield out()
+    return run
 
 
 def _sample_counts(batches):
-    c: Counter = Counter()
-    for b in batches:
-        for t in b.column("t").to_pylist():
-            c.update(tokens_of(t))
-    total = sum(c.values())
-    top = c.most_common(2000)
-    yield pa.RecordBatch.from_arrays([pa.array([_WORDS[w] for w, _ in top] + [0], pa.uint64()).cast(pa.int64(), safe=False), pa.array([n for _, n in top] + [total], pa.int64()), pa.array([False] * len(top) + [True])], names=["h", "n", "all"])
+    held = [token_hashes(b.column("t"))[0] for b in batches]
+    words, n = np.unique(np.concatenate(held) if held else np.empty(0, dtype=np.uint64), return_counts=True)
+    top = np.argsort(-n, kind="stable")[:2000]
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(words[top].view(np.int64), 0)), pa.array(np.append(n[top], n.sum())), pa.array([False] * len(top) + [True])], names=["h", "n", "all"])
 
 
-def hot_words(docs: DataFrame, share: float = 0.003, sample: int = 2000) -> dict[int, float]:
-    """Hashes of the words that take more than `share` of the tokens in about `sample` documents, and their shares."""
-    n = docs.count()
-    step = max(1, n // sample)
+def hot_words(docs: DataFrame, rows: int, share: float = 0.003, sample: int = 2000) -> dict[int, float]:
+    """Hashes of the words that take more than `share` of the tokens in about `sample` of `rows` documents, and their shares."""
+    step = max(1, rows // sample)
     got = docs.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("t").mapInArrow(_sample_counts, "h bigint, n bigint, all boolean").groupBy("h", "all").agg(F.sum("n").alias("n")).orderBy(F.desc("all"), F.desc("n")).limit(int(2 / share)).collect()
     total = sum(r.n for r in got if r["all"]) or 1
     return {r.h & (1 << 64) - 1: r.n / total for r in got if not r["all"] and r.n > share * total}
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, discount: float = 0.8, strength: float = 1.0, samples: int = 3, burn_in: int = 5, seed: int = 1, least_blocks: int = 64) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, discount: float = 0.8, strength: float = 1.0, samples: int = 3, burn_in: int = 5, seed: int = 1, least_blocks: int = 6) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of `df`.
 
     Rows whose crc32(id as text) mod `modulus` is `held_out` (and null ids) teach nothing."""
     spark = df.sparkSession
     id_type = df.schema[id_col].dataType.simpleString()
     docs = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("t"))
-    setting = Setting(partition_keys(spark, max(least_blocks, partitions(spark))), hot_words(docs), discount, strength, samples, burn_in, seed)
-    table = materialize(docs.mapInArrow(_deal(setting, modulus, held_out), DEALT.format(id_type)), "hpylm-dealt")
-    blobs = table.filter("kind = 0").select(F.lit(4).alias("kind"), "block", "chunk", "blob", F.lit(None).cast("bigint").alias("part"), F.lit(None).cast("int").alias("sample"))
+    size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length("t")).alias("bytes")).first()
+    blocks = max(least_blocks, -(-(size.bytes or 0) // BLOCK_BYTES))
+    setting = Setting(partition_keys(spark, blocks), hot_words(docs, size.rows), discount, strength, samples, burn_in, seed)
+    told_blocks, told_chunks = (docs.mapInArrow(_deal(setting, modulus, held_out, x), DEALT.format(id_type)) for x in (True, False))
+    blobs = told_blocks.select(F.lit(4).alias("kind"), "block", "chunk", "blob", F.lit(None).cast("bigint").alias("part"), F.lit(None).cast("int").alias("sample"))
 
     def dealt(rows, by):
         return rows.repartition(setting.blocks, by).sortWithinPartitions(by)
@@ -601,7 +640,9 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     after, tables = [], []
     for k in range(burn_in + samples):
         answers = dealt(now.filter("kind = 1"), "part").mapInArrow(_answers if k else _first_answers, ROWS)
-        now = materialize(dealt(now.filter("kind = 0").unionByName(answers), "block").mapInArrow(_sweep(setting, shared), ROWS), "hpylm-sweep")
+        before, now = now, materialize(dealt(now.filter("kind = 0").unionByName(answers), "block").mapInArrow(_sweep(setting, shared), ROWS), "hpylm-sweep")
+        if before is not first and before not in tables:
+            discard(before)
         shared = Shared(sums(now), setting, shared)
         if k >= burn_in:
             after.append(shared)
@@ -612,10 +653,10 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         states = x.filter("kind = 0") if states is None else states.unionByName(x.filter("kind = 0"))
     answers = dealt(asked, "part").mapInArrow(_last_answers([x.sweep - 1 for x in after]), ROWS)
     told = states.unionByName(answers).select("kind", "block", F.lit(None).cast("bigint").alias("chunk"), "blob", "part", "sample")
-    parts = dealt(blobs.unionByName(told), "block").mapInArrow(_scores(setting, spark.sparkContext.broadcast(after)), "chunk bigint, blob binary").withColumn("kind", F.lit(0))
-    chunks = table.filter("kind = 1").select("chunk", "kind", "ids", "held")
-    both = chunks.unionByName(parts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.desc("kind"))
-    each = both.select("kind", "blob", "ids", "held").mapInArrow(_gather, f"id {id_type}, held boolean, n bigint, known bigint, logc double, logp double")
+    parts = dealt(blobs.unionByName(told), "block").mapInArrow(_scores(setting, spark.sparkContext.broadcast(after)), "chunk bigint, block bigint, blob binary").withColumn("kind", F.lit(0))
+    both = told_chunks.unionByName(parts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.desc("kind"))
+    each = materialize(both.select("kind", "block", "blob", "ids", "held").mapInArrow(_gather(setting), f"id {id_type}, held boolean, n bigint, known bigint, logc double, logp double"), "hpylm-scores")
+    discard(first, *tables)
     floor = math.log10(shared.tokens + shared.words + 1)
     return each.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(shared.tokens).cast("bigint").alias("train_tokens"), (F.col("logc") - F.col("n") * F.lit(floor)).alias("base_score"), F.col("logp").alias("score"))
 
