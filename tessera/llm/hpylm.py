@@ -39,7 +39,8 @@ STIRLING = 64
 SEED = 5
 END = b"\n"  # no word holds a line feed
 END_HASH = np.uint64(0x5851F42D4C957F2D)
-CHUNK = 2_000_000  # tokens
+CHUNK = 2_500_000  # tokens
+FINE = 1 << 16  # blocks answer with log10 probabilities in steps of 1 / FINE
 BLOCK_BYTES = 24 << 20  # of text that a block stands for
 
 
@@ -151,8 +152,10 @@ class Setting:
 DEALT = "kind int, block bigint, chunk bigint, blob binary, ids array<{0}>, held array<boolean>"
 
 
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in arrays))
+def _squeeze(head: list[int], *arrays: np.ndarray) -> bytes:
+    """Some numbers and arrays, compressed; arrays lie byte plane by byte plane, as high bytes repeat."""
+    planes = (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(np.array(head, dtype=np.int64).tobytes() + b"".join(planes))
 
 
 def _spread(blob: bytes, head: int):
@@ -162,12 +165,18 @@ def _spread(blob: bytes, head: int):
 
     def take(kind, count):
         nonlocal at
-        at, lo = at + np.dtype(kind).itemsize * int(count), at
-        return np.frombuffer(raw, dtype=kind, count=count, offset=lo)
+        size, lo = np.dtype(kind).itemsize, at
+        at += size * int(count)
+        return np.frombuffer(raw, dtype=np.uint8, count=at - lo, offset=lo).reshape(size, int(count)).T.copy().view(kind).reshape(-1)
 
     return np.frombuffer(raw, dtype=np.int64, count=head), take
 
 
+def _gaps(x: np.ndarray) -> np.ndarray:
+    """Differences of sorted hashes, which need fewer bytes; np.cumsum undoes it."""
+    return np.diff(x, prepend=np.zeros(1, dtype=x.dtype))
+
+
 def _width(n: int):
     return np.dtype(np.uint16 if n < 1 << 16 else np.uint32)
 
@@ -200,14 +209,13 @@ class Chunk:
             firsts = self.firsts[np.searchsorted(self.firsts, lo) : np.searchsorted(self.firsts, hi)]
             known, of = np.unique(self.context[lo:hi], return_inverse=True)
             each, counts, wide = np.diff(np.append(firsts, hi)).astype(np.uint32), _small(self.count[lo:hi]), _width(len(known))
-            head = np.array([len(firsts), len(known), hi - lo, counts.itemsize], dtype=np.int64)
-            yield int(self.block[lo]), _squeeze(head, self.names[self.word[firsts]], each, self.names[known], of.astype(wide), counts)
+            head = [len(firsts), len(known), hi - lo, counts.itemsize]
+            yield int(self.block[lo]), _squeeze(head, _gaps(self.names[self.word[firsts]]), each, _gaps(self.names[known]), of.astype(wide), counts)
 
     def tokens(self, lens: np.ndarray) -> bytes:
         """Lengths of the documents, pair of each token, and the number of pairs of each word of a block."""
         each = np.diff(np.append(self.firsts, len(self.word))).astype(np.uint32)
-        head = np.array([len(lens), len(self.token), len(each), len(self.word)], dtype=np.int64)
-        return _squeeze(head, lens.astype(np.int64), self.token.astype(np.uint32), each)
+        return _squeeze([len(lens), len(self.token), len(each), len(self.word)], lens.astype(np.int64), self.token.astype(np.uint32), each)
 
 
 def _deal(setting: Setting, modulus: int, held_out: int, blobs: bool):
@@ -266,9 +274,9 @@ class Block:
         self.chunks = []
         for chunk, blob in rows:
             (k, x, n, size), take = _spread(blob, 4)
-            names.append(take(np.uint64, k))
+            names.append(np.cumsum(take(np.uint64, k), dtype=np.uint64))
             each.append(take(np.uint32, k))
-            known.append(take(np.uint64, x))
+            known.append(np.cumsum(take(np.uint64, x), dtype=np.uint64))
             ofs.append(take(_width(x), n))
             counts.append(take(np.dtype(f"u{size}"), n))
             self.chunks.append((chunk, int(k), int(n)))
@@ -550,11 +558,11 @@ def _scores(setting: Setting, shared):
                 p[hot] = now.hot_p[hot_at]
                 mean += (np.maximum(block.c - d * t, 0) + (theta + d * tables[block.pc]) * p[block.pw]) / (theta + c[block.pc])
             del states, answers, told
-            logp, lo, at = np.log10(mean / setting.samples).astype(np.float32), 0, 0
+            logp, lo, at = np.rint(np.log10(mean / setting.samples) * -FINE).astype(np.uint32), 0, 0
             seen, out = _small(count.astype(np.int64)), []
             for chunk, k, n in block.chunks:
                 own = seen[block.word[lo : lo + k]]
-                out.append((chunk, block.number, _squeeze(np.array([k, n, own.itemsize], dtype=np.int64), logp[block.at[at : at + n]], own)))
+                out.append((chunk, block.number, _squeeze([k, n, own.itemsize], logp[block.at[at : at + n]], own)))
                 lo, at = lo + k, at + n
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["chunk", "block", "blob"])
             del block, mean, logp, out
@@ -572,14 +580,14 @@ def _gather(setting: Setting):
         logps, counts = [], []
         for _, x in sorted(answers, key=lambda x: rank[x[0]]):
             (k, m, size), part = _spread(x, 3)
-            logps.append(part(np.float32, m))
+            logps.append(part(np.uint32, m) / -FINE)
             counts.append(part(np.dtype(f"u{size}"), k).astype(np.int64))
         logp, count = np.concatenate(logps), np.concatenate(counts)
         if len(logp) != pairs or len(count) != words:
             raise ValueError("answers for other pairs than a chunk's: the documents differ between two readings")
         count = np.repeat(count, each)[token]
         starts = np.cumsum(lens) - lens
-        known, base, own = (np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), np.log10(count + 1.0), logp[token].astype(np.float64)))
+        known, base, own = (np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), np.log10(count + 1.0), logp[token]))
         return pa.RecordBatch.from_arrays([ids, held, pa.array(lens), pa.array(known), pa.array(base), pa.array(own)], names=["id", "held", "n", "known", "logc", "logp"])
 
     def run(batches):
