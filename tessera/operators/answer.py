@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +41,10 @@ def assemble(rows: DataFrame, budget: int = S.CONTEXT_CHARS, least: int = 120) -
 
 
 def escalate(rows: DataFrame, query: str) -> DataFrame:
-    """Of a wider window, the rows that hold a term of the query."""
+    """Of a wider window, the rows that hold a term of the query: a run of two Han characters or more, or a run of ASCII
+    letters and digits.  Scripts that touch are terms of their own."""
     hit = F.lit(False)
-    for t in X.query_terms(query):
+    for t in re.findall(r"[\u4e00-\u9fff]{2,}|[0-9A-Za-z]+", query):
         hit = hit | F.lower("raw").contains(t.lower())
     return rows.filter(hit)
 

@@ -175,7 +175,7 @@ def page_links(spark, sf):
     return _page_edges(spark, sf)
 
 
-@query(f"""WITH RECURSIVE {PAGE_EDGES}, seeds AS (SELECT page_id AS query, page_id AS id FROM pages WHERE page_id % 40 = 0),
+@query(f"""WITH RECURSIVE {PAGE_EDGES}, seeds AS (SELECT page_id AS query, page_id AS id FROM pages WHERE page_id % 20 = 0),
 n1 AS (SELECT * FROM seeds UNION SELECT s.query, e.dst FROM seeds s JOIN edges e ON e.src = s.id),
 nodes AS (SELECT * FROM n1 UNION SELECT s.query, e.dst FROM n1 s JOIN edges e ON e.src = s.id),
 o AS (SELECT src, sum(w) AS out FROM edges GROUP BY src),
@@ -187,7 +187,7 @@ pr AS (SELECT 0 AS r, query, id, 1.0::DOUBLE / count(*) OVER (PARTITION BY query
   UNION ALL SELECT pr.r + 1, t.query, t.dst, 0.15 * (CASE WHEN t.query = t.dst THEN 1 ELSE 0 END) + 0.85 * sum(pr.pr * t.f) FROM pr JOIN trans t ON t.query = pr.query AND t.src = pr.id WHERE pr.r < 20 GROUP BY pr.r, t.query, t.dst)
 SELECT query, id, round(pr, 6) AS pr FROM pr WHERE r = 20""")
 def ppr_20(spark, sf):
-    seeds = read(spark, sf, "pages").filter("page_id % 40 = 0").select(F.col("page_id").alias("query"), F.col("page_id").alias("id"))
+    seeds = read(spark, sf, "pages").filter("page_id % 20 = 0").select(F.col("page_id").alias("query"), F.col("page_id").alias("id"))
     return graph.personalized_pagerank(_page_edges(spark, sf), seeds, 20, None).select("query", "id", F.round("pr", 6).alias("pr"))
 
 
@@ -289,13 +289,13 @@ def stale_synthesis(spark, sf):
     return lifecycle.stale_pages(_diff(spark, sf), ps)
 
 
-CITING = f"{BLOCKS}, citing AS (SELECT 'page/' || (doc_id % 97) AS page, 'as [[' || id || ']] says' AS text, id, doc_id FROM blocks WHERE ordinal < 3)"
+CITING = f"{BLOCKS}, citing AS (SELECT 'page/' || (doc_id % 97) AS page, 'as [[' || id || ']] says' AS text, id, doc_id FROM blocks)"
 
 
 @query(f"WITH {CITING} SELECT DISTINCT page, true AS stale FROM citing JOIN labels USING (doc_id) WHERE toxic = 1")
 def retract_cascade(spark, sf):
     b = blocks(spark, sf)
-    pages = b.filter("ordinal < 3").select(F.concat(F.lit("page/"), (F.col("doc_id") % 97).cast("string")).alias("page"), F.concat(F.lit("as [["), "id", F.lit("]] says")).alias("text"))
+    pages = b.select(F.concat(F.lit("page/"), (F.col("doc_id") % 97).cast("string")).alias("page"), F.concat(F.lit("as [["), "id", F.lit("]] says")).alias("text"))
     gone = b.join(read(spark, sf, "labels").filter("toxic = 1").select("doc_id"), "doc_id").select("id")
     return lifecycle.retract(gone, pages)
 
@@ -315,9 +315,9 @@ def vector_delta(spark, sf):
     return lifecycle.vector_delta(v.filter("id % 9 <> 0"), old)
 
 
-@query("SELECT count(*) AS encoded, count(*) FILTER (embedding IS NULL) AS pending, max(len(embedding)) AS dims FROM embeddings")
+@query("SELECT count(embedding) AS encoded, count(*) FILTER (embedding IS NULL) AS pending, max(len(embedding)) AS dims FROM embeddings")
 def vector_status(spark, sf):
-    return read(spark, sf, "embeddings").agg(F.count("*").alias("encoded"), F.count_if(F.col("embedding").isNull()).alias("pending"), F.max(F.size("embedding")).alias("dims"))
+    return read(spark, sf, "embeddings").agg(F.count("embedding").alias("encoded"), F.count_if(F.col("embedding").isNull()).alias("pending"), F.max(F.size("embedding")).alias("dims"))
 
 
 # ---- derived pages and quality
@@ -344,12 +344,12 @@ def entity_merge(spark, sf):
     return compile.entities(_mentions(spark, sf)).select("entity_id", "name", "n_facts", F.size("aliases").alias("n_aliases"))
 
 
-@query(rf"""WITH {SECTIONS}, have AS (SELECT DISTINCT unnest(regexp_extract_all(lower(raw), '[\p{{L}}\p{{N}}]{{3,}}')) AS term FROM blocks WHERE doc_id % 100 = 7),
+@query(rf"""WITH {SECTIONS}, have AS (SELECT DISTINCT unnest(regexp_extract_all(lower(raw), '[\p{{L}}\p{{N}}]{{3,}}')) AS term FROM blocks),
 c AS (SELECT DISTINCT id AS concept, unnest(regexp_extract_all(lower(summary), '[\p{{L}}\p{{N}}]{{3,}}')) AS term FROM sections)
 SELECT concept, count(*) AS hits FROM c JOIN have USING (term) GROUP BY concept ORDER BY hits DESC, concept LIMIT 10""")
 def affected_concepts(spark, sf):
     b = blocks(spark, sf)
-    return compile.affected_concepts(b.filter("doc_id % 100 = 7"), _sections(b).select(F.col("id").alias("concept"), "summary"))
+    return compile.affected_concepts(b, _sections(b).select(F.col("id").alias("concept"), "summary"))
 
 
 @query(f"WITH {BLOCKS} SELECT 'sources/' || doc_path || '.md' AS path, count(*) AS n_blocks FROM blocks GROUP BY doc_path")
@@ -373,10 +373,10 @@ def mindmap(spark, sf):
     return compile.mindmap(s).select("parent", F.array_join("titles", " | ").alias("titles"), "position")
 
 
-@query(f"WITH {BLOCKS}, rec AS (SELECT 'brief/' || (doc_id % 40) AS page, CASE WHEN doc_id % 37 = 5 THEN id || 'gone' ELSE id END AS id FROM blocks WHERE ordinal = 0) SELECT page, count(*) AS wanted, count(b.id) AS found, count(*) = count(b.id) AS ok FROM rec LEFT JOIN blocks b ON b.id = rec.id GROUP BY page")
+@query(f"WITH {BLOCKS}, rec AS (SELECT 'brief/' || (doc_id % 40) AS page, CASE WHEN doc_id % 37 = 5 THEN id || 'gone' ELSE id END AS id FROM blocks) SELECT page, count(*) AS wanted, count(b.id) AS found, count(*) = count(b.id) AS ok FROM rec LEFT JOIN blocks b ON b.id = rec.id GROUP BY page")
 def stale_reconcile(spark, sf):
     b = blocks(spark, sf)
-    rec = b.filter("ordinal = 0").select(F.concat(F.lit("brief/"), (F.col("doc_id") % 40).cast("string")).alias("page"), F.when(F.col("doc_id") % 37 == 5, F.concat("id", F.lit("gone"))).otherwise(F.col("id")).alias("id"))
+    rec = b.select(F.concat(F.lit("brief/"), (F.col("doc_id") % 40).cast("string")).alias("page"), F.when(F.col("doc_id") % 37 == 5, F.concat("id", F.lit("gone"))).otherwise(F.col("id")).alias("id"))
     return compile.rebuildable(rec, b)
 
 
@@ -405,9 +405,9 @@ def lint_stale_pages(spark, sf):
     return _pages(spark, sf).filter("stale").select("doc_path")
 
 
-@query(f"WITH {BLOCKS} SELECT doc_path AS page, '- ⚠ ' || raw AS line FROM blocks WHERE ordinal = 1")
+@query(f"WITH {BLOCKS} SELECT doc_path AS page, '- ⚠ ' || raw AS line FROM blocks")
 def lint_conflicts(spark, sf):
-    rows = blocks(spark, sf).filter("ordinal = 1").select(F.col("doc_path").alias("page"), F.concat(F.lit("# t\n- ⚠ before\n## Conflicts\n- ⚠ "), "raw", F.lit("\n- fine")).alias("text"))
+    rows = blocks(spark, sf).select(F.col("doc_path").alias("page"), F.concat(F.lit("# t\n- ⚠ before\n## Conflicts\n- ⚠ "), "raw", F.lit("\n- fine")).alias("text"))
     return quality.open_conflicts(rows)
 
 

@@ -216,3 +216,9 @@ def test_mindmap_bounds_groups_before_titles_are_collected(spark):
     assert [(x.parent, x.position, x.titles) for x in found.orderBy("position").collect()] == [(1, 1, [f"t{i}" for i in range(6)]), (2, 2, ["a", "b"])]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_escalation_takes_han_runs_and_ascii_terms_apart(spark):
+    rows = spark.createDataFrame([(1, "acme reports"), (2, "一家公司"), (3, "公"), (4, "nothing")], "rank int, raw string")
+    assert {r["rank"] for r in answer.escalate(rows, "ACME公司").collect()} == {1, 2}
+    assert answer.escalate(rows, "公 é").count() == 0
