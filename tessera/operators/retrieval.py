@@ -68,6 +68,43 @@ def knn(vectors: DataFrame, query: DataFrame, limit: int) -> DataFrame:
     return ranked(near, "cosine")
 
 
+def _stacked(vectors: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows of up to `size` vectors each: ids and their double components one after another."""
+    id_type = vectors.schema["id"].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            pdf = pdf[pdf["vector"].notna()]
+            for lo in range(0, len(pdf), size):
+                part = pdf.iloc[lo : lo + size]
+                yield pd.DataFrame({f"{name}_ids": [part["id"].tolist()], f"{name}_x": [np.stack([np.asarray(v, dtype=np.float64) for v in part["vector"]]).tobytes()]})
+
+    return vectors.select("id", "vector").mapInPandas(run, f"{name}_ids array<{id_type}>, {name}_x binary")
+
+
+def knn_many(vectors: DataFrame, queries: DataFrame, limit: int, rows: int = 4096) -> DataFrame:
+    """query, id, cosine, rank of the nearest vectors (unit length, one dimension) to every row of `queries` (id, vector).
+
+    Blocks of queries meet blocks of vectors, a product of matrices each; a pair of blocks returns the best `limit` of each
+    of its queries, so what is ranked at the end is small.  Null vectors are neither found nor searched for; equal cosines
+    are ordered by id."""
+    id_type, query_type = (d.schema["id"].dataType.simpleString() for d in (vectors, queries))
+    both = _stacked(vectors, rows, "v").crossJoin(_stacked(queries, 512, "q"))
+
+    def run(frames):
+        for pdf in frames:
+            for v_ids, v_x, q_ids, q_x in zip(pdf["v_ids"], pdf["v_x"], pdf["q_ids"], pdf["q_x"]):
+                a, b = (np.frombuffer(x, dtype=np.float64).reshape(len(ids), -1) for x, ids in ((q_x, q_ids), (v_x, v_ids)))
+                cosine, ids = np.round(a @ b.T, 6), np.asarray(v_ids)
+                for k, row in enumerate(cosine):
+                    near = np.lexsort((ids, -row))[:limit]
+                    yield pd.DataFrame({"query": [q_ids[k]] * len(near), "id": ids[near], "cosine": row[near]})
+
+    found = both.mapInPandas(run, f"query {query_type}, id {id_type}, cosine double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))
+    return found.withColumn("rank", rank - 1).filter(F.col("rank") < limit)
+
+
 def hybrid(lexical: DataFrame, rank_of: DataFrame, limit: int) -> DataFrame:
     """id, score: reciprocal rank of the lexical list plus the graph's gain; the graph never adds candidates."""
     base = rrf([(lexical, 1.0)])

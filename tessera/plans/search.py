@@ -111,9 +111,12 @@ def _knn(spark, sf, limit=40):
     return retrieval.knn(e, e.filter("id = 0").select("vector"), limit)
 
 
-@query(f"WITH {KNN} SELECT id, cosine, rank FROM knn")
+@query("""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT id AS query, e AS q FROM v WHERE id % 20 = 0),
+near AS (SELECT query, id, round(list_sum(list_transform(list_zip(e, q), lambda p: p[1] * p[2])), 6) AS cosine FROM v, q),
+knn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) - 1 AS rank FROM near) SELECT * FROM knn WHERE rank < 40""")
 def knn_topk(spark, sf):
-    return _knn(spark, sf)
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return retrieval.knn_many(e, e.filter("id % 20 = 0"), 40)
 
 
 LISTS = f"WITH {BLOCKS}, {bm25_sql(WIDE, 60, ('or',), name='a')}, {bm25_sql(NARROW, 60, ('or',), name='b')}"

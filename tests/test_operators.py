@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +223,16 @@ def test_escalation_takes_han_runs_and_ascii_terms_apart(spark):
     rows = spark.createDataFrame([(1, "acme reports"), (2, "一家公司"), (3, "公"), (4, "nothing")], "rank int, raw string")
     assert {r["rank"] for r in answer.escalate(rows, "ACME公司").collect()} == {1, 2}
     assert answer.escalate(rows, "公 é").count() == 0
+
+
+def test_knn_of_many_queries_equals_brute_force(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(60, 8))
+    x = np.concatenate([x, x[:5]]) / np.linalg.norm(np.concatenate([x, x[:5]]), axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(99, None)], "id long, vector array<double>").repartition(3)
+    got = {(q, k): (i, c) for q, i, c, k in (tuple(t) for t in retrieval.knn_many(df, df.filter("id % 20 = 0"), 7, rows=16).select("query", "id", "cosine", "rank").collect())}
+    for q in range(0, 65, 20):
+        cosine = np.round(x @ x[q], 6)
+        want = sorted(range(65), key=lambda i: (-cosine[i], i))[:7]
+        assert [got[q, k][0] for k in range(7)] == want
+    assert len(got) == 28 and retrieval.knn_many(df.limit(0), df, 3).count() == 0
