@@ -73,6 +73,7 @@ def parse(source: str) -> Node:
     root = Node("#root")
     stack, raw, at, n, most = [root], "", 0, len(source), 1
     counts: dict[str, int] = {}  # open elements by tag
+    last = source.rfind(">")
 
     def close(k: int):
         for x in stack[k:]:
@@ -86,6 +87,10 @@ def parse(source: str) -> Node:
             stack[-1].kids.append(source[at:stop])
             at, raw = stop, ""
             continue
+        if at > last and source[at] == "<" and not source.startswith(("<!--", "<![CDATA["), at):
+            stack[-1].kids.append("<")  # no tag ends behind here, so none is looked for
+            at += 1
+            continue
         m = TOKEN.match(source, at)
         token, at = m.group(), m.end()
         if token[0] != "<" or token == "<":

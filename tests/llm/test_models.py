@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from zlib import crc32
 
 import numpy as np
@@ -179,6 +180,13 @@ def test_deep_elements_close_only_themselves():
     assert html.main_text(deep) == "first inner after"
 
 
+def test_unclosed_tags_take_linear_time():
+    began = time.process_time()
+    assert html.main_text("<body><p>text</p>" + '<a "' * 250_000).startswith("text")
+    assert html.main_text("<p>a</p><!-- " + "<b " * 100_000) == "a"
+    assert time.process_time() - began < 20  # quadratic: an hour
+
+
 def test_all_pages_of_a_host_teach_its_wrapper(spark):
     rows = [(i, f"http://h{i % 2}.example/{i}", f"<body><div class=a>{'same' if i < 60 else f'late {i}'}</div><div class=c><p>text {i}</p></div></body>") for i in range(80)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
