@@ -63,7 +63,7 @@ STAGES = [
     ("packing", pack_documents),
 ]
 
-#: No SQL states the learned stages; tests compare the stages with brute force.
+#: No SQL states the learned stages; tests check which documents stay and the columns, the operators have tests of their own.
 ORACLE_SQL = None
 
 
