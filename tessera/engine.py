@@ -36,6 +36,7 @@ class KnowledgeBase:
     states: DataFrame
     pages: DataFrame
     vectors: DataFrame
+    index: lexical.Index | None = None
 
     @classmethod
     def from_documents(cls, spark: SparkSession, docs: DataFrame, vectors: DataFrame | None = None) -> KnowledgeBase:
@@ -58,6 +59,10 @@ class KnowledgeBase:
 
     # ---- search
 
+    def indexed(self, path: str | None = None) -> KnowledgeBase:
+        """The base with a stored full-text index of its blocks, which its searches then read instead of the texts."""
+        return replace(self, index=lexical.Index.build(self.blocks, path or f"{shared_folder(self.spark)}/index-{uuid.uuid4().hex}"))
+
     @property
     def acls(self) -> DataFrame:
         return governance.inherited_acl(self.documents.select("path", F.col("fm")["acl"].alias("acl"), F.get(F.col("fm")["source"], F.lit(0)).alias("source")))
@@ -75,7 +80,7 @@ class KnowledgeBase:
         if name == "vector":
             q = self.spark.createDataFrame([(vector or [],)], "vector array<double>")
             return retrieval.knn(self.vectors.join(self.blocks.select("id"), "id", "left_semi"), q, limit).select("id", "rank")
-        found = stored(lexical.bm25(self.blocks, query, 3 * limit))
+        found = stored(self.index.search(query, 3 * limit) if self.index else lexical.bm25(self.blocks, query, 3 * limit))
         if name == "lexical":
             return found.select("id", "rank")
         seeds = found.filter(F.col("rank") < S.SEEDS).select(F.lit(0).alias("query"), "id")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.functions import text as X
+from tessera.session import discard
 
 
 def indexed(blocks: DataFrame) -> DataFrame:
@@ -21,6 +23,13 @@ def postings(blocks: DataFrame) -> DataFrame:
     return indexed(blocks).select("id", F.explode(F.concat("ti", "tb", "tr")).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
+def places(blocks: DataFrame) -> DataFrame:
+    """term, id, dl, field (0 id, 1 breadcrumb, 2 raw), at: where the term stands in that field of the block, in order."""
+    rows = indexed(blocks).select("id", "dl", F.posexplode(F.array("ti", "tb", "tr")).alias("field", "tokens"))
+    each = rows.select("id", "dl", "field", F.posexplode("tokens").alias("at", "term"))
+    return each.groupBy("term", "id", "dl", "field").agg(F.sort_array(F.collect_list("at")).alias("at"))
+
+
 def _occurrences(tokens: Column, phrase: list[str]) -> Column:
     """How often the tokens of a phrase stand side by side."""
     if len(phrase) == 1:
@@ -55,19 +64,99 @@ def bm25(blocks: DataFrame, query: str, limit: int, rungs: tuple[str, ...] = ("a
     rows, pn = _scored(indexed(blocks), ps, "p") if ps else (indexed(blocks), [])
     rows, sn = _scored(rows, singles, "s") if singles != ps else (rows, pn)
     if not pn:
-        return blocks.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rung"), F.lit(0).alias("rank")).limit(0)
-    conds = {"and": reduce(lambda a, b: a & b, [F.col(x) > 0 for x in pn]), "or": reduce(lambda a, b: a | b, [F.col(x) > 0 for x in pn]), "terms": reduce(lambda a, b: a | b, [F.col(x) > 0 for x in sn])}
-    stats = rows.agg(F.count("*").alias("n_"), F.avg("dl").alias("avg_"), *(F.count_if(F.col(x) > 0).alias(f"df_{x}") for x in dict.fromkeys(pn + sn)), *(F.count_if(conds[r]).alias(f"hits_{r}") for r in rungs))
+        return _none(blocks)
+    stats = rows.agg(F.count("*").alias("n_"), F.avg("dl").alias("avg_"), *_counts(pn, sn, rungs))
+    return _best(rows, stats, pn, sn, query, limit, rungs)
+
+
+def _none(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rung"), F.lit(0).alias("rank")).limit(0)
+
+
+def _conditions(pn: list[str], sn: list[str]) -> dict[str, Column]:
+    return {"and": reduce(lambda a, b: a & b, [F.col(x) > 0 for x in pn]), "or": reduce(lambda a, b: a | b, [F.col(x) > 0 for x in pn]), "terms": reduce(lambda a, b: a | b, [F.col(x) > 0 for x in sn])}
+
+
+def _counts(pn: list[str], sn: list[str], rungs: tuple[str, ...]) -> list[Column]:
+    conds = _conditions(pn, sn)
+    return [*(F.count_if(F.col(x) > 0).alias(f"df_{x}") for x in dict.fromkeys(pn + sn)), *(F.count_if(conds[r]).alias(f"hits_{r}") for r in rungs)]
+
+
+def _best(rows: DataFrame, stats: DataFrame, pn: list[str], sn: list[str], query: str, limit: int, rungs: tuple[str, ...], texts: DataFrame | None = None) -> DataFrame:
+    """The first `limit` rows of the first rung with hits; `texts` (id, raw) where the rows have no text of their own."""
+    conds = _conditions(pn, sn)
     rung = reduce(lambda acc, k: F.when(F.col(f"hits_{rungs[k]}") > 0, k + 1).otherwise(acc), reversed(range(len(rungs))), F.lit(0))
     both = rows.crossJoin(F.broadcast(stats)).withColumn("rung", rung)  # one row of statistics
     keep = reduce(lambda a, b: a | b, [(F.col("rung") == k + 1) & conds[r] for k, r in enumerate(rungs)])
     score = F.coalesce(*(F.when(F.col("rung") == k + 1, _bm25(sn if r == "terms" else pn, F.col("n_"), F.col("avg_"))) for k, r in enumerate(rungs)))
-    top = both.filter(keep).select("id", score.alias("score"), "rung", "raw").orderBy(F.desc("score"), "id").limit(limit)
+    top = both.filter(keep).select("id", score.alias("score"), "rung", *(() if texts is not None else ("raw",))).orderBy(F.desc("score"), "id").limit(limit)
     words = X.single_terms(query)
-    if len(words) > 1:
+    loose = [k + 1 for k, r in enumerate(rungs) if r == "terms" or (r == "or" and sn == pn)]
+    if len(words) > 1 and loose:
+        if texts is not None:
+            top = texts.join(F.broadcast(top), "id")
         held = reduce(lambda a, b: a + b, [F.col("raw").contains(w).cast("int") for w in words])
-        loose = [k + 1 for k, r in enumerate(rungs) if r == "terms" or (r == "or" and singles == ps)]
         top = top.filter(~F.col("rung").isin(loose) | (held >= min(2, len(words))))
     from tessera.operators.retrieval import ranked
 
     return ranked(top.select("id", "score", "rung"))
+
+
+INDEX_TABLES = {"postings": "term string, id string, dl int, field int, at array<int>, bucket int", "texts": "id string, raw string", "totals": "n_ bigint, avg_ double"}
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored full-text index under one folder: `texts` (id, raw), one row of `totals`, and postings in folders by the
+    hash of their term, so that a search reads the folders of its own terms only."""
+
+    spark: SparkSession
+    path: str
+    buckets: int
+
+    @classmethod
+    def build(cls, blocks: DataFrame, path: str, buckets: int = 64) -> Index:
+        """Writes the index of `blocks` (id, breadcrumb, raw; an id stands in one row).  A bucket is spread over as many files as the blocks have
+        partitions for it, by block, so the postings of a frequent term never meet in one task."""
+        spread = -(-blocks.rdd.getNumPartitions() // buckets)
+        rows = places(blocks).withColumn("bucket", _bucket(F.col("term"), buckets))
+        rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(spread))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+        blocks.select("id", "raw").write.parquet(f"{path}/texts")
+        indexed(blocks).agg(F.count("*").alias("n_"), F.avg("dl").alias("avg_")).write.parquet(f"{path}/totals")
+        return cls(blocks.sparkSession, path, buckets)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(INDEX_TABLES[name]).parquet(f"{self.path}/{name}")
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        return self.table("postings").filter(F.col("bucket").isin(*(_bucket(F.lit(t), self.buckets) for t in terms)) & F.col("term").isin(*terms))
+
+    def search(self, query: str, limit: int, rungs: tuple[str, ...] = ("and", "or", "terms")) -> DataFrame:
+        """The rows of `bm25`, from the postings of the query's terms; the text is read only where two terms must be held."""
+        ps, singles = X.phrases(query), [[X.folded(t)] for t in X.single_terms(query)]
+        if not ps:
+            return _none(self.table("texts"))
+        pn = [f"p{k}" for k in range(len(ps))]
+        sn = pn if singles == ps else [f"s{k}" for k in range(len(singles))]
+        wanted = dict(zip(pn, ps)) | dict(zip(sn, singles))
+        terms = sorted({t for p in wanted.values() for t in p})
+        fields = self.postings(terms).groupBy("id", "dl", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "at"))).alias("m"))
+        found = fields.groupBy("id", "dl").agg(*(F.sum(_side_by_side(F.col("m"), p)).alias(n) for n, p in wanted.items()))
+        stats = found.agg(*_counts(pn, sn, rungs)).crossJoin(F.broadcast(self.table("totals")))  # a row each
+        return _best(found, stats, pn, sn, query, limit, rungs, self.table("texts"))
+
+    def drop(self) -> None:
+        discard(self.spark, self.path)
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _side_by_side(m: Column, phrase: list[str]) -> Column:
+    """How often the tokens of a phrase follow one another, from the places of each."""
+    first = F.try_element_at(m, F.lit(phrase[0]))
+    if len(phrase) > 1:
+        rest = [(j, F.try_element_at(m, F.lit(t))) for j, t in enumerate(phrase[1:], 1)]
+        first = F.filter(first, lambda x: reduce(lambda a, b: a & b, [F.coalesce(F.array_contains(at, x + j), F.lit(False)) for j, at in rest]))
+    return F.coalesce(F.size(F.coalesce(first, F.expr("cast(array() as array<int>)"))), F.lit(0))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera import schema as S
 from tessera.functions import text as X
 from tessera.operators import answer, compile, governance, graph, lexical, lifecycle, quality, retrieval
-from tessera.plans.base import BLOCKS, TURNS, blocks, bm25_sql, hash_sql, query, read, turns
-from tessera.plans.search import KNN, SECTIONS, _knn, _sections
+from tessera.plans.base import BLOCKS, ORACLES, TURNS, blocks, bm25_sql, hash_sql, query, read, turns
+from tessera.plans.search import KNN, SECTIONS, _sections, knn_topk
 
 ASK = "heat that edthe onthe the"
 HITS = f"WITH {BLOCKS}, {bm25_sql(ASK, 200, ('or',))}, ev AS (SELECT h.rank, h.id, b.doc_id, b.doc_path, b.breadcrumb, b.raw, b.layer FROM hits h JOIN blocks b USING (id))"
@@ -380,12 +380,13 @@ def stale_reconcile(spark, sf):
     return compile.rebuildable(rec, b)
 
 
-@query(f"WITH {LINKED} SELECT id AS src, 'none ' || doc_id AS target FROM lb WHERE doc_id % 5 = 4")
+@query(f"""WITH {LINKED}, l AS (SELECT id AS src, trim(regexp_extract(raw, '\\[\\[([^\\]|#]+)', 1)) AS target FROM lb),
+alive AS (SELECT path AS key FROM d UNION SELECT replace(path, '.md', '') FROM d UNION SELECT title FROM d UNION SELECT section FROM d) SELECT src, target FROM l WHERE target NOT IN (SELECT key FROM alive)""")
 def lint_broken_links(spark, sf):
     b, docs, sections = _linked(spark, sf)
-    links = b.filter("doc_id % 5 in (0, 4)").select(F.col("id").alias("src"), F.explode(X.wikilinks("raw")).alias("target"))
-    alive = docs.select(F.col("path").alias("key")).unionByName(links.filter("target not like 'none %'").select(F.col("target").alias("key")))
-    return quality.broken_links(links, alive)
+    links = b.select(F.col("id").alias("src"), F.explode(X.wikilinks("raw")).alias("target"))
+    keys = docs.select(F.explode(F.array("path", F.regexp_replace("path", r"\.md$", ""), "title")).alias("key")).unionByName(sections.select(F.col("title").alias("key")))
+    return quality.broken_links(links, keys)
 
 
 @query(f"WITH {BLOCKS}, x AS (SELECT id, layer, CASE WHEN ordinal % 3 = 0 THEN '- ' || raw WHEN ordinal % 3 = 1 THEN '- ' || raw || ' [[a#b]]' ELSE raw END AS line FROM blocks) SELECT id, line FROM x WHERE layer <> 'raw' AND regexp_matches(trim(line), '^[-*] ') AND NOT regexp_matches(line, '\\[\\[[^\\]]+\\]\\]|[(（][^()（）]*#[^()（）]*[)）]')")
@@ -438,21 +439,37 @@ def eval_metrics(spark, sf):
     return quality.eval_metrics(c)
 
 
-@query(f"""WITH {KNN}, gold AS (SELECT label AS qid, vec_id AS id FROM embeddings WHERE label IN (SELECT label FROM embeddings WHERE vec_id = 0) UNION ALL SELECT label, -1 - vec_id FROM embeddings WHERE vec_id < 5),
-cov AS (SELECT * FROM gold WHERE id >= 0), h AS (SELECT c.qid, min(k.rank) AS best FROM cov c LEFT JOIN knn k ON k.id = c.id GROUP BY c.qid)
-SELECT k, round(avg((coalesce(best, 1073741824) < k)::INT::DOUBLE), 6) AS hit, (SELECT round((SELECT count(*) FROM cov)::DOUBLE / count(*), 6) FROM gold) AS coverage FROM h, (SELECT unnest([1, 5])::BIGINT AS k) GROUP BY k""")
+@query(f"""WITH {KNN}, ends AS (SELECT label, min(vec_id) AS lo, max(vec_id) AS hi FROM embeddings GROUP BY label), asked AS (SELECT vec_id AS qid, lo, hi FROM embeddings JOIN ends USING (label) WHERE vec_id % 20 = 0),
+gold AS (SELECT qid, lo AS id FROM asked UNION SELECT qid, hi FROM asked UNION SELECT qid, -1 - qid FROM asked),
+cov AS (SELECT * FROM gold WHERE id >= 0), h AS (SELECT c.qid, min(k.rank) AS best FROM cov c LEFT JOIN knn k ON k.query = c.qid AND k.id = c.id GROUP BY c.qid)
+SELECT k, round(avg((coalesce(best, 1073741824) < k)::INT::DOUBLE), 6) AS hit, (SELECT round((SELECT count(*) FROM cov)::DOUBLE / count(*), 6) FROM gold) AS coverage FROM h, (SELECT unnest([1, 5, 40])::BIGINT AS k) GROUP BY k""")
 def hit_at_k(spark, sf):
+    """Every vector whose id is divisible by 20 asks for the first and the last vector of its label, and for one that is nowhere."""
     e = read(spark, sf, "embeddings")
-    lab = e.filter("vec_id = 0").select("label")
-    gold = e.join(F.broadcast(lab), "label", "left_semi").select(F.col("label").alias("qid"), F.col("vec_id").alias("id")).unionByName(e.filter("vec_id < 5").select(F.col("label").alias("qid"), (-1 - F.col("vec_id")).alias("id")))
-    res = _knn(spark, sf).select("id", "rank").crossJoin(F.broadcast(lab.withColumnRenamed("label", "qid")))
-    return quality.hit_at_k(res, gold, e.select(F.col("vec_id").alias("id")))
+    ends = e.groupBy("label").agg(F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi"))
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "label").join(ends, "label")
+    gold = asked.select("qid", F.explode(F.array("lo", "hi", -1 - F.col("qid"))).alias("id")).distinct()
+    res = knn_topk(spark, sf).select(F.col("query").alias("qid"), "id", "rank")
+    return quality.hit_at_k(res, gold, e.select(F.col("vec_id").alias("id")), (1, 5, 40))
 
 
-@query(f"""WITH {PAGE_EDGES}, o AS (SELECT page_id FROM pages WHERE page_id NOT IN (SELECT src FROM edges WHERE w >= 4) AND page_id NOT IN (SELECT dst FROM edges WHERE w >= 4))
-SELECT 'orphan' AS kind, page_id::VARCHAR AS subject FROM o UNION ALL SELECT 'stale', source || '/' || doc_id FROM documents WHERE doc_id % 7 = 0""")
+LINT = {"broken": ("lint_broken_links", "src"), "unsourced": ("lint_unsourced", "id"), "expired": ("lint_expired_ttl", "path"), "stale": ("lint_stale_pages", "doc_path"), "conflict": ("lint_conflicts", "page"), "orphan": ("lint_orphans", "page")}
+FINDINGS = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {c}::VARCHAR AS subject FROM ({ORACLES[name]})" for kind, (name, c) in LINT.items())
+
+
+def _findings(spark, sf):
+    checks = {"broken": lint_broken_links, "unsourced": lint_unsourced, "expired": lint_expired_ttl, "stale": lint_stale_pages, "conflict": lint_conflicts, "orphan": lint_orphans}
+    return quality.findings(**{kind: checks[kind](spark, sf).select(c) for kind, (_, c) in LINT.items()})
+
+
+@query(FINDINGS)
 def lint_all(spark, sf):
-    return quality.findings(orphan=lint_orphans(spark, sf), stale=lint_stale_pages(spark, sf))
+    return _findings(spark, sf)
+
+
+@query(f"SELECT kind, count(*) AS n, count(DISTINCT subject) AS n_subjects FROM ({FINDINGS}) GROUP BY kind")
+def lint_totals(spark, sf):
+    return quality.totals(_findings(spark, sf))
 
 
 @query(f"WITH {BLOCKS} SELECT doc_path, count(*) AS n_blocks, min(ordinal) AS first, max(ordinal) AS last FROM blocks GROUP BY doc_path")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import lexical, lifecycle, retrieval
 from tessera.plans.base import BLOCKS, TURNS, blocks, bm25_sql, hash_sql, query, read, tokens_sql, mirror_sql, turns
+from tessera.session import shared_folder
 
 WIDE = "heatly thorea tionnt ofthe eneaor"
 NARROW = "the heat"
@@ -48,6 +51,35 @@ def term_df_stats(spark, sf):
     return lexical.postings(blocks(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+@query(f"""WITH {BLOCKS}, f AS (SELECT id, unnest([0, 1, 2])::BIGINT AS field, unnest([{tokens_sql('id')}, {tokens_sql(mirror_sql('breadcrumb'))}, {tokens_sql(mirror_sql('raw'))}]) AS tokens FROM blocks),
+t AS (SELECT id, field, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS pos FROM f)
+SELECT term, field, count(DISTINCT id) AS n_blocks, count(*) AS n_places, sum(pos)::BIGINT AS sum_places FROM t GROUP BY term, field""")
+def posting_places(spark, sf):
+    p = lexical.places(blocks(spark, sf)).withColumn("s", F.aggregate("at", F.lit(0).cast("bigint"), lambda a, x: a + x))
+    return p.groupBy("term", "field").agg(F.count("*").alias("n_blocks"), F.sum(F.size("at")).alias("n_places"), F.sum("s").alias("sum_places"))
+
+
+def _by_index(spark, b, q, limit, rungs):
+    """The hits of one search of a stored index, which is built for it and deleted after."""
+    from tessera.engine import stored
+
+    index = lexical.Index.build(b, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    try:
+        return stored(index.search(q, limit, rungs))
+    finally:
+        index.drop()
+
+
+@query(f"WITH {BLOCKS}, {bm25_sql(MIXED, 50)} SELECT id, score, rung, rank FROM hits")
+def index_search(spark, sf):
+    return _by_index(spark, blocks(spark, sf), MIXED, 50, ("and", "or", "terms"))
+
+
+@query(f"WITH {BLOCKS}, han AS (SELECT * REPLACE (translate(raw, '{HAN[0]}', '{HAN[1]}') AS raw) FROM blocks), {bm25_sql('中文本 文中', 50, ('and', 'or', 'terms'), 'han')} SELECT id, score, rung, rank FROM hits")
+def index_search_phrase(spark, sf):
+    return _by_index(spark, blocks(spark, sf).withColumn("raw", F.translate("raw", *HAN)), "中文本 文中", 50, ("and", "or", "terms"))
+
+
 @query(f"WITH {BLOCKS} SELECT coalesce(sum(length(raw)), 0)::BIGINT AS chars FROM blocks")
 def corpus_size(spark, sf):
     return retrieval.corpus_size(blocks(spark, sf))
@@ -102,18 +134,12 @@ def doc_fingerprint(spark, sf):
     return lifecycle.fingerprints(blocks(spark, sf))
 
 
-VECTORS = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT e AS q FROM v WHERE id = 0)"
-KNN = VECTORS + ", near AS (SELECT id, round(list_sum(list_transform(list_zip(e, q), lambda p: p[1] * p[2])), 6) AS cosine FROM v, q ORDER BY cosine DESC, id LIMIT 40), knn AS (SELECT *, row_number() OVER (ORDER BY cosine DESC, id) - 1 AS rank FROM near)"
-
-
-def _knn(spark, sf, limit=40):
-    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return retrieval.knn(e, e.filter("id = 0").select("vector"), limit)
+KNN = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT id AS query, e AS q FROM v WHERE id % 20 = 0),
+near AS (SELECT query, id, round(list_sum(list_transform(list_zip(e, q), lambda p: p[1] * p[2])), 6) AS cosine FROM v, q),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) - 1 AS rank FROM near) WHERE rank < 40)"""
 
 
-@query("""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT id AS query, e AS q FROM v WHERE id % 20 = 0),
-near AS (SELECT query, id, round(list_sum(list_transform(list_zip(e, q), lambda p: p[1] * p[2])), 6) AS cosine FROM v, q),
-knn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) - 1 AS rank FROM near) SELECT * FROM knn WHERE rank < 40""")
+@query(f"WITH {KNN} SELECT * FROM knn")
 def knn_topk(spark, sf):
     e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return retrieval.knn_many(e, e.filter("id % 20 = 0"), 40)

@@ -52,3 +52,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote, on whatever file system it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

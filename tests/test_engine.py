@@ -56,3 +56,11 @@ def test_retraction_and_lint(base):
     assert {r.verdict for r in base.claim("revenue 32", ["a.md#Finance/Debt/0"]).collect()} == {"entailed"}
     assert base.changes(base).count() == 0
     assert {"sources/a.md.md", "entities/acme.md"} <= {r.path for r in base.derived_pages().collect()}
+
+
+def test_stored_index_finds_what_the_scan_finds(base):
+    kb = base.indexed()
+    for q in ("revenue", "ACME cost", "zebra42 nowhere", "", "..."):
+        assert [tuple(r) for r in kb.channel("lexical", q, 5).orderBy("rank").collect()] == [tuple(r) for r in base.channel("lexical", q, 5).orderBy("rank").collect()]
+    assert ids(kb.search("revenue", groups=["board"])) == ids(base.search("revenue", groups=["board"]))
+    kb.index.drop()

@@ -236,3 +236,13 @@ def test_knn_of_many_queries_equals_brute_force(spark):
         want = sorted(range(65), key=lambda i: (-cosine[i], i))[:7]
         assert [got[q, k][0] for k in range(7)] == want
     assert len(got) == 28 and retrieval.knn_many(df.limit(0), df, 3).count() == 0
+
+
+def test_index_counts_overlapping_phrases_and_takes_an_empty_table(spark, tmp_path):
+    rows = [("a", "x", "中中中 中"), ("b", "中中", "other"), ("c", "x", ""), ("d", "x", "naïve Naive")]
+    b = spark.createDataFrame(rows, "id string, breadcrumb string, raw string")
+    index = lexical.Index.build(b, f"file://{tmp_path}/i", buckets=3)
+    for q in ("中中", "中中 other", "naive x", "x 中中中", "absent"):
+        assert [tuple(r) for r in index.search(q, 9).orderBy("rank").collect()] == [tuple(r) for r in lexical.bm25(b, q, 9).orderBy("rank").collect()]
+    none = lexical.Index.build(b.limit(0), f"file://{tmp_path}/none")
+    assert none.search("x", 5).count() == 0
