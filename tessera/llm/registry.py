@@ -125,3 +125,74 @@ def op4_hpylm(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (op4_hpylm,)}
+
+
+def op12_whitening(spark, sf_dir):
+    """Every usable vector on the first four whitened components of the distinct ones."""
+    from tessera.llm import whitening
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit_whitening(vectors)).withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+QUERIES |= {f.__name__: f for f in (op12_whitening,)}
+
+#: Host, path and verdict of the rules that the query applies (fixed by its contract).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op13_urls(spark, sf_dir):
+    """Every page's URL judged by the longest rule that fits its host and path."""
+    from tessera.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+OP13_SQL = rf"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+rules(h, p, v) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+pairs AS (SELECT DISTINCT host, path FROM parts),
+best AS (
+  SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+  FROM pairs JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (host, path)
+"""
+
+QUERIES |= {f.__name__: f for f in (op13_urls,)}
+ORACLES |= {"op13_urls": OP13_SQL}
+
+
+def op11_trie(spark, sf_dir):
+    """The prefix trie of all conversations, rebuilt so that families share their first turns."""
+    from tessera.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+# The checksum bit by bit: SQL has none of its own.  A node's key is the digest of its turns' digests.
+CRC32_SQL = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+OP11_SQL = f"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, count(*) AS n, {CRC32_SQL} % 6 AS h FROM turns GROUP BY c),
+convs AS (SELECT own.c, own.h, own.c - own.c % 100 AS family, least(own.h, coalesce(f.n, 0)) AS taken FROM own LEFT JOIN own f ON f.c = own.c - own.c % 100),
+rebuilt AS (
+  SELECT c, taken + pos - h AS d, role, text FROM turns JOIN convs USING (c) WHERE pos > h
+  UNION ALL SELECT convs.c, pos, role, text FROM turns t JOIN convs ON t.c = family WHERE pos <= taken),
+walks AS (SELECT c, d, length(text) AS size, md5(string_agg(md5(role) || md5(text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS node FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+steps AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent, lead(node) OVER (PARTITION BY c ORDER BY d) IS NULL AS last FROM walks),
+nodes AS (SELECT d, node, any_value(parent) AS parent, min(c) AS c, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM steps GROUP BY d, node),
+kids AS (SELECT d - 1 AS d, parent AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, node)),
+sums AS (SELECT w.d, w.node, sum(f.saved)::BIGINT AS saved, count(*) FILTER (f.n_children = 0) AS leaves FROM full_ f JOIN walks w ON w.c = f.c AND w.d <= f.d GROUP BY w.d, w.node)
+SELECT f.c AS conv_id, f.d AS depth, p.c AS parent_conv_id, f.n_convs, f.n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, f.ends_sha256
+FROM full_ f JOIN sums s USING (d, node) LEFT JOIN nodes p ON p.d = f.d - 1 AND p.node = f.parent
+"""
+
+QUERIES |= {f.__name__: f for f in (op11_trie,)}
+ORACLES |= {"op11_trie": OP11_SQL}
