@@ -12,21 +12,15 @@ from pyspark.sql import functions as F
 from tessera import schema as S
 from tessera.functions import text as X
 from tessera.operators import answer, compile, governance, graph, ingest, lexical, lifecycle, quality, retrieval
-from tessera.session import shared_folder
+from tessera.session import shared_folder, stored
 from tessera.sources import tables
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder: what several steps read is made once."""
-    path = f"{shared_folder(df.sparkSession)}/knowledge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tessera.sources.registry import Registry, stamp_of
 
 
 @dataclass(frozen=True)
 class KnowledgeBase:
     """documents (path, title, fm, layer), sections, blocks, links; states (id, state), pages (doc_path, state, stale)
-    and vectors (id, vector) may be empty."""
+    and vectors (id, vector) may be empty.  `members` are the same-document and same-section edges as cliques."""
 
     spark: SparkSession
     documents: DataFrame
@@ -37,18 +31,21 @@ class KnowledgeBase:
     pages: DataFrame
     vectors: DataFrame
     index: lexical.Index | None = None
+    members: DataFrame | None = None
+    registry: Registry | None = None
 
     @classmethod
     def from_documents(cls, spark: SparkSession, docs: DataFrame, vectors: DataFrame | None = None) -> KnowledgeBase:
         """From (path, text, layer, title, fm) rows: parses them, resolves links, takes declared states."""
         sections, blocks = map(stored, ingest.parse(docs.select("path", "text", "layer")))
         named = stored(docs.select("path", "title", "fm", "layer"))
-        links = stored(graph.resolve_links(blocks, named, sections).unionByName(graph.structural_edges(blocks, "section_id", "same-section")).unionByName(graph.structural_edges(blocks, "doc_path", "same-doc")).distinct())
+        links = stored(graph.resolve_links(blocks, named, sections).distinct())
+        members = stored(graph.cliques(blocks, same_section="section_id", same_doc="doc_path"))
         declared = named.select(F.col("path").alias("doc_path"), F.get(F.col("fm")["state"], F.lit(0)).alias("state")).filter(F.col("state").isin(*S.STATES))
         states = blocks.select("id", "doc_path").join(declared, "doc_path").select("id", "state")
         pages = named.limit(0).select(F.col("path").alias("doc_path"), F.lit("active").alias("state"), F.lit(False).alias("stale"))
         none = blocks.limit(0).select("id", F.expr("cast(array() as array<double>)").alias("vector"))
-        return cls(spark, named, sections, blocks, links, states, pages, vectors if vectors is not None else none)
+        return cls(spark, named, sections, blocks, links, states, pages, vectors if vectors is not None else none, members=members)
 
     @classmethod
     def from_folders(cls, spark: SparkSession, raw: str, wiki: str | None = None) -> KnowledgeBase:
@@ -67,9 +64,33 @@ class KnowledgeBase:
     def acls(self) -> DataFrame:
         return governance.inherited_acl(self.documents.select("path", F.col("fm")["acl"].alias("acl"), F.get(F.col("fm")["source"], F.lit(0)).alias("source")))
 
+    def registered(self, root: str | None = None) -> KnowledgeBase:
+        """The base with a registry for what is derived from it: a graph is then stored once for each state of the corpus
+        and used again while the stamp of blocks, links and documents is the same."""
+        return replace(self, registry=Registry(self.spark, root or f"{shared_folder(self.spark)}/registry-{uuid.uuid4().hex}"))
+
+    def stamp(self) -> str:
+        """The stamp of everything that the graph's shape and weights follow from."""
+        documents = self.documents.select("path", "layer", F.to_json("fm").alias("fm"))
+        return stamp_of(blocks=(self.blocks, ("id", "doc_path", "section_id", "layer", "raw", "hash")), links=(self.links, ("src", "dst", "kind", "weight")), documents=(documents, ("path", "layer", "fm")))
+
+    def _confidence(self) -> DataFrame:
+        return self.documents.select(F.col("path").alias("doc_path"), F.get(F.col("fm")["confidence"], F.lit(0)).alias("confidence"))
+
     def edges(self) -> DataFrame:
-        conf = self.documents.select(F.col("path").alias("doc_path"), F.get(F.col("fm")["confidence"], F.lit(0)).alias("confidence"))
-        return graph.weighted_edges(self.links, self.blocks, conf)
+        return graph.weighted_edges(self.links, self.blocks, self._confidence())
+
+    def graph(self) -> tuple[DataFrame, DataFrame | None]:
+        """Weighted links and weighted cliques; from the registry where there is one."""
+        parts = {"edges": self.edges, "members": lambda: graph.weighted_members(self.members, self.blocks, self._confidence())}
+        if self.members is None:
+            del parts["members"]
+        if self.registry is None:
+            made = {k: f() for k, f in parts.items()}
+        else:
+            stamp = self.stamp()
+            made = {k: self.registry.derived(k, stamp, f)[0] for k, f in parts.items()}
+        return made["edges"], made.get("members")
 
     def channel(self, name: str, query: str, limit: int, vector: list[float] | None = None) -> DataFrame:
         """id, rank of one channel: lexical, graph (lexical re-scored by rank), tree, full, vector."""
@@ -84,7 +105,8 @@ class KnowledgeBase:
         if name == "lexical":
             return found.select("id", "rank")
         seeds = found.filter(F.col("rank") < S.SEEDS).select(F.lit(0).alias("query"), "id")
-        return retrieval.hybrid(found, graph.personalized_pagerank(self.edges(), seeds).select("id", "pr"), 3 * limit).select("id", "rank")
+        edges, members = self.graph()
+        return retrieval.hybrid(found, graph.personalized_pagerank(edges, seeds, members=members).select("id", "pr"), 3 * limit).select("id", "rank")
 
     def search(self, query: str, top: int = 8, groups: list[str] | None = None, channel: str | None = None, layer: str | None = None, include_states: tuple[str, ...] = (), filters: dict[str, list[str]] | None = None, vector: list[float] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
         """rank, id, doc_path, breadcrumb, raw, layer, state, score, matched_by: fused channels, then access, state and
@@ -146,12 +168,14 @@ class KnowledgeBase:
         fm = lambda k: F.get(F.col("fm")[k], F.lit(0))
         docs = self.documents.select("path", fm("ttl").alias("ttl"), fm("valid_from").alias("valid_from"))
         by = self.blocks.select("id", "doc_path")
+        noted = self.blocks.filter(F.col("breadcrumb").rlike("(^| > )Conflicts$") & (F.col("layer") != "raw")).select(F.col("doc_path").alias("page"), F.concat(F.lit("## Conflicts\n"), "raw").alias("text"))
         pages = self.links.filter("kind = 'wikilink'").join(by.select(F.col("id").alias("src"), F.col("doc_path").alias("src_page")), "src").join(by.select(F.col("id").alias("dst"), F.col("doc_path").alias("dst_page")), "dst")
         return quality.findings(
             broken_link=self.links.filter("kind = 'wikilink-unresolved'").select("dst"),
             unsourced=quality.unsourced(self.blocks),
             expired=quality.expired(docs, today),
             stale=self.pages.filter("stale").select("doc_path"),
+            conflict=quality.open_conflicts(noted).select("page"),
             orphan=quality.orphans(self.documents.filter("layer <> 'raw'").select(F.col("path").alias("page")), pages),
         )
 

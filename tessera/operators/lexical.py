@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.functions import text as X
-from tessera.session import discard
+from tessera.session import discard, stored
+from tessera.sources.registry import Entry, Registry, Snapshot
 
 
 def indexed(blocks: DataFrame) -> DataFrame:
@@ -82,8 +84,8 @@ def _counts(pn: list[str], sn: list[str], rungs: tuple[str, ...]) -> list[Column
     return [*(F.count_if(F.col(x) > 0).alias(f"df_{x}") for x in dict.fromkeys(pn + sn)), *(F.count_if(conds[r]).alias(f"hits_{r}") for r in rungs)]
 
 
-def _best(rows: DataFrame, stats: DataFrame, pn: list[str], sn: list[str], query: str, limit: int, rungs: tuple[str, ...], texts: DataFrame | None = None) -> DataFrame:
-    """The first `limit` rows of the first rung with hits; `texts` (id, raw) where the rows have no text of their own."""
+def _best(rows: DataFrame, stats: DataFrame, pn: list[str], sn: list[str], query: str, limit: int, rungs: tuple[str, ...], texts: Callable[[list[str]], DataFrame] | None = None) -> DataFrame:
+    """The first `limit` rows of the first rung with hits; `texts` gives (id, raw) of ids where rows have no text of their own."""
     conds = _conditions(pn, sn)
     rung = reduce(lambda acc, k: F.when(F.col(f"hits_{rungs[k]}") > 0, k + 1).otherwise(acc), reversed(range(len(rungs))), F.lit(0))
     both = rows.crossJoin(F.broadcast(stats)).withColumn("rung", rung)  # one row of statistics
@@ -94,7 +96,12 @@ def _best(rows: DataFrame, stats: DataFrame, pn: list[str], sn: list[str], query
     loose = [k + 1 for k, r in enumerate(rungs) if r == "terms" or (r == "or" and sn == pn)]
     if len(words) > 1 and loose:
         if texts is not None:
-            top = texts.join(F.broadcast(top), "id")
+            hits = top.collect()  # at most `limit` rows
+            top = rows.sparkSession.createDataFrame(hits, top.schema)
+            if hits and hits[0].rung in loose:
+                top = texts([r.id for r in hits]).select("id", "raw").join(F.broadcast(top), "id")
+            else:
+                top = top.withColumn("raw", F.lit(""))
         held = reduce(lambda a, b: a + b, [F.col("raw").contains(w).cast("int") for w in words])
         top = top.filter(~F.col("rung").isin(loose) | (held >= min(2, len(words))))
     from tessera.operators.retrieval import ranked
@@ -102,53 +109,156 @@ def _best(rows: DataFrame, stats: DataFrame, pn: list[str], sn: list[str], query
     return ranked(top.select("id", "score", "rung"))
 
 
-INDEX_TABLES = {"postings": "term string, id string, dl int, field int, at array<int>, bucket int", "texts": "id string, raw string", "totals": "n_ bigint, avg_ double"}
+#: Characters of text whose postings, or which themselves, one part of a segment should hold.
+BUCKET_CHARS, FOLDER_CHARS = 32_000_000, 64_000_000
+POSTINGS = "term string, id string, dl int, field int, at array<int>"
+KINDS = ("postings", "texts", "gone")
+
+
+def _share(total: int, one: int, least: int = 1, most: int = 4096) -> int:
+    return max(least, min(most, -(-total // one)))
 
 
 @dataclass(frozen=True)
 class Index:
-    """A stored full-text index under one folder: `texts` (id, raw), one row of `totals`, and postings in folders by the
-    hash of their term, so that a search reads the folders of its own terms only."""
+    """A stored full-text index under one folder, made of segments that are never changed.
+
+    A segment has postings in parts by the hash of their term, texts (id, raw, dl) in parts by the hash of their id, and
+    `gone`: the ids whose rows in earlier segments no longer count.  Statistics are sums over segments.  A search reads the
+    parts of its own terms in every segment; changes add a segment, `merge` makes one of many.  An index object is one
+    version: what others add meanwhile is seen by `latest`."""
 
     spark: SparkSession
     path: str
-    buckets: int
+    at: Snapshot
+
+    @classmethod
+    def build(cls, blocks: DataFrame, path: str, buckets: int | None = None) -> Index:
+        """Writes the index of `blocks` (id, breadcrumb, raw; an id stands in one row) as one segment."""
+        return cls(blocks.sparkSession, path, Registry(blocks.sparkSession, path).snapshot())._with_segment(blocks, None, buckets)
 
     @classmethod
-    def build(cls, blocks: DataFrame, path: str, buckets: int = 64) -> Index:
-        """Writes the index of `blocks` (id, breadcrumb, raw; an id stands in one row).  A bucket is spread over as many files as the blocks have
-        partitions for it, by block, so the postings of a frequent term never meet in one task."""
-        spread = -(-blocks.rdd.getNumPartitions() // buckets)
-        rows = places(blocks).withColumn("bucket", _bucket(F.col("term"), buckets))
-        rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(spread))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
-        blocks.select("id", "raw").write.parquet(f"{path}/texts")
-        indexed(blocks).agg(F.count("*").alias("n_"), F.avg("dl").alias("avg_")).write.parquet(f"{path}/totals")
-        return cls(blocks.sparkSession, path, buckets)
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(INDEX_TABLES[name]).parquet(f"{self.path}/{name}")
-
-    def postings(self, terms: list[str]) -> DataFrame:
-        return self.table("postings").filter(F.col("bucket").isin(*(_bucket(F.lit(t), self.buckets) for t in terms)) & F.col("term").isin(*terms))
+    def open(cls, spark: SparkSession, path: str) -> Index:
+        return cls(spark, path, Registry(spark, path).snapshot())
+
+    def latest(self) -> Index:
+        return Index.open(self.spark, self.path)
+
+    @property
+    def segments(self) -> list[int]:
+        return sorted(int(n.split("-")[1]) for n in self.at.entries if n.startswith("postings-"))
+
+    def facts(self, segment: int) -> dict:
+        return self.at.entries[f"postings-{segment}"].facts
+
+    def _with_segment(self, added: DataFrame | None, gone: DataFrame | None, buckets: int | None = None) -> Index:
+        registry, k = Registry(self.spark, self.path), max(self.segments, default=-1) + 1
+        entries: dict[str, Entry] = {}
+        n = dl = size = 0
+        if added is not None:
+            chars = added.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()[0]
+            size, folders = buckets or _share(chars, BUCKET_CHARS, 4), _share(chars, FOLDER_CHARS, 4)
+            rows = indexed(added).select("id", "raw", "dl")
+            made = registry.write(rows.withColumn("part", _bucket(F.col("id"), folders)).hint("rebalance", "part"), "part")
+            entries[f"texts-{k}"] = Entry(made.parts, made.schema, "", {"parts": folders})
+            n, dl = Snapshot(self.spark, 0, entries).table(f"texts-{k}").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+            rows = places(added).withColumn("part", _bucket(F.col("term"), size))
+            entries[f"postings-{k}"] = registry.write(rows.hint("rebalance", "part").sortWithinPartitions("part", "term", "id"), "part")
+        else:
+            entries[f"postings-{k}"] = registry.write(self.spark.createDataFrame([], POSTINGS + ", part int"), "part")
+        lost_n = lost_dl = 0
+        if gone is not None:
+            entries[f"gone-{k}"] = registry.write(indexed(gone).select("id", "dl"))
+            lost_n, lost_dl = Snapshot(self.spark, 0, entries).table(f"gone-{k}").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        e = entries[f"postings-{k}"]
+        entries[f"postings-{k}"] = Entry(e.parts, e.schema, "", {"buckets": max(size, 1), "n": n - lost_n, "dl": dl - lost_dl})
+        return replace(self, at=registry.publish(self.at, entries))
+
+    def updated(self, added: DataFrame, gone: DataFrame) -> Index:
+        """The index after a change: `added` are new blocks, `gone` the blocks (as they were indexed) that are replaced or
+        deleted.  Work and writing grow with the change, not with the index."""
+        return self._with_segment(added, gone)
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Rows (id, segment, ...) that no later segment takes back."""
+        marks = [self.at.table(f"gone-{k}").select("id", F.lit(k).alias("by")) for k in self.segments if f"gone-{k}" in self.at.entries]
+        if not marks:
+            return rows
+        gone = reduce(DataFrame.unionByName, marks).groupBy("id").agg(F.max("by").alias("by"))
+        return rows.alias("r").join(gone.alias("g"), F.expr("r.id = g.id and r.segment < g.by"), "left_anti")
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        """term, id, dl, field, at, segment of live postings: of all, or of some terms, whose parts alone are read."""
+        some = []
+        for k in self.segments:
+            if terms is None:
+                rows = self.at.table(f"postings-{k}")
+            else:
+                rows = self.at.table(f"postings-{k}", self.parts(terms, k)).filter(F.col("term").isin(*terms))
+            some.append(rows.withColumn("segment", F.lit(k)))
+        return self._live(reduce(DataFrame.unionByName, some))
+
+    def parts(self, terms: list[str], segment: int) -> list[str]:
+        """The parts of a segment's postings in which the terms lie."""
+        size = self.facts(segment)["buckets"]
+        return _numbers(self.spark, terms, size)
+
+    def texts(self, ids: list[str] | None = None) -> DataFrame:
+        """id, raw of live blocks: of all, or of some ids, whose parts alone are read."""
+        some = []
+        for k in (k for k in self.segments if f"texts-{k}" in self.at.entries):
+            parts = None if ids is None else _numbers(self.spark, ids, self.at.entries[f"texts-{k}"].facts["parts"])
+            some.append(self.at.table(f"texts-{k}", parts).withColumn("segment", F.lit(k)))
+        rows = reduce(DataFrame.unionByName, some)
+        return self._live(rows if ids is None else rows.filter(F.col("id").isin(*ids))).select("id", "raw", "dl")
+
+    def totals(self) -> DataFrame:
+        """One row: number of live blocks and their mean length, as sums over the segments."""
+        n, dl = (sum(self.facts(k)[f] for k in self.segments) for f in ("n", "dl"))
+        return self.spark.createDataFrame([(n, dl / n if n else None)], "n_ bigint, avg_ double")
+
+    def merge(self) -> Index:
+        """One segment of the live rows of all."""
+        registry, k = Registry(self.spark, self.path), max(self.segments) + 1
+        n, dl = (sum(self.facts(j)[f] for j in self.segments) for f in ("n", "dl"))
+        chars = self.texts().agg(F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()[0]
+        size, folders = _share(chars, BUCKET_CHARS, 4), _share(chars, FOLDER_CHARS, 4)
+        rows = self.postings().drop("segment").withColumn("part", _bucket(F.col("term"), size))
+        made = registry.write(rows.hint("rebalance", "part").sortWithinPartitions("part", "term", "id"), "part")
+        entries = {f"postings-{k}": Entry(made.parts, made.schema, "", {"buckets": size, "n": n, "dl": dl})}
+        texts = registry.write(self.texts().withColumn("part", _bucket(F.col("id"), folders)).hint("rebalance", "part"), "part")
+        entries[f"texts-{k}"] = Entry(texts.parts, texts.schema, "", {"parts": folders})
+        old = tuple(f"{kind}-{j}" for kind in KINDS for j in self.segments)
+        return replace(self, at=registry.publish(self.at, entries, drop=old))
 
     def search(self, query: str, limit: int, rungs: tuple[str, ...] = ("and", "or", "terms")) -> DataFrame:
-        """The rows of `bm25`, from the postings of the query's terms; the text is read only where two terms must be held."""
+        """The rows of `bm25`, from the postings of the query's terms; where two terms must be held as written, the hits are
+        taken first (at most `limit`), and the text of their parts alone is read."""
         ps, singles = X.phrases(query), [[X.folded(t)] for t in X.single_terms(query)]
         if not ps:
-            return _none(self.table("texts"))
+            return _none(self.spark.createDataFrame([], "id string"))
         pn = [f"p{k}" for k in range(len(ps))]
         sn = pn if singles == ps else [f"s{k}" for k in range(len(singles))]
         wanted = dict(zip(pn, ps)) | dict(zip(sn, singles))
         terms = sorted({t for p in wanted.values() for t in p})
         fields = self.postings(terms).groupBy("id", "dl", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "at"))).alias("m"))
         found = fields.groupBy("id", "dl").agg(*(F.sum(_side_by_side(F.col("m"), p)).alias(n) for n, p in wanted.items()))
-        stats = found.agg(*_counts(pn, sn, rungs)).crossJoin(F.broadcast(self.table("totals")))  # a row each
-        return _best(found, stats, pn, sn, query, limit, rungs, self.table("texts"))
+        stats = found.agg(*_counts(pn, sn, rungs)).crossJoin(F.broadcast(self.totals()))  # a row each
+        return _best(found, stats, pn, sn, query, limit, rungs, self.texts)
+
+    def batch(self, queries: DataFrame, limit: int, rungs: tuple[str, ...] = ("and", "or", "terms")) -> DataFrame:
+        """`bm25_batch` over the stored postings."""
+        return bm25_batch(queries, self.postings(), self.totals(), self.texts(), limit, rungs)
 
     def drop(self) -> None:
         discard(self.spark, self.path)
 
 
+def _numbers(spark: SparkSession, keys: list[str], parts: int) -> list[str]:
+    """The parts in which a few keys lie."""
+    return sorted({str(r.b) for r in spark.createDataFrame([(k,) for k in keys], "k string").select(_bucket(F.col("k"), parts).alias("b")).collect()}) if keys else []
+
+
 def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -160,3 +270,59 @@ def _side_by_side(m: Column, phrase: list[str]) -> Column:
         rest = [(j, F.try_element_at(m, F.lit(t))) for j, t in enumerate(phrase[1:], 1)]
         first = F.filter(first, lambda x: reduce(lambda a, b: a & b, [F.coalesce(F.array_contains(at, x + j), F.lit(False)) for j, at in rest]))
     return F.coalesce(F.size(F.coalesce(first, F.expr("cast(array() as array<int>)"))), F.lit(0))
+
+
+def query_table(queries: DataFrame) -> DataFrame:
+    """qid, words (as written), phrases (arrays of folded tokens), singles (folded), of (qid, text), as `bm25` reads a query."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    characters = lambda t: F.when(X.is_han(t), F.split(t, "")).otherwise(F.array(t))
+    rows = queries.select("qid", F.slice(F.transform(words, characters), 1, 32).alias("p"), F.slice(F.flatten(F.transform(words, characters)), 1, 64).alias("words"))
+    return rows.select("qid", "words", F.transform("p", lambda p: F.transform(p, X.fold)).alias("phrases"), F.transform("words", X.fold).alias("singles"))
+
+
+def bm25_batch(queries: DataFrame, postings: DataFrame, totals: DataFrame, texts: DataFrame, limit: int, rungs: tuple[str, ...] = ("and", "or", "terms")) -> DataFrame:
+    """qid, id, score, rung, rank: what `bm25` finds for every row of `queries` (qid, text), at once.
+
+    `postings` (term, id, dl, field, at), `totals` (n_, avg_) and `texts` (id, raw) are those of an index.  Queries meet the
+    postings of their terms; each query has its own rung.  Tasks keep the best `limit` of each query before rows are
+    shuffled for the rank.  Work grows with the postings of the queries' terms; a frequent term's postings are read once
+    for all queries."""
+    q = query_table(queries)
+    kinds = q.select("qid", F.posexplode("phrases").alias("p", "tokens"), F.lit("p").alias("kind"))
+    apart = F.exists("phrases", lambda p: F.size(p) > 1)  # else single terms are the phrases, and their rung is never reached
+    kinds = kinds.unionByName(q.filter(apart).select("qid", F.posexplode("singles").alias("p", "t"), F.lit("s").alias("kind")).select("qid", "p", F.array("t").alias("tokens"), "kind"))
+    wanted = kinds.select("qid", "kind", "p", F.size("tokens").alias("of"), F.posexplode("tokens").alias("off", "term"))
+    met = postings.select("term", "id", "dl", "field", "at").join(wanted, "term")
+    key = ["qid", "kind", "p", "id", "dl"]
+    one = met.filter("of = 1").select(*key, F.size("at").alias("tf"))
+    starts = met.filter("of > 1").select(*key, "field", "of", "off", F.explode("at").alias("x")).withColumn("x", F.col("x") - F.col("off"))
+    runs = starts.groupBy(*key, "field", "x", "of").agg(F.count_distinct("off").alias("n")).filter("n = of").select(*key, F.lit(1).alias("tf"))
+    tfs = stored(one.unionByName(runs).groupBy(*key).agg(F.sum("tf").alias("tf")))
+    df = tfs.groupBy("qid", "kind", "p").agg(F.count("*").alias("df"))
+    counts = q.select("qid", F.size("phrases").alias("n_phrases"), "words", (~apart).alias("same"))
+    hits = tfs.groupBy("qid", "kind", "id").agg(F.count("*").alias("held")).join(counts.select("qid", "n_phrases"), "qid")
+    full = F.max(F.when((F.col("kind") == "p") & (F.col("held") == F.col("n_phrases")), 1).otherwise(0))
+    some = F.max(F.when(F.col("kind") == "p", 1).otherwise(0))
+    state = hits.groupBy("qid").agg(full.alias("and"), some.alias("or"), F.lit(1).alias("terms"))
+    rung = F.coalesce(*(F.when(F.col(r) > 0, k + 1) for k, r in enumerate(rungs)), F.lit(0))
+    state = state.join(counts, "qid").select("qid", rung.alias("rung"), "n_phrases", "words", "same")
+    idf = F.log((F.col("n_") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(idf <= 0, F.lit(S.IDF_FLOOR)).otherwise(idf)
+    part = idf * F.col("tf") * (S.BM25_K1 + 1) / (F.col("tf") + S.BM25_K1 * (1 - S.BM25_B + S.BM25_B * F.col("dl") / F.col("avg_")))
+    scored = tfs.join(df, ["qid", "kind", "p"]).crossJoin(F.broadcast(totals)).groupBy("qid", "kind", "id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("held"))
+    number = {r: k + 1 for k, r in enumerate(rungs)}
+    keep = F.lit(False)
+    if "and" in number:
+        keep = keep | ((F.col("rung") == number["and"]) & (F.col("kind") == "p") & (F.col("held") == F.col("n_phrases")))
+    if "or" in number:
+        keep = keep | ((F.col("rung") == number["or"]) & (F.col("kind") == "p"))
+    if "terms" in number:
+        keep = keep | ((F.col("rung") == number["terms"]) & (F.col("kind") == F.when(F.col("same"), "p").otherwise("s")))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    top = scored.join(state, "qid").filter(keep).select("qid", "id", "score", "rung", "words", "same").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit)
+    loose = [number[r] for r in ("terms",) if r in number]
+    is_loose = F.col("rung").isin(*loose) if loose else F.lit(False)
+    if "or" in number:
+        is_loose = is_loose | ((F.col("rung") == number["or"]) & F.col("same"))
+    checked = top.join(texts.select("id", "raw"), "id").filter(~is_loose | (F.size("words") < 2) | (F.size(F.filter("words", lambda t: F.col("raw").contains(t))) >= 2))
+    return checked.select("qid", "id", "score", "rung", (F.row_number().over(w) - 1).alias("rank"))

@@ -49,9 +49,15 @@ def vector_delta(blocks: DataFrame, encoded: DataFrame) -> DataFrame:
 
 
 def corpus_stamp(df: DataFrame, *cols: str) -> DataFrame:
-    """One value that changes with any row: an order-free sum and count of row hashes."""
-    h = F.xxhash64(*cols).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(h), F.lit(0)).alias("stamp"))
+    """n, stamp: one digest that changes with any row, whatever the order of rows.
+
+    A row's values are written with their lengths, so no two rows look alike; halves of its digest are summed, which tasks
+    do on their own, and the sums are digested once more."""
+    value = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    digest = F.md5(F.concat(*map(value, cols)).cast("binary"))
+    half = lambda at: F.coalesce(F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    rows = df.agg(F.count("*").alias("n"), half(1).alias("low"), half(18).alias("high"))
+    return rows.select("n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), "low", "high").cast("binary"), 256).alias("stamp"))
 
 
 def purge(rows: DataFrame, deleted: DataFrame, key: str = "doc_path") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import lexical, lifecycle, retrieval
 from tessera.plans.base import BLOCKS, TURNS, blocks, bm25_sql, hash_sql, query, read, tokens_sql, mirror_sql, turns
-from tessera.session import shared_folder
+from tessera.session import shared_folder, stored
 
 WIDE = "heatly thorea tionnt ofthe eneaor"
 NARROW = "the heat"
@@ -61,8 +61,6 @@ def posting_places(spark, sf):
 
 def _by_index(spark, b, q, limit, rungs):
     """The hits of one search of a stored index, which is built for it and deleted after."""
-    from tessera.engine import stored
-
     index = lexical.Index.build(b, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
     try:
         return stored(index.search(q, limit, rungs))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN_FOLDER: dict[str, str] = {}
 
 
 def session(app: str = "tessera", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -51,7 +53,19 @@ def shared_folder(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDER:
+        _OWN_FOLDER[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return _OWN_FOLDER[app]
+
+
+def stored(df: DataFrame, label: str = "knowledge") -> DataFrame:
+    """`df` as a table in the shared folder: what several steps read is made once, and its lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def discard(spark: SparkSession, path: str) -> None:
