@@ -39,7 +39,7 @@ class KnowledgeBase:
         """From (path, text, layer, title, fm) rows: parses them, resolves links, takes declared states."""
         sections, blocks = map(stored, ingest.parse(docs.select("path", "text", "layer")))
         named = stored(docs.select("path", "title", "fm", "layer"))
-        links = stored(graph.resolve_links(blocks, named, sections).distinct())
+        links = stored(graph.resolve_links(blocks, named, sections, contains=True).distinct())
         members = stored(graph.cliques(blocks, same_section="section_id", same_doc="doc_path"))
         declared = named.select(F.col("path").alias("doc_path"), F.get(F.col("fm")["state"], F.lit(0)).alias("state")).filter(F.col("state").isin(*S.STATES))
         states = blocks.select("id", "doc_path").join(declared, "doc_path").select("id", "state")

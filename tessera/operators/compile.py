@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators.containment import contained, ending, plain
 
 # The shapes of names.  Words of capitals, capitalised runs, organisations.
 CAPITALS = r"(?:^|[^\p{L}\p{N}_])([A-Z]{2,})(?=$|[^\p{L}\p{N}_])"
@@ -79,6 +80,21 @@ def affected_concepts(blocks: DataFrame, concepts: DataFrame, top: int = 10) ->
     return concepts.select("concept", terms("summary").alias("term")).join(have, "term").groupBy("concept").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "concept").limit(top)
 
 
+def near_concepts(blocks: DataFrame, concepts: DataFrame, top: int = 10) -> DataFrame:
+    """concept, hits: as `affected_concepts`, but a term counts wherever the summary contains it, inside words too."""
+    terms = blocks.select(F.explode(F.regexp_extract_all(F.lower("raw"), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0))).alias("needle")).distinct()
+    found = contained(terms, concepts.select("concept", F.lower("summary").alias("text")), "concept")
+    return found.groupBy("concept").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "concept").limit(top)
+
+
+def affected_entities(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """entity_id of the mentioned entities that have a page: a page whose path (doc_path) ends in the id and `.md`, A-Z in
+    either case; a longer name with that ending counts."""
+    names = found.select(plain(F.concat("entity_id", F.lit(".md"))).alias("needle"), "entity_id").distinct()
+    met = ending(names, pages.select(F.col("doc_path").alias("id"), plain("doc_path").alias("text")).distinct())
+    return names.join(met.select("needle").distinct(), "needle", "left_semi").select("entity_id").distinct()
+
+
 def bullets(items, line):
     """Lines of a list, each made by `line`, joined; a placeholder where there are none."""
     return F.when(F.size(items) == 0, F.lit("- none")).otherwise(F.array_join(F.transform(items, line), "\n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.functions import text as X
+from tessera.operators.containment import contained, plain
 from tessera.session import discard, stored
 
 
@@ -21,16 +22,25 @@ def structural_edges(blocks: DataFrame, key: str, kind: str) -> DataFrame:
     return a.join(b, key).filter("src <> dst").select("src", "dst", F.lit(kind).alias("kind"), weight.alias("weight"))
 
 
-def resolve_links(blocks: DataFrame, documents: DataFrame, sections: DataFrame) -> DataFrame:
+def resolve_links(blocks: DataFrame, documents: DataFrame, sections: DataFrame, contains: bool = False) -> DataFrame:
     """src, dst, kind, weight of the links in block texts: the first of document path, path with .md, document title and
     section title that exists; a link to a document or section fans out to its blocks; unresolved links keep their target.
 
-    Every step is an equi join on the target, so the work grows with links and not with pairs."""
+    With `contains`, a link that names no document goes to every section whose id contains its target (A-Z in either case),
+    which is more than the sections of that title.  Every step is a join by equality (of n-grams for the last one), so
+    the work grows with links and not with pairs."""
     links = blocks.select(F.col("id").alias("src"), F.explode(F.array_distinct(X.wikilinks("raw"))).alias("target")).filter("target <> ''")
     keys = documents.select(F.lit(1).alias("p"), F.col("path").alias("target"), F.col("path").alias("doc_path"), F.lit(None).cast("string").alias("section_id"))
     keys = keys.unionByName(documents.filter(F.col("path").endswith(".md")).select(F.lit(2).alias("p"), F.regexp_replace("path", r"\.md$", "").alias("target"), F.col("path").alias("doc_path"), F.lit(None).cast("string").alias("section_id")))
     keys = keys.unionByName(documents.select(F.lit(3).alias("p"), F.col("title").alias("target"), F.col("path").alias("doc_path"), F.lit(None).cast("string").alias("section_id")))
-    keys = keys.unionByName(sections.select(F.lit(4).alias("p"), F.col("title").alias("target"), "doc_path", F.col("id").alias("section_id")))
+    if contains:
+        left = links.select("target").distinct().join(keys.select("target").distinct(), "target", "left_anti")
+        ids = sections.select("id", "doc_path", plain("id").alias("text")).distinct()
+        found = contained(left.select(plain("target").alias("needle")), ids)
+        named = left.withColumn("needle", plain("target")).join(found, "needle").join(ids.select("id", "doc_path"), "id")
+        keys = keys.unionByName(named.select(F.lit(4).alias("p"), "target", "doc_path", F.col("id").alias("section_id")))
+    else:
+        keys = keys.unionByName(sections.select(F.lit(4).alias("p"), F.col("title").alias("target"), "doc_path", F.col("id").alias("section_id")))
     met = links.join(keys, "target", "left")
     best = met.groupBy("src", "target").agg(F.min("p").alias("best"))
     first = met.join(best, ["src", "target"]).filter(F.col("p").eqNullSafe(F.col("best")))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -45,47 +46,90 @@ def frontmatter_map(text):
     return F.map_from_entries(first)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """A row per line of the body with the heading it opens, if it does, and the running number of headings."""
-    rows = docs.select("path", "layer", F.posexplode(F.split(body(F.col("text")), "\n")).alias("no", "line"))
-    rows = rows.withColumn("line", F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")))
-    level = F.when(F.col("line").startswith("#"), F.least(F.length(F.regexp_extract("line", r"^(#+)", 1)), F.lit(6)))
-    w = Window.partitionBy("layer", "path").orderBy("no")
-    return rows.withColumn("level", level).withColumn("title", F.when(level.isNotNull(), F.trim(F.regexp_replace("line", r"^#+", "")))).withColumn("head", F.count("level").over(w)).withColumn("gap", F.count(F.when((F.col("line") == "") | F.col("level").isNotNull(), 1)).over(w))
-
-
-def parse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: What is white space at the ends of a line.
+BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def fold_document(path: str, text: str, first: int = 0) -> tuple[list[tuple], list[tuple]]:
+    """Sections (id, parent_id, title, summary, ordinal) and blocks (id, section_id, trail, raw, ordinal) of one body.
+
+    One walk over the lines; the state is the open headings, so the time is linear in the text.  A later heading of the same
+    path takes the place of an earlier one, and so do blocks of the same id."""
+    open_, names, trail, pending = [], [], "", []  # names: the ids' trails of the open headings
+    sections: dict[str, list] = {}
+    blocks: dict[str, tuple] = {}
+    number, heads = first, 0
+
+    def close():
+        nonlocal number
+        if pending:
+            at = f"{path}#{trail}" if names else path
+            blocks[f"{at}/{number}"] = (f"{at}/{number}", at if names else None, trail if names else None, "\n".join(pending), number)
+            number += 1
+            pending.clear()
+
+    for line in text.split("\n"):
+        line = line.strip(BLANK)
+        if line.startswith("#"):
+            close()
+            title = line.lstrip("#")
+            level = min(len(line) - len(title), 6)
+            title = title.strip(BLANK)
+            while open_ and open_[-1] >= level:
+                open_.pop()
+                names.pop()
+            parent = f"{path}#{names[-1]}" if names else None
+            trail = f"{names[-1]}/{title}" if names else title
+            open_.append(level)
+            names.append(trail)
+            sections[f"{path}#{trail}"] = [f"{path}#{trail}", parent, title, "", heads]
+            heads, number = heads + 1, first
+        elif line:
+            pending.append(line)
+        else:
+            close()
+    close()
+    for s in sections.values():
+        one = blocks.get(f"{s[0]}/{first}")
+        s[3] = one[3].replace("\n", " ")[:160] if one else ""
+    return [tuple(s) for s in sections.values()], list(blocks.values())
+
+
+def _folded(docs: DataFrame, first: int) -> DataFrame:
+    """path, layer, title, kind, id, up (parent or section), name (title or trail), value (summary or text), ordinal."""
+    names = ["path", "layer", "title", "kind", "id", "up", "name", "value", "ordinal"]
+    text = F.coalesce("text", F.lit(""))
+    title = F.coalesce(F.nullif(F.get(frontmatter_map(text)["title"], F.lit(0)), F.lit("")), F.col("path"))
+    rows = docs.select("path", "layer", title.alias("title"), body(text).alias("body"))
+
+    def run(batches):
+        for b in batches:
+            for path, layer, title, text in zip(*(b.column(c).to_pylist() for c in ("path", "layer", "title", "body"))):
+                sections, blocks = fold_document(path or "", text, first)
+                out = [(path, layer, title, kind, *row) for kind, rows in (("section", sections), ("block", blocks)) for row in rows]
+                for lo in range(0, len(out), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "ordinal" else pa.string()) for n, c in zip(names, zip(*out[lo : lo + 10_000]))], names=names)
+
+    return rows.mapInArrow(run, ", ".join(f"{n} {'int' if n == 'ordinal' else 'string'}" for n in names))
+
+
+def parse(docs: DataFrame, first: int = 0, titled: bool = False) -> tuple[DataFrame, DataFrame]:
     """sections (id, doc_path, parent_id, title, summary, ordinal, layer) and blocks (id, doc_path, section_id, type,
     breadcrumb, raw, hash, ordinal, layer) of Markdown documents (path, text, layer).
 
-    The path of a heading is the last heading of each lower level that no heading of an equal or lower level follows."""
-    rows = lines(docs)
-    heads = rows.filter("level is not null").select("layer", "path", "no", "level", "title", "head")
-    w = Window.partitionBy("layer", "path").orderBy("no")
-    trail = heads.withColumn("seen", F.collect_list(F.struct("level", "title")).over(w))
-    # fold the headings so far into the open ones: pop levels at or above, then push
-    empty = F.expr("cast(array() as array<struct<level:int,title:string>>)")
-    stack = F.aggregate("seen", empty, lambda a, h: F.array_append(F.filter(a, lambda x: x["level"] < h["level"]), F.struct(h["level"].cast("int").alias("level"), h["title"].alias("title"))))
-    trail = trail.withColumn("stack", stack).withColumn("trail", F.array_join(F.transform("stack", lambda x: x["title"]), "/"))
-    up = F.array_join(F.transform(F.slice("stack", 1, F.size("stack") - 1), lambda x: x["title"]), "/")
-    heads = trail.select("layer", "path", "head", "title", F.col("trail"), F.concat("path", F.lit("#"), "trail").alias("id"), F.when(F.size("stack") > 1, F.concat("path", F.lit("#"), up)).alias("parent_id"), (F.col("head") - 1).alias("ordinal"))
-    text = rows.filter("level is null and line <> ''").groupBy("layer", "path", "head", "gap").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "\n").alias("raw"), F.min("no").alias("no"))
-    text = text.withColumn("ordinal", F.row_number().over(Window.partitionBy("layer", "path", "head").orderBy("no")) - 1)
-    both = text.join(heads.select("layer", "path", "head", "trail", F.col("id").alias("section_id")), ["layer", "path", "head"], "left")
-    bid = F.concat("path", F.when(F.col("trail").isNull(), F.lit("")).otherwise(F.concat(F.lit("#"), "trail")), F.lit("/"), "ordinal")
-    crumb = F.coalesce(F.regexp_replace("trail", "/", " > "), F.lit(""))
-    blocks = both.select(bid.alias("id"), F.col("path").alias("doc_path"), "section_id", X.block_type("raw").alias("type"), crumb.alias("breadcrumb"), "raw", X.content_hash(F.concat(crumb, F.lit("\n"), F.col("raw"))).alias("hash"), "ordinal", "layer", "head")
-    blocks = latest(blocks, "id", "head").drop("head")
-    firsts = blocks.groupBy("layer", "section_id").agg(F.min_by("raw", "ordinal").alias("raw"))
-    sections = latest(heads, "id", "head").join(firsts.withColumnRenamed("section_id", "id"), ["layer", "id"], "left")
-    short = F.coalesce(F.substring(F.regexp_replace("raw", "\n", " "), 1, 160), F.lit(""))
-    return sections.select("id", F.col("path").alias("doc_path"), "parent_id", "title", short.alias("summary"), "ordinal", "layer"), blocks
-
-
-def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Of rows with one key in a layer, the last: a later heading path replaces an earlier one of the same name."""
-    w = Window.partitionBy("layer", key).orderBy(F.desc(order))
-    return df.withColumn("rn_", F.row_number().over(w)).filter("rn_ = 1").drop("rn_")
+    The path of a heading is the last heading of each lower level that no heading of an equal or lower level follows.
+    `first` is the number of a section's first block; with `titled`, breadcrumbs begin with the document's title and
+    blocks before any heading belong to the document as their section.  A document is one row and is walked once; null
+    texts have no rows."""
+    rows = _folded(docs, first)
+    sections = rows.filter("kind = 'section'").select("id", F.col("path").alias("doc_path"), F.col("up").alias("parent_id"), F.col("name").alias("title"), F.col("value").alias("summary"), "ordinal", "layer")
+    crumb = F.coalesce(F.regexp_replace("name", "/", " > "), F.lit(""))
+    section = F.col("up")
+    if titled:
+        crumb = F.concat_ws(" > ", "title", F.nullif(crumb, F.lit("")))
+        section = F.coalesce(section, F.col("path"))
+    blocks = rows.filter("kind = 'block'").withColumn("crumb", crumb)
+    return sections, blocks.select("id", F.col("path").alias("doc_path"), section.alias("section_id"), X.block_type("value").alias("type"), F.col("crumb").alias("breadcrumb"), F.col("value").alias("raw"), X.content_hash(F.concat("crumb", F.lit("\n"), F.col("value"))).alias("hash"), "ordinal", "layer")
 
 
 def line_blocks(documents: DataFrame) -> DataFrame:
