@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import graph, lexical, lifecycle, quality
+from tessera.operators import graph, ledger, lexical, lifecycle, quality, rebuild
 from tessera.plans.base import BLOCKS, TURNS, blocks, bm25_sql, hash_sql, mirror_sql, query, read, tokens_sql, turns
 from tessera.session import discard, shared_folder, stored
 from tessera.sources.registry import Registry, stamp_of
@@ -246,3 +246,58 @@ def rank_cliques(spark, sf):
     t = turns(spark, sf)
     members = graph.cliques(t, same_doc="doc_path", same_section="section_id")
     return graph.pagerank_by_joins(_reading_order(t), t.filter("ordinal = 0").select("id"), 6, members=members).select("id", F.round("pr", 9).alias("pr"))
+
+
+# ---- verdicts
+
+
+@query(f"""WITH {BLOCKS}, judged AS (SELECT id, b.doc_id, ordinal, raw, CASE WHEN toxic = 1 THEN 'retracted' WHEN ordinal % 2 = 0 THEN 'disputed' ELSE 'superseded' END AS state, CASE WHEN toxic <> 1 AND ordinal % 2 = 0 THEN 'again' ELSE 'label' END AS reason FROM blocks b JOIN labels l USING (doc_id) WHERE toxic = 1 OR quality = 0),
+alive AS (SELECT * FROM judged WHERE doc_id % 6 <> 0),
+p AS (SELECT 'page/' || (doc_id % 97) AS page, id, state, reason FROM alive)
+SELECT 'block' AS kind, id AS subject, state || ' ' || reason AS detail, 1::BIGINT AS n FROM alive
+UNION ALL SELECT 'page', page, arg_min('cited ' || state || ' ' || id || ': ' || reason, id), count(*) FROM p GROUP BY page""")
+def retract_and_replay(spark, sf):
+    """Verdicts recorded twice, a sixth of the documents rewritten, then all replayed: what applies, and which pages are
+    stale."""
+    b = blocks(spark, sf).withColumn("hash", X.content_hash("raw"))
+    lab = read(spark, sf, "labels").filter("toxic = 1 or quality = 0")
+    asked = b.join(lab, "doc_id")
+    first = asked.select("id", F.when(F.col("toxic") == 1, "retracted").otherwise("superseded").alias("state"), F.lit("label").alias("reason"), F.lit("2024-01-01").alias("updated"))
+    second = asked.filter("toxic <> 1 and ordinal % 2 = 0").select("id", F.lit("disputed").alias("state"), F.lit("again").alias("reason"), F.lit("2024-02-01").alias("updated"))
+    later = b.withColumn("hash", F.when(F.col("doc_id") % 6 == 0, F.concat("hash", F.lit("x"))).otherwise(F.col("hash")))
+    pages = b.select(F.concat(F.lit("page/"), (F.col("doc_id") % 97).cast("string")).alias("page"), F.concat(F.lit("as [["), "id", F.lit("]] says")).alias("text"))
+    with scratch(spark, "ledger") as root:
+        registry = Registry(spark, root)
+        ledger.decide(registry, first, b)
+        states, stale = ledger.replay(ledger.decide(registry, second, b), later, pages)
+        one = states.select(F.lit("block").alias("kind"), F.col("id").alias("subject"), F.concat_ws(" ", "state", "reason").alias("detail"), F.lit(1).cast("bigint").alias("n"))
+        return stored(one.unionByName(stale.select(F.lit("page").alias("kind"), F.col("page").alias("subject"), F.col("reason").alias("detail"), "n")))
+
+
+# ---- stale pages made anew
+
+SPLIT = r"list_filter(list_transform(string_split(regexp_replace(raw, '([。！？；!?;.])\s*', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:2]"
+OLD_PAGE = """'---\ntype: ' || kind || '\ngenerated: ' || CASE WHEN doc_id % 11 = 2 THEN 'false' ELSE 'true' END || '\ncreated: 2024-01-01\nsources: [raw/' || ids[1] || CASE WHEN doc_id % 13 = 4 THEN 'gone' ELSE '' END || ']\nstale: true\nconfidence: ' || CASE WHEN doc_id % 4 = 0 THEN 'high' ELSE 'draft' END || '\n---\n# T ' || doc_id || '\n\n## Facts\n' || coalesce('- old [[raw/' || ids[2] || ']]', '- none') || '\n\n## Evidence (1)\n' || coalesce('- `' || ids[3] || '` — x', '') || '\n\n## Entities\n- [[entities/' || lang || ']]\n\n## Conflicts\n- none\n'"""
+
+
+@query(f"""WITH {BLOCKS}, own AS (SELECT doc_id, any_value(lang) AS lang, CASE WHEN doc_id % 2 = 0 THEN 'synthesis' ELSE 'brief' END AS kind, list(id ORDER BY ordinal)[1:3] AS ids FROM blocks WHERE ordinal < 3 AND lang IS NOT NULL GROUP BY doc_id),
+old AS (SELECT *, 'synthesis/' || doc_id || '.md' AS path, doc_id % 3 = 0 AS stale, {OLD_PAGE} AS content FROM own),
+redo AS (SELECT * FROM old WHERE stale AND doc_id % 11 <> 2 AND doc_id % 13 <> 4),
+used AS (SELECT r.doc_id, b.id, b.raw, b.breadcrumb, b.ordinal FROM redo r JOIN blocks b USING (doc_id) WHERE b.ordinal < CASE WHEN kind = 'brief' THEN 3 ELSE 2 END),
+sent AS (SELECT doc_id, id, ordinal, unnest({SPLIT}) AS s, generate_subscripts({SPLIT}, 1) AS k FROM used),
+point AS (SELECT * FROM sent QUALIFY row_number() OVER (PARTITION BY doc_id, substr(s, 1, 40) ORDER BY ordinal, k) = 1),
+points AS (SELECT doc_id, string_agg('- ' || s || ' [[raw/' || id || ']]', chr(10) ORDER BY ordinal, k) AS t FROM point GROUP BY doc_id),
+parts AS (SELECT doc_id, count(*) AS n, string_agg('raw/' || id, ', ' ORDER BY ordinal) AS src, string_agg('- `' || id || '` — ' || breadcrumb, chr(10) ORDER BY ordinal) AS ev, string_agg('- ' || raw || ' [[raw/' || id || ']]', chr(10) ORDER BY ordinal) AS facts FROM used GROUP BY doc_id),
+fresh AS (SELECT path, '---\ntype: ' || kind || '\ngenerated: true\ncreated: 2024-01-01\nsources: [' || src || ']\nlast_compiled: now\nstale: false\nconfidence: ' || CASE WHEN kind = 'synthesis' AND r.doc_id % 4 = 0 THEN 'high' ELSE 'draft' END || '\n---\n# T ' || r.doc_id || CASE WHEN kind = 'brief' THEN '\n\n## Points\n' || coalesce(t, '- none') || '\n\n## Evidence (' || n || ')\n' || ev || '\n' ELSE '\n\n## Facts\n' || facts || '\n\n## Entities\n- [[entities/' || lang || ']]\n\n## Conflicts\n- none\n' END AS new FROM redo r JOIN parts USING (doc_id) LEFT JOIN points USING (doc_id))
+SELECT path, coalesce(new, content) AS content, stale AND new IS NULL AS stale, 'active' AS state, new IS NOT NULL AS rebuilt FROM old LEFT JOIN fresh USING (path)""")
+def stale_rebuild(spark, sf):
+    """A page of every document from its first blocks: a third is stale, of which those are made anew that are generated
+    and whose recorded blocks are all there; the contents are compared."""
+    b = blocks(spark, sf)
+    i = F.col("doc_id")
+    ids = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id"))), lambda x: x["id"]), 1, 3)
+    own = b.filter("ordinal < 3 and lang is not null").groupBy("doc_id").agg(F.first("lang").alias("lang"), ids.alias("ids")).withColumn("kind", F.when(i % 2 == 0, "synthesis").otherwise("brief"))
+    at = lambda k: F.get("ids", F.lit(k))
+    text = F.concat(F.lit("---\ntype: "), "kind", F.lit("\ngenerated: "), F.when(i % 11 == 2, "false").otherwise("true"), F.lit("\ncreated: 2024-01-01\nsources: [raw/"), at(0), F.when(i % 13 == 4, "gone").otherwise(""), F.lit("]\nstale: true\nconfidence: "), F.when(i % 4 == 0, "high").otherwise("draft"), F.lit("\n---\n# T "), i.cast("string"), F.lit("\n\n## Facts\n"), F.coalesce(F.concat(F.lit("- old [[raw/"), at(1), F.lit("]]")), F.lit("- none")), F.lit("\n\n## Evidence (1)\n"), F.coalesce(F.concat(F.lit("- `"), at(2), F.lit("` — x")), F.lit("")), F.lit("\n\n## Entities\n- [[entities/"), "lang", F.lit("]]\n\n## Conflicts\n- none\n"))
+    pages = own.select(F.concat(F.lit("synthesis/"), i.cast("string"), F.lit(".md")).alias("path"), text.alias("content"), (i % 3 == 0).alias("stale"), F.lit("active").alias("state"))
+    return rebuild.rebuild_stale(stored(pages), b, "now")
