@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.functions import text as X
-from tessera.operators import answer, compile, governance, graph, ingest, lexical, lifecycle, quality, retrieval
+from tessera.operators import answer, compile, governance, graph, ingest, lexical, lifecycle, quality, retrieval, route
 from tessera.session import shared_folder, stored
 from tessera.sources import tables
 from tessera.sources.registry import Registry, stamp_of
@@ -77,6 +77,10 @@ class KnowledgeBase:
     def _confidence(self) -> DataFrame:
         return self.documents.select(F.col("path").alias("doc_path"), F.get(F.col("fm")["confidence"], F.lit(0)).alias("confidence"))
 
+    def visible(self, groups: list[str] | None = None) -> DataFrame:
+        """path of the documents that the groups may see; derived pages as their sources."""
+        return route.visible_paths(self.documents, self.acls, groups)
+
     def edges(self) -> DataFrame:
         return graph.weighted_edges(self.links, self.blocks, self._confidence())
 
@@ -109,19 +113,12 @@ class KnowledgeBase:
         return retrieval.hybrid(found, graph.personalized_pagerank(edges, seeds, members=members).select("id", "pr"), 3 * limit).select("id", "rank")
 
     def search(self, query: str, top: int = 8, groups: list[str] | None = None, channel: str | None = None, layer: str | None = None, include_states: tuple[str, ...] = (), filters: dict[str, list[str]] | None = None, vector: list[float] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-        """rank, id, doc_path, breadcrumb, raw, layer, state, score, matched_by: fused channels, then access, state and
+        """rank, id, doc_path, breadcrumb, raw, layer, state, score, scores, matched_by: fused channels, then access, state and
         disposition, metadata filters, the window, source rows first, the layer."""
         names = [channel] if channel else ["graph", "tree"] + (["vector"] if vector else [])
         weights = {"graph": S.CHANNEL_WEIGHTS["lexical"], "lexical": S.CHANNEL_WEIGHTS["lexical"], "full": 1.0} | S.CHANNEL_WEIGHTS | (weights or {})
         lists = {n: stored(self.channel(n, query, top, vector)) for n in names}
-        fused = retrieval.attributed(retrieval.rrf([(df, weights[n]) for n, df in lists.items()]), lists)
-        rows = retrieval.ranked(self.blocks.select("id", "doc_path", "breadcrumb", "raw", "layer").join(fused, "id"))
-        rows = governance.filter_chain(rows, self.acls, self.states, self.pages, groups, include_states)
-        if filters:
-            rows = governance.metadata_filter(rows, self.documents, filters)
-        window = stored(governance.reranked(rows)).filter(F.col("rank") < top)
-        out = governance.layer_filter(retrieval.source_first(window), layer)
-        return governance.reranked(out).select("rank", "id", "doc_path", "breadcrumb", "raw", "layer", "state", "score", "matched_by")
+        return route.route(lists, weights, self.blocks, self.acls, self.states, self.pages, self.documents, top, groups, include_states, filters, layer)
 
     def ask(self, question: str, top: int = 8, groups: list[str] | None = None, generate: Callable[[str, str], str] | None = None) -> DataFrame:
         """answer, n_evidence, verdict, cited, total, violations.  Without evidence a wider window of the corpus is tried.

@@ -77,7 +77,10 @@ def _stacked(vectors: DataFrame, size: int, name: str) -> DataFrame:
             pdf = pdf[pdf["vector"].notna()]
             for lo in range(0, len(pdf), size):
                 part = pdf.iloc[lo : lo + size]
-                yield pd.DataFrame({f"{name}_ids": [part["id"].tolist()], f"{name}_x": [np.stack([np.asarray(v, dtype=np.float64) for v in part["vector"]]).tobytes()]})
+                rows = [np.asarray(v, dtype=np.float64) for v in part["vector"]]
+                if len({len(v) for v in rows}) > 1:
+                    raise ValueError("vectors of different lengths")
+                yield pd.DataFrame({f"{name}_ids": [part["id"].tolist()], f"{name}_x": [np.stack(rows).tobytes()]})
 
     return vectors.select("id", "vector").mapInPandas(run, f"{name}_ids array<{id_type}>, {name}_x binary")
 
@@ -86,7 +89,7 @@ def knn_many(vectors: DataFrame, queries: DataFrame, limit: int, rows: int = 409
     """query, id, cosine, rank of the nearest vectors (unit length, one dimension) to every row of `queries` (id, vector).
 
     Blocks of queries meet blocks of vectors, a product of matrices each; a pair of blocks returns the best `limit` of each
-    of its queries, so what is ranked at the end is small.  Null vectors are neither found nor searched for; equal cosines
+    of its queries, so what is ranked at the end is small.  A vector of another length than the others is an error.  Null vectors are neither found nor searched for; equal cosines
     are ordered by id."""
     id_type, query_type = (d.schema["id"].dataType.simpleString() for d in (vectors, queries))
     both = _stacked(vectors, rows, "v").crossJoin(_stacked(queries, 512, "q"))
@@ -96,9 +99,13 @@ def knn_many(vectors: DataFrame, queries: DataFrame, limit: int, rows: int = 409
             for v_ids, v_x, q_ids, q_x in zip(pdf["v_ids"], pdf["v_x"], pdf["q_ids"], pdf["q_x"]):
                 a, b = (np.frombuffer(x, dtype=np.float64).reshape(len(ids), -1) for x, ids in ((q_x, q_ids), (v_x, v_ids)))
                 cosine, ids = np.round(a @ b.T, 6), np.asarray(v_ids)
-                for k, row in enumerate(cosine):
-                    near = np.lexsort((ids, -row))[:limit]
-                    yield pd.DataFrame({"query": [q_ids[k]] * len(near), "id": ids[near], "cosine": row[near]})
+                least = np.partition(cosine, -limit, axis=1)[:, -limit] if limit < len(ids) else np.full(len(q_ids), -np.inf)
+                q, v = np.nonzero(cosine >= least[:, None])  # those at the cut with all that equal them
+                best = np.lexsort((ids[v], -cosine[q, v], q))
+                q, v = q[best], v[best]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                q, v = q[place < limit], v[place < limit]
+                yield pd.DataFrame({"query": np.asarray(q_ids)[q], "id": ids[v], "cosine": cosine[q, v]})
 
     found = both.mapInPandas(run, f"query {query_type}, id {id_type}, cosine double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))

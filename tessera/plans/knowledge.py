@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.functions import text as X
-from tessera.operators import answer, compile, governance, graph, lexical, lifecycle, quality, retrieval
+from tessera.operators import answer, chains, compile, governance, graph, lexical, lifecycle, quality, retrieval
 from tessera.plans.base import BLOCKS, ORACLES, TURNS, blocks, bm25_sql, hash_sql, query, read, turns
 from tessera.plans.search import KNN, SECTIONS, _sections, knn_topk
 
@@ -164,9 +164,10 @@ edges AS (SELECT src, dst, count(*)::DOUBLE AS w FROM e0 WHERE dst IS NOT NULL G
 
 
 def _page_edges(spark, sf):
-    """Pages that share a link target, each with the next: extracted links, one window per target."""
+    """Pages that share a link target, each with the next: extracted links, chains over ranges of (target, page), so a
+    target that all pages link to is spread over tasks like any other."""
     rows = read(spark, sf, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("target"))
-    step = rows.withColumn("dst", F.lead("page_id").over(Window.partitionBy("target").orderBy("page_id"))).filter("dst is not null")
+    step = chains.successors(rows, "target", "page_id").withColumnRenamed("next", "dst").filter("dst is not null")
     return step.groupBy(F.col("page_id").alias("src"), "dst").agg(F.count("*").cast("double").alias("w"))
 
 

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import graph, ledger, lexical, lifecycle, quality, rebuild
+from tessera.operators import graph, ledger, lexical, lifecycle, quality, rebuild, retrieval, route
 from tessera.plans.base import BLOCKS, TURNS, blocks, bm25_sql, hash_sql, mirror_sql, query, read, tokens_sql, turns
+from tessera.plans.knowledge import TABLES as ROUTE_TABLES
+from tessera.plans.knowledge import _acls, _pages, _path, _states
+from tessera.plans.search import TREE, TREE_QUERY, _sections
 from tessera.session import discard, shared_folder, stored
 from tessera.sources.registry import Registry, stamp_of
 from tessera.streaming import replacing
@@ -301,3 +304,43 @@ def stale_rebuild(spark, sf):
     text = F.concat(F.lit("---\ntype: "), "kind", F.lit("\ngenerated: "), F.when(i % 11 == 2, "false").otherwise("true"), F.lit("\ncreated: 2024-01-01\nsources: [raw/"), at(0), F.when(i % 13 == 4, "gone").otherwise(""), F.lit("]\nstale: true\nconfidence: "), F.when(i % 4 == 0, "high").otherwise("draft"), F.lit("\n---\n# T "), i.cast("string"), F.lit("\n\n## Facts\n"), F.coalesce(F.concat(F.lit("- old [[raw/"), at(1), F.lit("]]")), F.lit("- none")), F.lit("\n\n## Evidence (1)\n"), F.coalesce(F.concat(F.lit("- `"), at(2), F.lit("` — x")), F.lit("")), F.lit("\n\n## Entities\n- [[entities/"), "lang", F.lit("]]\n\n## Conflicts\n- none\n"))
     pages = own.select(F.concat(F.lit("synthesis/"), i.cast("string"), F.lit(".md")).alias("path"), text.alias("content"), (i % 3 == 0).alias("stale"), F.lit("active").alias("state"))
     return rebuild.rebuild_stale(stored(pages), b, "now")
+
+
+# ---- the whole route
+
+ROUTE_GROUPS, ROUTE_LANGS = ("de", "fr", "en"), ("en", "de", "fr")
+ROUTED = f"""{TREE}, {bm25_sql(TREE_QUERY, 200, ('and', 'or'), name='lex')}, {ROUTE_TABLES},
+vecs AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL), q0 AS (SELECT e AS q FROM vecs ORDER BY vec_id LIMIT 1),
+near AS (SELECT b.id, round(list_sum(list_transform(list_zip(e, q), lambda p: p[1] * p[2])), 6) AS cosine FROM vecs JOIN blocks b ON b.doc_id = vec_id AND b.ordinal = 0, q0),
+vec AS (SELECT id, row_number() OVER (ORDER BY cosine DESC, id) - 1 AS rank FROM near QUALIFY rank < 60),
+u AS (SELECT id, 0.8::DOUBLE / (61 + rank) AS s FROM tree UNION ALL SELECT id, 1.0::DOUBLE / (61 + rank) FROM lex UNION ALL SELECT id, 1.0::DOUBLE / (61 + rank) FROM vec),
+fused AS (SELECT id, round(sum(s), 9) AS score FROM u GROUP BY id),
+att AS (SELECT f.id, f.score, round(coalesce(1.0::DOUBLE / (61 + l.rank), 0), 6) AS s_lexical, round(coalesce(1.0::DOUBLE / (61 + t.rank), 0), 6) AS s_tree, round(coalesce(1.0::DOUBLE / (61 + v.rank), 0), 6) AS s_vector,
+  concat_ws(',', CASE WHEN l.id IS NOT NULL THEN 'lexical' END, CASE WHEN t.id IS NOT NULL THEN 'tree' END, CASE WHEN v.id IS NOT NULL THEN 'vector' END) AS matched_by FROM fused f LEFT JOIN lex l USING (id) LEFT JOIN tree t USING (id) LEFT JOIN vec v USING (id)),
+r AS (SELECT a.*, b.doc_id, b.doc_path, b.breadcrumb, b.raw, b.layer, b.lang, row_number() OVER (ORDER BY a.score DESC, a.id) AS r0 FROM att a JOIN blocks b USING (id)),
+f1 AS (SELECT r.* FROM r LEFT JOIN acls ON doc_path = path WHERE acl IS NULL OR list_has_any(acl, ['de', 'fr', 'en'])),
+f2 AS (SELECT f1.*, coalesce(s.state, 'active') AS state FROM f1 LEFT JOIN states s USING (id) WHERE coalesce(s.state, 'active') <> 'retracted'),
+f3 AS (SELECT f2.*, CASE WHEN p.state = 'retracted' THEN 2 WHEN p.stale THEN 1 ELSE 0 END AS band FROM f2 LEFT JOIN pages_ p USING (doc_path)),
+f4 AS (SELECT *, row_number() OVER (ORDER BY band, r0, id) AS r1 FROM f3 WHERE (band < 2 OR state = 'superseded') AND lang IN ('en', 'de', 'fr')),
+f5 AS (SELECT *, row_number() OVER (ORDER BY r1) AS r2 FROM f4 QUALIFY r2 <= 40)"""
+
+
+@query(f"WITH {ROUTED} SELECT row_number() OVER (ORDER BY layer <> 'raw', r2) - 1 AS rank, id, doc_path, breadcrumb, raw, layer, state, score, s_lexical, s_tree, s_vector, matched_by FROM f5")
+def search_full(spark, sf):
+    """Lexical, tree and vector channels fused, then access, state with history, disposition, metadata, window, layers."""
+    b = blocks(spark, sf)
+    lex = stored(lexical.bm25(b, TREE_QUERY, 200, ("and", "or")).select("id", "rank"))
+    tree = stored(retrieval.tree_search(_sections(b), b, TREE_QUERY))
+    e = read(spark, sf, "embeddings").filter("embedding is not null")
+    own = e.join(b.filter("ordinal = 0").select("id", F.col("doc_id").alias("vec_id")), "vec_id").select("id", F.col("embedding").alias("vector"))
+    vec = stored(retrieval.knn(own, e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("vector")), 60).select("id", "rank"))
+    documents = read(spark, sf, "documents").select(_path().alias("path"), F.create_map(F.lit("lang"), F.array("lang")).alias("fm"))
+    out = route.route({"lexical": lex, "tree": tree, "vector": vec}, {"lexical": 1.0, "tree": 0.8, "vector": 1.0}, b, _acls(spark, sf), _states(spark, sf, b), _pages(spark, sf), documents, 40, list(ROUTE_GROUPS), ("superseded",), {"lang": list(ROUTE_LANGS)})
+    return out.select("rank", "id", "doc_path", "breadcrumb", "raw", "layer", "state", "score", *(F.col(f"scores.{n}").alias(f"s_{n}") for n in ("lexical", "tree", "vector")), F.array_join("matched_by", ",").alias("matched_by"))
+
+
+@query(f"WITH {ROUTE_TABLES.split(chr(10))[0].rstrip(',')} SELECT path FROM acls WHERE acl IS NULL OR list_has_any(acl, ['de', 'fr', 'en'])")
+def visible_paths(spark, sf):
+    """Every document that three groups may see."""
+    acls = _acls(spark, sf)
+    return route.visible_paths(acls.select("path"), acls, list(ROUTE_GROUPS))

@@ -105,3 +105,27 @@ def test_concepts_and_entities_by_containment(spark):
     found = spark.createDataFrame([("acme",), ("me",), ("bank",)], "entity_id string")
     pages = spark.createDataFrame([("entities/ACME.md",), ("entities/bank.txt",), (None,)], "doc_path string")
     assert sorted(r.entity_id for r in compile.affected_entities(found, pages).collect()) == ["acme", "me"]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_chains_over_ranges_equal_chains_in_groups(spark, parts):
+    from collections import Counter
+
+    from tessera.operators import chains
+
+    r = random.Random(parts)
+    rows = [(r.choice(["hot", "hot", "hot", "a", "b", None, ""]), r.randint(0, 300)) for _ in range(800)] + [("c", 1), ("c", 1), ("d", None), ("d", 4)]
+    df = spark.createDataFrame([(*x, "y") for x in rows], "g string, i long, next string")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(x) for x in chains.successors(df, "g", "i").collect()]
+        assert chains.successors(df.limit(0), "g", "i").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = []
+    for g in {x[0] for x in rows}:
+        items = sorted((x[1] for x in rows if x[0] == g), key=lambda v: (v is not None, v or 0))
+        want += [(g, a, b) for a, b in zip(items, [*items[1:], None])]
+    assert Counter(got) == Counter(want)
