@@ -609,17 +609,22 @@ def _gather(setting: Setting):
     return run
 
 
-def _sample_counts(batches):
-    held = [token_hashes(b.column("t"))[0] for b in batches]
-    words, n = np.unique(np.concatenate(held) if held else np.empty(0, dtype=np.uint64), return_counts=True)
-    top = np.argsort(-n, kind="stable")[:2000]
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(words[top].view(np.int64), 0)), pa.array(np.append(n[top], n.sum())), pa.array([False] * len(top) + [True])], names=["h", "n", "all"])
+def _sample_counts(most: int):
+    def run(batches):
+        held = [token_hashes(b.column("t"))[0] for b in batches]
+        words, n = np.unique(np.concatenate(held) if held else np.empty(0, dtype=np.uint64), return_counts=True)
+        top = np.argsort(-n, kind="stable")[:most]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(words[top].view(np.int64), 0)), pa.array(np.append(n[top], n.sum())), pa.array([False] * len(top) + [True])], names=["h", "n", "all"])
+
+    return run
 
 
 def hot_words(docs: DataFrame, rows: int, share: float = 0.003, sample: int = 2000) -> dict[int, float]:
-    """Hashes of the words that take more than `share` of the tokens in about `sample` of `rows` documents, and their shares."""
+    """Hashes of the words that take more than `share` of the tokens in about `sample` of `rows` documents, and their shares.
+
+    The sample only steers how work is dealt over blocks; no result follows from it but by the blocks' random numbers."""
     step = max(1, rows // sample)
-    got = docs.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("t").mapInArrow(_sample_counts, "h bigint, n bigint, all boolean").groupBy("h", "all").agg(F.sum("n").alias("n")).orderBy(F.desc("all"), F.desc("n")).limit(int(2 / share)).collect()
+    got = docs.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("t").mapInArrow(_sample_counts(max(2000, int(2 / share))), "h bigint, n bigint, all boolean").groupBy("h", "all").agg(F.sum("n").alias("n")).orderBy(F.desc("all"), F.desc("n")).limit(int(2 / share)).collect()
     total = sum(r.n for r in got if r["all"]) or 1
     return {r.h & (1 << 64) - 1: r.n / total for r in got if not r["all"] and r.n > share * total}
 
@@ -633,7 +638,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("t"))
     size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length("t")).alias("bytes")).first()
     blocks = max(least_blocks, -(-(size.bytes or 0) // BLOCK_BYTES))
-    setting = Setting(partition_keys(spark, blocks), hot_words(docs, size.rows), discount, strength, samples, burn_in, seed)
+    setting = Setting(partition_keys(spark, blocks), hot_words(docs, size.rows, min(0.003, 0.5 / blocks)), discount, strength, samples, burn_in, seed)
     told_blocks, told_chunks = (docs.mapInArrow(_deal(setting, modulus, held_out, x), DEALT.format(id_type)) for x in (True, False))
     blobs = told_blocks.select(F.lit(4).alias("kind"), "block", "chunk", "blob", F.lit(None).cast("bigint").alias("part"), F.lit(None).cast("int").alias("sample"))
 

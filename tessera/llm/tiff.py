@@ -323,7 +323,9 @@ def features_of(pixels: np.ndarray) -> str:
 def payload_digests(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per file from the consecutive rows of its pages: the payload's length, hashes and features.
 
-    Narrow: `pages` must come straight from `tiff_pages`, whose rows of one file lie together in order."""
+    Narrow: `pages` must come straight from `tiff_pages`, whose rows of one file lie together in order.  A file that could
+    not be read is an error, as its row would be missing.  Null ids and repeated rows are files like others; very long texts
+    have many pages; other columns of `pages` are ignored."""
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -341,4 +343,5 @@ def payload_digests(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
             cols = list(zip(*out)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(own, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())))], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return pages.filter(F.col("error").isNull()).select(pages[id_col].alias("id"), "page", "pages", "media_bytes", "media_sha256", "pixels").mapInArrow(run, f"`{id_col}` {id_type}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    whole = F.when(F.col("error").isNull(), F.col("pixels")).otherwise(F.raise_error(F.concat(F.lit("a stored file can't be read: "), F.col("error").cast("string"))))
+    return pages.select(pages[id_col].alias("id"), "page", "pages", "media_bytes", "media_sha256", whole.alias("pixels")).mapInArrow(run, f"`{id_col}` {id_type}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

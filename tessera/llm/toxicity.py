@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import enter, id_remainder, materialize, text_or_empty
+from tessera.llm._shared import discard, enter, id_remainder, materialize, text_or_empty
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 5, 7)
@@ -153,9 +153,10 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(w[0]), float(w[1]), float(w[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held_out: int = 0, max_labelled: int = 60_000, max_units: int = 100_000, prior: float = 4.0, min_z: float = 3.0) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held_out: int = 0, max_labelled: int = 60_000, prior: float = 4.0, min_z: float = 3.0) -> ToxicModel:
     """Learn from at most `max_labelled` labelled rows (those of the smallest id hash) outside the held-out remainder;
-    four fifths give the counts, one fifth the calibration.  At most `max_units` units are kept."""
+    four fifths give the counts, one fifth the calibration.  The model's units are all those that these rows bear out
+    (three documents, `min_z` deviations) and what begins with them: the rows bound them, nothing else does."""
     lab = labels.select(labels[id_col].alias("id"), labels[label_col].alias("y")).filter("id is not null and y in (0, 1)").filter(id_remainder("id", modulus) != held_out)
     lab = lab.groupBy("id").agg(F.max("y").cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     rows = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("t")).join(F.broadcast(lab), "id")  # bounded by max_labelled
@@ -164,19 +165,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = materialize(counts, "toxic-counts")
     whole = counts.filter(F.col("unit").endswith(FULL)).agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     if not whole or not whole.t or not whole.c:
+        discard(counts)
         return ToxicModel()
     rate = whole.t / (whole.t + whole.c)
     odds = math.log(rate / (1 - rate))
     # log-odds with a Dirichlet prior of the overall rate, over its standard deviation
     delta = F.log((F.col("t") + prior * rate) / (F.col("c") + prior * (1 - rate))) - F.lit(odds)
     z = delta / F.sqrt(1 / (F.col("t") + prior * rate) + 1 / (F.col("c") + prior * (1 - rate)))
-    strong = counts.withColumn("z", z).filter(F.col("z") >= min_z).orderBy(F.desc("z"), "unit").limit(max_units // 5).select("unit")
-    model_rows = counts.join(F.broadcast(strong), "unit")  # bounded by max_units
+    strong = counts.withColumn("z", z).filter(F.col("z") >= min_z).select("unit")
+    model_rows = counts.join(strong, "unit")
     short = strong.filter(~F.col("unit").endswith(FULL)).withColumnRenamed("unit", "head")
     for n in PREFIXES:
         part = counts.filter(F.length("unit") > n).withColumn("head", F.substring("unit", 1, n))
-        model_rows = model_rows.unionByName(part.join(F.broadcast(short.filter(F.length("head") == n)), "head").select("unit", "t", "c"))
-    found = {r.unit: (r.t, r.c) for r in model_rows.distinct().orderBy(F.desc(F.col("t") + F.col("c")), "unit").limit(max_units).collect()}
+        model_rows = model_rows.unionByName(part.join(short.filter(F.length("head") == n), "head").select("unit", "t", "c"))
+    found = {r.unit: (r.t, r.c) for r in model_rows.distinct().orderBy(F.desc(F.col("t") + F.col("c")), "unit").collect()}  # units of max_labelled rows
+    discard(counts)
     rates: dict[str, float] = {}
 
     def rate_of(unit: str) -> float:
@@ -189,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return rates[unit]
 
     model = ToxicModel({u: math.log((r := rate_of(u)) / (1 - r)) - odds for u in found})
-    held = rows.filter(fold == 0).select("t", "y").mapInArrow(_maxima(model), "y int, n bigint, best double, segments array<double>, low double, sums array<double>")
+    held = rows.filter(fold == 0).select("t", "y").mapInArrow(_maxima(model), "y int, n bigint, best double, segments array<double>, low double, sums array<double>, times array<bigint>")
     cal = held.collect()  # bounded by max_labelled
     clean = [r for r in cal if r.y == 0]
     if clean and len(clean) < len(cal):
@@ -207,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _maxima(model: ToxicModel):
-    """Per text: its label, length, best segment, all segments' scores and the positive token scores."""
+    """Per text: its label, length, best segment, all segments' scores, and the scores of its known tokens with how often
+    each stands there."""
 
     def run(batches):
         known = _WordScores(model)
@@ -217,22 +221,22 @@ def _maxima(model: ToxicModel):
                 w = words_of(t)
                 s = np.fromiter(map(known.__getitem__, w), dtype=np.float64, count=len(w))
                 seg = [x[2] for x in maximal_segments(s)]
-                up = s[s != model.gap]
-                out.append((len(w), max(seg, default=0.0), seg, float(len(w) - len(up)), up.tolist()))
-            cols = list(zip(*out)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column("y"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["y", "n", "best", "segments", "low", "sums"])
+                up, times = np.unique(s[s != model.gap], return_counts=True)
+                out.append((len(w), max(seg, default=0.0), seg, float(len(w) - times.sum()), up.tolist(), times.tolist()))
+            cols = list(zip(*out)) if out else [[]] * 6
+            kinds = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("y"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["y", "n", "best", "segments", "low", "sums", "times"])
 
     return run
 
 
 def _lambda(clean, gap: float) -> float:
     """The positive root of the mean of exp(lambda * score) = 1 over the tokens of clean text."""
-    up = np.array([v for r in clean for v in r.sums])
+    up, times = (np.array([v for r in clean for v in r[c]], dtype=np.float64) for c in ("sums", "times"))
     low = sum(r.low for r in clean)
-    n = low + len(up)
-    f = lambda x: (low * math.exp(x * gap) + np.exp(np.minimum(x * up, 500)).sum()) / n - 1
-    if not len(up) or (low * gap + up.sum()) >= 0:
+    n = low + times.sum()
+    f = lambda x: (low * math.exp(x * gap) + (times * np.exp(np.minimum(x * up, 500))).sum()) / n - 1
+    if not len(up) or (low * gap + (times * up).sum()) >= 0:
         return 1.0
     lo, hi = 1e-6, 1.0
     while f(hi) < 0 and hi < 20:
