@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Han range, white space, sentence ends, accent folding (each letter and its plain form), organisation suffixes.
 HAN = r"\x{4e00}-\x{9fff}"
 SPACE = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+TRIM = rf"^{SPACE}|{SPACE}$"
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
@@ -143,6 +144,12 @@ def expired(ttl, valid_from, today) -> Column:
     return (days != "") & (F.datediff(today, F.to_date(col(valid_from))) > days.cast("int"))
 
 
+def instruction_language(x) -> Column:
+    """zh where more Han characters (with extension A) than ASCII letters stand in a query, else en."""
+    han = F.length(F.regexp_replace(col(x), r"[^\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]", ""))
+    return F.when(han > F.length(F.regexp_replace(col(x), "[^A-Za-z]", "")), "zh").otherwise("en")
+
+
 def query_terms(query: str) -> list[str]:
     """Runs of letters and digits of a query."""
     return re.findall(r"[^\W_]+", query)

@@ -40,6 +40,33 @@ def source_pages(blocks: DataFrame, limit: int = 280) -> DataFrame:
     return pages.select(F.concat(F.lit("sources/"), "doc_path", F.lit(".md")).alias("path"), content.alias("content"), "summary", "n_blocks")
 
 
+def navigation_pages(documents: DataFrame, blocks: DataFrame, sections: DataFrame, stamp: str, limit: int = 280, questions: int = 5) -> DataFrame:
+    """path, content of a page for every document (path, title) of the raw layer with blocks: a summary, questions that
+    the document answers, and its sections, each with its address.
+
+    Questions come from section titles that aren't technical (`__`, `p.`), without any from the last headings of the first
+    blocks; of a document only the first `questions` of these and the pieces that fit the summary are kept."""
+    raw = blocks.filter("layer = 'raw'").select("doc_path", "ordinal", "id", "raw", "breadcrumb")
+    pieces = F.filter(F.transform(F.split("raw", r"(?<=[。！？；!?;.])\s*|\n+"), lambda s: F.trim(s)), lambda s: s != "")
+    w = Window.partitionBy("doc_path").orderBy("ordinal", "id")
+    # every block adds a character at least, so the first `limit` of a document are all that a page can show
+    first = raw.withColumn("p", F.slice(pieces, 1, limit)).filter(F.size("p") > 0).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max(limit, questions))
+    size = F.aggregate("p", F.lit(0), lambda a, s: a + F.length(s) + 1)
+    rows = first.withColumn("before", F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    near = rows.filter((F.col("before") <= limit) | (F.col("rn") <= questions))
+    item = F.struct("rn", "p", F.concat(F.lit("- What does “"), F.substring_index("breadcrumb", " > ", -1), F.lit("” hold? ("), "id", F.lit(")")).alias("q"))
+    own = near.groupBy("doc_path").agg(F.array_sort(F.collect_list(item)).alias("b"))
+    named = sections.filter(~F.col("title").startswith("__"))
+    ws = Window.partitionBy("doc_path").orderBy("ordinal", "id")
+    asked = named.filter(~F.col("title").startswith("p.")).withColumn("rn", F.row_number().over(ws)).filter(F.col("rn") <= questions)
+    asked = asked.groupBy("doc_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "title", "id"))), lambda x: F.concat(F.lit("- What does the document say about “"), x["title"], F.lit("”? ("), x["id"], F.lit(")"))).alias("asked"))
+    listed = named.groupBy("doc_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id", "title"))), lambda x: F.concat(F.lit("- "), x["title"], F.lit(" (`"), x["id"], F.lit("`)"))).alias("listed"))
+    all_ = documents.select(F.col("path").alias("doc_path"), "title").join(own, "doc_path").join(asked, "doc_path", "left").join(listed, "doc_path", "left")
+    said = F.coalesce("asked", F.transform(F.filter("b", lambda x: x["rn"] <= questions), lambda x: x["q"]))
+    content = F.concat(F.lit("---\ntype: source\ngenerated: true\nsource: raw/"), "doc_path", F.lit(f"\nlast_compiled: {stamp}\n---\n# "), F.coalesce("title", "doc_path"), F.lit("\n\n## Summary\n"), X.summary(F.flatten(F.transform("b", lambda x: x["p"])), limit), F.lit("\n\n## Questions\n"), F.array_join(said, "\n"), F.lit("\n\n## Sections\n"), F.coalesce(F.array_join("listed", "\n"), F.lit("- none")), F.lit("\n"))
+    return all_.select(F.concat(F.lit("sources/"), "doc_path", F.lit(".md")).alias("path"), content.alias("content"))
+
+
 def write_pages(pages: DataFrame, folder: str) -> None:
     """Pages as a table of (path, content), partitioned by their first folder."""
     pages.select("path", "content", F.substring_index("path", "/", 1).alias("kind")).write.mode("overwrite").partitionBy("kind").parquet(folder)

@@ -48,6 +48,33 @@ def vector_delta(blocks: DataFrame, encoded: DataFrame) -> DataFrame:
     return both.select("id", action.alias("action")).filter("action is not null")
 
 
+def vector_coverage(blocks: DataFrame, encoded: DataFrame) -> DataFrame:
+    """embeddable, encoded, pending: blocks with text, those of them that have a vector (id), and the rest."""
+    rows = blocks.filter(F.length(F.regexp_replace("raw", X.SPACE, "")) > 0).select("id").join(encoded.select("id", F.lit(1).alias("has")).distinct(), "id", "left")
+    return rows.agg(F.count("*").alias("embeddable"), F.count("has").alias("encoded"), F.count_if(F.col("has").isNull()).alias("pending"))
+
+
+def mark_stale(pages: DataFrame, marks: DataFrame, clear: bool = False) -> DataFrame:
+    """doc_path, state, stale, reason of all pages (doc_path, state, stale, reason) after marks (page, reason), by name.
+
+    Staleness and state are apart: a mark never changes the state that a person set, and a page without a row is active.
+    Keys are those of `text.page_key`, so a page is the same under any of its names; of several marks the first by reason
+    counts.  `clear` takes the flag away instead."""
+    new = marks.select(X.page_key("page").alias("doc_path"), F.col("reason").alias("why")).groupBy("doc_path").agg(F.min("why").alias("why"), F.lit(True).alias("met"))
+    rows = pages.select(X.page_key("doc_path").alias("doc_path"), "state", "stale", "reason").join(new, "doc_path", "full")
+    met = F.coalesce("met", F.lit(False))
+    out = rows.select("doc_path", F.coalesce("state", F.lit("active")).alias("state"), F.when(met, F.lit(not clear)).otherwise(F.coalesce("stale", F.lit(False))).alias("stale"), F.when(met, F.col("why")).otherwise(F.col("reason")).alias("reason"))
+    return out.orderBy("doc_path")
+
+
+def declared_states(blocks: DataFrame, documents: DataFrame) -> DataFrame:
+    """id, state of the blocks of documents (path, state) that declare one other than active, and of the pages made from
+    them (`sources/` and the path); a document without one leaves nothing behind."""
+    said = documents.filter("state is not null and state <> 'active'").select("path", "state")
+    keys = said.select(F.explode(F.array(F.col("path"), F.concat(F.lit("sources/"), "path"))).alias("doc_path"), "state")
+    return blocks.select("id", "doc_path").join(keys, "doc_path").select("id", "state")
+
+
 def corpus_stamp(df: DataFrame, *cols: str) -> DataFrame:
     """n, stamp: one digest that changes with any row, whatever the order of rows.
 

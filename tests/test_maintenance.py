@@ -68,3 +68,61 @@ def test_stale_pages_are_made_anew_or_left_alone(spark):
     assert "confidence: high" in s and "- ⚠ they differ" in s and "- [[entities/x]]\n- [[entities/y]]\n" in s and "- Two words. line [[raw/b2]]" in s and "b9" not in s
     again = df.limit(0).unionByName(spark.createDataFrame([("synthesis/brief.md", brief.content, True, "active")], df.schema))
     assert rebuild.rebuild_stale(again, blocks, "now").first().content == brief.content  # what is made anew can be made anew
+
+
+def test_pages_of_documents_show_summary_questions_and_sections(spark):
+    from tessera.operators import compile
+
+    docs = spark.createDataFrame([("a.md", "A"), ("b.md", None), ("none.md", "N")], "path string, title string")
+    rows = [("a.md", 0, f"a.md#{i}", f"Piece {i}.", "A > H", "raw") for i in range(400)] + [("b.md", 0, "b.md/0", "x" * 300, "B > Last", "raw"), ("b.md", 1, "b.md/1", "", "B", "raw"), ("a.md", 0, "w", "wiki", "", "wiki")]
+    blocks = spark.createDataFrame(rows, "doc_path string, ordinal int, id string, raw string, breadcrumb string, layer string")
+    sections = spark.createDataFrame([("a.md#H", "a.md", "H", 0), ("a.md#p", "a.md", "p. 1", 1), ("a.md#_", "a.md", "__x", 2)], "id string, doc_path string, title string, ordinal int")
+    got = {r.path: r.content for r in compile.navigation_pages(docs, blocks, sections, "now").collect()}
+    assert set(got) == {"sources/a.md.md", "sources/b.md.md"}
+    a, b = got["sources/a.md.md"], got["sources/b.md.md"]
+    assert "## Questions\n- What does the document say about “H”? (a.md#H)\n\n## Sections\n- H (`a.md#H`)\n- p. 1 (`a.md#p`)\n" in a
+    assert 200 < len(a.split("## Summary\n")[1].split("\n")[0]) <= 280
+    assert "# b.md\n\n## Summary\n\n\n## Questions\n- What does “Last” hold? (b.md/0)\n\n## Sections\n- none\n" in b
+
+
+def test_assertions_states_and_coverage(spark):
+    from tessera.functions import text as X
+    from tessera.operators import lifecycle, quality
+
+    raw = "- said\n* # head\n- [[x]] cited\n-- | table\n- `code`\n- > quote\n- ---\nplain\n  - \tinner \n-"
+    b = spark.createDataFrame([("a", raw, "wiki"), ("b", "- said", "raw")], "id string, raw string, layer string")
+    assert [(r.id, r.content) for r in quality.assertions(b).collect()] == [("a", "said"), ("a", "inner")]
+    pages = spark.createDataFrame([("wiki/p", "disputed", False, "old"), ("q", "active", True, "was")], "doc_path string, state string, stale boolean, reason string")
+    marks = spark.createDataFrame([("./p", "why"), ("p", "because"), ("new", "n")], "page string, reason string")
+    assert [tuple(r) for r in lifecycle.mark_stale(pages, marks).collect()] == [("new", "active", True, "n"), ("p", "disputed", True, "because"), ("q", "active", True, "was")]
+    assert [tuple(r)[:3] for r in lifecycle.mark_stale(pages, spark.createDataFrame([("q", "recompiled")], "page string, reason string"), clear=True).collect()] == [("p", "disputed", False), ("q", "active", False)]
+    rows = spark.createDataFrame([("a", "d.md"), ("b", "sources/d.md"), ("c", "e.md")], "id string, doc_path string")
+    docs = spark.createDataFrame([("d.md", "retracted"), ("e.md", "active"), ("f.md", None)], "path string, state string")
+    assert sorted(tuple(r) for r in lifecycle.declared_states(rows, docs).collect()) == [("a", "retracted"), ("b", "retracted")]
+    got = lifecycle.vector_coverage(spark.createDataFrame([("a", "x"), ("b", " \t"), ("c", None), ("d", "y")], "id string, raw string"), spark.createDataFrame([("a",), ("a",), ("z",)], "id string")).first()
+    assert tuple(got) == (2, 1, 1)
+    for text, want in (("中文 ab", "en"), ("中文字 ab", "zh"), ("", "en"), ("㐀㐁 a", "zh")):
+        from pyspark.sql import functions as F
+
+        assert spark.range(1).select(X.instruction_language(F.lit(text))).first()[0] == want
+
+
+def test_unused_readers(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from tessera.sources import tables
+
+    content = spark.createDataFrame([("a", b"x"), ("b", b"y")], "path string, content binary")
+    known = tables.new_only(content, spark.createDataFrame([], "path string, sha string")).filter("path = 'a'")
+    assert [r.path for r in tables.new_only(content, known).collect()] == ["b"]
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("tag", T.StringType())])
+    assert [tuple(r) for r in tables.with_defaults(spark.createDataFrame([(1, 9)], "id int, gone int"), schema, {"tag": "t"}).collect()] == [(1, "t")]
+    tables.export_tables({"t": spark.range(3)}, f"{tmp_path}/out")
+    assert tables.import_tables(spark, f"{tmp_path}/out", ["t"])["t"].count() == 3
+    with pytest.raises(Exception):
+        tables.export_tables({"t": spark.range(3)}, f"{tmp_path}/out")
+    (tmp_path / "topics.tsv").write_text('1\twhat "is" it\n')
+    (tmp_path / "qrels.tsv").write_text("1\tq\td1\t1\n1\tq\td2\t0\n")
+    (tmp_path / "corpus.jsonl").write_text('{"docid": "d1", "title": "t", "text": "x"}\n')
+    topics, gold, corpus = tables.evaluation(spark, f"{tmp_path}/topics.tsv", f"{tmp_path}/qrels.tsv", f"{tmp_path}/corpus.jsonl")
+    assert topics.first().text == 'what "is" it' and [tuple(r) for r in gold.collect()] == [("1", "d1")] and corpus.first().docid == "d1"
