@@ -48,6 +48,14 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.exists(vector, bad)
 
 
+def _slices(batches, dims: int):
+    """Batches of at most BLOCK numbers, so that the memory of a task doesn't grow with the dimensions."""
+    size = max(1, BLOCK // max(1, dims))
+    for b in batches:
+        for lo in range(0, b.num_rows, size):
+            yield b.slice(lo, size)
+
+
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     """Rows of whole numbers; shorter vectors end in zeros."""
     sizes = np.diff(column.offsets.to_numpy())
@@ -83,7 +91,7 @@ def totals(fit: DataFrame, dims: int) -> tuple[int, tuple[int, ...], int]:
     def run(batches):
         enter("whitening")
         n, high, low, most = 0, np.zeros(dims, dtype=np.int64), np.zeros(dims, dtype=np.int64), 0
-        for b in batches:
+        for b in _slices(batches, dims):
             x = _matrix(b.column("x"), dims)
             n += len(x)
             high += (x >> 32).sum(axis=0)
@@ -107,12 +115,10 @@ def gram(fit: DataFrame, dims: int, n: int, sums: tuple[int, ...], step) -> np.n
     def run(batches):
         enter("whitening")
         total, seen = np.zeros((wide, wide)), False
-        for b in batches:
-            x = _matrix(b.column("x"), dims)
-            for at in range(0, len(x), size := max(1, BLOCK // max(1, dims))):
-                q = step(_centred(x[at : at + size], n, sums))
-                total += q.T @ q
-                seen = True
+        for b in _slices(batches, dims):
+            q = step(_centred(_matrix(b.column("x"), dims), n, sums))
+            total += q.T @ q
+            seen = True
         if seen:
             i, j = np.divmod(np.arange(wide * -(-wide // WIDE)), -(-wide // WIDE))
             padded = np.zeros((wide, -(-wide // WIDE) * WIDE))
@@ -209,7 +215,7 @@ def whiten(vectors: DataFrame, model: Whitening | None, vector_col: str = "embed
 
     def run(batches):
         enter("whitening")
-        for b in batches:
+        for b in _slices(batches, dims):
             x = _matrix(b.column("x"), dims)
             off = x * model.n - sums if small else x.astype(object) * model.n - sums
             far = (off * off).sum(axis=1)
