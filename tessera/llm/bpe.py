@@ -282,7 +282,8 @@ def chunks(texts: list[str], limit: int = 6 << 20):
 def encode_digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode each text; returns the id, n_tokens, ids_sha256 and decoded_sha256.
 
-    Narrow: one pass, no shuffle; a lost task is simply run again."""
+    Narrow: one pass, no shuffle; a lost task is simply run again.  Null texts are empty and have no ids; very long ones
+    are encoded whole; repeated rows have a row each.  Columns other than id and text are ignored, whatever their names."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):

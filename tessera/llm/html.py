@@ -456,6 +456,9 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 def extract(pages: DataFrame, found: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_chars: int = 16 << 20) -> DataFrame:
     """The id, url, main text and its length of every page.
 
+    Null and empty markup has no text; pages of any length are read whole; repeated rows have a row each; a null url has
+    no host and so no wrapper; of regions of one weight the first counts.  Other columns are ignored, whatever their names.
+
     The wrappers are broadcast while they are small (their size is measured); beyond that they are joined by host and
     adaptive execution splits a hot one."""
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))

@@ -102,7 +102,11 @@ def pack(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str =
     """One row per piece: the id, start, length, doc_tokens, sequence_id, offset, ids (unsigned 32-bit, little-endian).
 
     `size` is a power of two.  The token table is written once to the shared folder, as range partitioning samples its
-    input first; the corpus statistics that scale the grid are a mean and a deviation per dimension."""
+    input first; the corpus statistics that scale the grid are a mean and a deviation per dimension.
+
+    Null and empty texts are the end id alone; very long texts are cut over as many sequences as they take; repeated rows
+    and null ids are documents of their own; documents of one place on the curve follow one another by id.  Columns other
+    than id and text are ignored, whatever their names; an empty table gives no rows."""
     id_type = df.schema[id_col].dataType.simpleString()
     axes = [f"c{i}" for i in range(dims)]
 

@@ -263,7 +263,10 @@ def payload_of(text: str, width: int = PAYLOAD_WIDTH) -> bytes:
 
 
 def text_to_tiff(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_rows: int = 256, scheme: str = "deflate", predictor: int = 2) -> DataFrame:
-    """The id and `media`: each text's payload as grey rows of 576 samples, `page_rows` to a page."""
+    """The id and `media`: each text's payload as grey rows of 576 samples, `page_rows` to a page.
+
+    Null and empty texts are one row of padding; very long ones have as many pages as they take; repeated rows are files of
+    their own.  Columns other than id and text are ignored, whatever their names."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):

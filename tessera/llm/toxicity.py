@@ -259,6 +259,9 @@ def toxicity_column(model: ToxicModel, text):
 
 
 def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, score (0 to 1), predicted, and the best passage's place in words."""
+    """The id, score (0 to 1), predicted, and the best passage's place in words.
+
+    Null and empty texts are texts without words; very long ones are scanned in one pass; repeated rows have a row each; of
+    passages of one score the first counts.  Columns other than id and text are ignored, whatever their names."""
     rows = docs.select(docs[id_col], toxicity_column(model, text_or_empty(text_col)).alias("x_"))
     return rows.select(id_col, "x_.score", (F.col("x_.score") >= 0.5).cast("int").alias("predicted"), "x_.passage_start", "x_.passage_end", "x_.passages")

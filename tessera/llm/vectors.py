@@ -229,7 +229,11 @@ def _verify(num: float, tables: int, probes: int, kind: str, codes_as: str):
 
 
 def similar_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block: int = 1000) -> DataFrame:
-    """id, n_links, component_id, kept: one row per row of `df`."""
+    """id, n_links, component_id, kept: one row per row of `df`.
+
+    Vectors that are null, empty, zero or hold a null or non-finite entry link with nothing and are their own component.
+    Rows of one id are that many rows of the result; equal vectors link; a cosine at the threshold links.  Columns other
+    than id and vector are ignored, whatever their names; an empty table gives no rows."""
     spark = df.sparkSession
     id_type = df.schema[id_col].dataType.simpleString()
     src = df.select(df[id_col].alias("id"), df[vector_col].alias("v"))
