@@ -42,7 +42,7 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = frozenset("article aside body div section main table td th ul ol blockquote form nav header footer html".split())
 DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea iframe object svg canvas audio video dialog menu noembed noframes xmp label input".split())
-# Words that classes, ids and roles of boilerplate are made of.
+# Our own choice: words that classes, ids and roles of boilerplate are made of.
 BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion nav navbar navigation menu sidebar side footer foot header masthead banner cookie cookies consent gdpr notice notices alert popup modal overlay comment comments reply replies respond discussion disqus share sharing social subscribe subscription newsletter signup login related recommended breadcrumb breadcrumbs pagination pager toolbar widget widgets skip contentinfo complementary search".split())
 WORDS = re.compile(r"[a-z0-9]+")
 

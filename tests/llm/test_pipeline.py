@@ -31,3 +31,56 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, SF)
         assert now.count() == 0
+
+
+def slow_lines(texts):
+    """Lines of ten documents or more only where they come first; documents that lose all their words go."""
+    strip = lambda x: x.strip(" \t\n\x0b\f\r")
+    key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in strip(x))
+    docs, first = {}, {}
+    for i in sorted(texts):
+        for p, x in enumerate(texts[i].split("\n")):
+            if k := key(x):
+                docs.setdefault(k, set()).add(i)
+                first.setdefault(k, (i, p))
+    out = {}
+    for i, t in texts.items():
+        kept = [x for p, x in enumerate(t.split("\n")) if not (k := key(x)) or len(docs[k]) < 10 or first[k] == (i, p)]
+        if len(kept) == len(t.split("\n")) or any(strip(x) for x in kept):
+            out[i] = "\n".join(kept)
+    return out
+
+
+def slow_copies(texts):
+    """The smallest id of every group linked by sets of five words that are alike to 0.8."""
+    sets = {}
+    for i, t in texts.items():
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t).split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i for i in ids if find(i) == i}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_lines_and_copies_equal_a_slow_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    shared = [(5000 + i, "A line of many documents \nown words %d one two three four five six seven eight nine ten" % (i // 2), "en", "s", 0) for i in range(24)]
+    now = docs.unionByName(spark.createDataFrame(shared, docs.schema))
+    texts = {r.doc_id: r.text or "" for r in now.collect()}
+    want = slow_lines(texts)
+    lines = corpus_pipeline.materialize(corpus_pipeline.drop_repeated_lines(spark, now, SF), "lines")
+    got = {r.doc_id: r.text or "" for r in lines.collect()}
+    assert got == want
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, lines, SF).collect()} == slow_copies(want)
