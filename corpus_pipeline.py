@@ -4,6 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes wha
 and reads it again as the next stage's documents.  All stages but the last return the columns of `documents`.
 
 Rows with null or empty texts: they can't be toxic, the language stage rejects them.  An empty table passes through.
+Texts of any length go through whole; repeated rows of one id are judged alike and stay or go together.
 Columns beyond those of `documents` are kept, whatever their names; `text` and `n_chars` follow the line stage.
 """
 
@@ -63,7 +64,8 @@ STAGES = [
     ("packing", pack_documents),
 ]
 
-#: No SQL states the learned stages; tests check which documents stay and the columns, the operators have tests of their own.
+#: No SQL states the learned stages; tests compare the line and copy stages with a slow version, and check that the others keep
+#: clean documents and the columns.  The operators have tests of their own.
 ORACLE_SQL = None
 
 
