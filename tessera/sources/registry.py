@@ -1,7 +1,8 @@
 """Versions of stored tables: readers pin one snapshot, writers publish the next by one rename.
 
 A version is a small page that names the folders of every table; the tables are Parquet.  Folders are never written
-twice, so what a reader has pinned stays as it was while others publish."""
+twice, so what a reader has pinned stays as it was while others publish.  The folder must lie where a rename is atomic and
+never replaces a file (HDFS, local disks), as on stores without such a rename two writers could publish one version."""
 
 from __future__ import annotations
 
