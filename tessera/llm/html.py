@@ -3,8 +3,11 @@
 Token streams of pages of one host are aligned one after another.  A wrapper is an expression over tags and text: equal
 tokens stay, texts that differ become slots, a run of like elements becomes a repeated group, and what one side lacks
 becomes an optional group; there are no unions.  The slots say where a host's pages differ, hence where an article can
-be; the article is the region whose slots hold most text.  Where several regions share it, the page's own marks (article,
-then main) decide.  An element is template if all its texts are the same on three pages of the host or more; blocks of
+be: every container weighs what its slots hold on a page of the host that has it, links and template left out, and a
+repeated group of which links make a fifth (a list of teasers) weighs nothing.  A page's region is found from its body
+down, as long as one container holds four fifths of the weight.  Where several share it, the page's own marks (article,
+then main) decide.  Containers met on fewer than three pages, or with under 0.5 % of the host's text, weigh what they hold
+on the page itself.  An element is template if all its texts are the same on three pages of the host or more; blocks of
 the template are left out, headings of the region stay.
 
 All pages of a host are aligned: those of a bucket of content hashes into a partial wrapper, partial wrappers with each
@@ -21,6 +24,7 @@ import html as entities
 import json
 import re
 import sys
+from bisect import bisect_right
 
 import pandas as pd
 import pyarrow as pa
@@ -132,12 +136,20 @@ def parse(source: str) -> Node:
     return root
 
 
+TOP = ("body", "#root")
+
+
+def _marked(tag: str, marks: str) -> bool:
+    return tag in DROPPED or bool(marks) and not BOILERPLATE.isdisjoint(marks.split()) and tag not in ("html", "body", "article", "main")
+
+
 def boilerplate(node: Node) -> bool:
-    return node.tag in DROPPED or bool(node.marks) and not BOILERPLATE.isdisjoint(node.marks.split()) and node.tag not in ("html", "body", "article", "main")
+    return _marked(node.tag, node.marks)
 
 
 # ---- wrappers -------------------------------------------------------------------------------------------------------
-# An expression is a list of items: ["text", constant or None], ["tag", key, expression], ["opt", items], ["plus", item].
+# An expression is a list of items: ["text", constant or None, characters], ["tag", key, expression, pages], ["opt", items],
+# ["plus", item].  Characters and pages are sums over the pages aligned so far.
 
 SEVERAL = 3
 
@@ -157,50 +169,80 @@ class Constant(str):
 def expression(node: Node, page: int = 0) -> list:
     """The expression of one page below `node`, runs of like elements folded into repeated groups."""
     out: list = []
+    run: list = []
+
+    def close():
+        if run:
+            whole = ["tag", run[0][1], _folded([x[2] for x in run]), 1]
+            out.append(whole if len(run) == 1 else ["plus", whole])
+            run.clear()
+
     for kid in node.kids:
         if isinstance(kid, str):
             t = " ".join(kid.split())
             if t:
-                out.append(["text", Constant.of(t if len(t) <= 32 else xxhash.xxh3_128_hexdigest(t.encode("utf-8", "surrogatepass")), (page,))])
+                close()
+                out.append(["text", Constant.of(t if len(t) <= 32 else xxhash.xxh3_128_hexdigest(t.encode("utf-8", "surrogatepass")), (page,)), len(t)])
         elif kid.tag not in ("script", "style"):
-            item = ["tag", kid.key, expression(kid, page)]
-            last = out[-1] if out else None
-            if last and last[0] == "plus" and last[1][1] == item[1]:
-                last[1][2] = align(last[1][2], item[2])
-            elif last and last[0] == "tag" and last[1] == item[1]:
-                out[-1] = ["plus", ["tag", item[1], align(last[2], item[2])]]
-            else:
-                out.append(item)
+            key = kid.key
+            if run and run[0][1] != key:
+                close()
+            run.append(["tag", key, expression(kid, page), 1])
+    close()
     return out
 
 
+def _folded(parts: list[list]) -> list:
+    """One expression for the elements of a run: neighbours are aligned in pairs until one is left."""
+    while len(parts) > 1:
+        parts = [align(*parts[k : k + 2], same=True) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    return parts[0]
+
+
 def _name(item: list) -> str:
     return _name(item[1]) if item[0] == "plus" else _name(item[1][0]) if item[0] == "opt" else "#text" if item[0] == "text" else item[1]
 
 
-def _merge(a: list, b: list) -> list:
+def _merge(a: list, b: list, same: bool) -> list:
     """One item for two that stand at the same place and have the same name."""
     if a[0] == "opt" or b[0] == "opt":
         x, y = (a[1][0] if a[0] == "opt" else a), (b[1][0] if b[0] == "opt" else b)
-        return ["opt", [_merge(x, y)]]
+        return ["opt", [_merge(x, y, same)]]
     if a[0] == "text":
-        return ["text", Constant.of(a[1], a[1].pages + b[1].pages) if a[1] is not None and a[1] == b[1] else None]
+        return ["text", Constant.of(a[1], a[1].pages + b[1].pages) if a[1] is not None and a[1] == b[1] else None, a[2] + b[2]]
     x, y = (a[1] if a[0] == "plus" else a), (b[1] if b[0] == "plus" else b)
-    both = ["tag", x[1], align(x[2], y[2])]
+    both = ["tag", x[1], align(x[2], y[2], same), max(x[3], y[3]) if same else x[3] + y[3]]
     return ["plus", both] if "plus" in (a[0], b[0]) else both
 
 
-def align(a: list, b: list) -> list:
+def _next_places(names: list[str]):
+    """A function of (name, place): the next place of that name behind the place, or None."""
+    places: dict[str, list[int]] = {}
+    for k, name in enumerate(names):
+        places.setdefault(name, []).append(k)
+
+    def find(name: str, at: int) -> int | None:
+        known = places.get(name, ())
+        k = bisect_right(known, at)
+        return known[k] if k < len(known) else None
+
+    return find
+
+
+def align(a: list, b: list, same: bool = False) -> list:
     """The expression that matches what either matches: a mismatch is resolved by the nearest place where one side goes
-    on with the other's item, and what was skipped becomes optional."""
+    on with the other's item, and what was skipped becomes optional.  `same`: both are parts of one page."""
     out, i, j = [], 0, 0
+    left, right = [_name(x) for x in a], [_name(x) for x in b]
+    in_a = in_b = None
     while i < len(a) and j < len(b):
-        if _name(a[i]) == _name(b[j]):
-            out.append(_merge(a[i], b[j]))
+        if left[i] == right[j]:
+            out.append(_merge(a[i], b[j], same))
             i, j = i + 1, j + 1
             continue
-        skip_a = next((k for k in range(i + 1, len(a)) if _name(a[k]) == _name(b[j])), None)
-        skip_b = next((k for k in range(j + 1, len(b)) if _name(b[k]) == _name(a[i])), None)
+        if in_a is None:
+            in_a, in_b = _next_places(left), _next_places(right)
+        skip_a, skip_b = in_a(right[j], i), in_b(left[i], j)
         if skip_a is not None and (skip_b is None or skip_a - i <= skip_b - j):
             out += [_optional(x) for x in a[i:skip_a]]
             i = skip_a
@@ -240,10 +282,9 @@ def packed(wrapper: list) -> bytes:
                 flat.append(item[0])
                 item = item[1][0] if item[0] == "opt" else item[1]
             if item[0] == "text":
-                flat.append([item[1], *item[1].pages] if item[1] is not None else None)
+                flat.append([item[2], item[1], *item[1].pages] if item[1] is not None else [item[2], None])
             else:
-                flat.append("tag")
-                flat.append(item[1])
+                flat.extend(("tag", item[1], item[3]))
                 walk(item[2])
                 flat.append("end")
 
@@ -261,7 +302,7 @@ def unpacked(blob: bytes) -> list:
         if x in ("opt", "plus"):
             around.append(x)
             continue
-        item = ["text", x if x is None else Constant.of(x[0], x[1:])] if x != "tag" else ["tag", next(parts), []]
+        item = ["text", None if x[1] is None else Constant.of(x[1], x[2:]), x[0]] if x != "tag" else ["tag", next(parts), [], next(parts)]
         whole = item
         while around:
             whole = ["opt", [whole]] if around.pop() == "opt" else ["plus", whole]
@@ -309,6 +350,44 @@ def constant_paths(wrapper: list, least: int = 2) -> set[str]:
     return template_paths(wrapper, least, lambda path, key: f"{path}/{key}", "")
 
 
+def slot_weights(wrapper: list, least: int = SEVERAL, share: float = 0.005) -> dict[int, int]:
+    """By path of a container met on `least` pages or more: the characters that its slots hold on a page that has it.
+
+    Only containers with `share` of the host's slot text are listed, so their number doesn't follow the pages."""
+    held: dict[int, list[int]] = {}  # path: characters, those that count, pages
+
+    def walk(items: list, path: int, within: str) -> tuple[int, int, int]:
+        """Characters of slots outside links, those that count, those in links."""
+        chars = worth = links = 0
+        for item in items:
+            repeated = False
+            while item[0] in ("opt", "plus"):
+                repeated |= item[0] == "plus"
+                item = item[1][0] if item[0] == "opt" else item[1]
+            if item[0] == "text":
+                n = item[2] if item[1] is None or len(item[1].pages) < least else 0
+                chars, worth = chars + n, worth + n
+                continue
+            tag, _, marks = item[1].partition(".")
+            if _marked(tag, marks) or tag == "header" and within in TOP:
+                continue
+            own = below(path, item[1])
+            c, w, l = walk(item[2], own, tag)
+            if tag == "a":
+                links += c + l
+                continue
+            if repeated and l and 5 * l >= c + l:
+                w = 0
+            if tag in SCOPES:
+                x = held.setdefault(own, [0, 0, 0])
+                x[0], x[1], x[2] = x[0] + c, x[1] + w, max(x[2], item[3])
+            chars, worth, links = chars + c, worth + w, links + l
+        return chars, worth, links
+
+    whole = walk(wrapper, 0, "#root")[0]
+    return {path: w // n for path, (c, w, n) in held.items() if n >= least and c and c >= share * whole}
+
+
 # ---- extraction -----------------------------------------------------------------------------------------------------
 
 
@@ -332,7 +411,7 @@ def blocks_of(node: Node, path: int = 0, constant: set[int] | frozenset[int] = f
                 part.append(kid)
             elif kid.tag == "br":
                 part.append(" ")
-            elif not boilerplate(kid) and not (kid.tag == "header" and x.tag in ("body", "#root")):
+            elif not boilerplate(kid) and not (kid.tag == "header" and x.tag in TOP):
                 own = below(at, kid.key) if constant else 0
                 if kid.tag not in BLOCKS:
                     walk(kid, own)
@@ -355,8 +434,8 @@ def _weights(root: Node, constant: set[int] | frozenset[int]) -> dict[int, tuple
         for kid in node.kids:
             if isinstance(kid, str):
                 total += len(kid.strip())
-            elif not boilerplate(kid):
-                own = below(path, kid.key) if constant else 0
+            elif not boilerplate(kid) and not (kid.tag == "header" and node.tag in TOP):
+                own = below(path, kid.key)
                 n = walk(kid, own) if kid.tag not in BLOCKS or own not in constant else 0
                 total += n if kid.tag != "a" else 0
         found[id(node)] = path, total
@@ -378,25 +457,39 @@ def _find(node: Node, tags: tuple[str, ...]) -> list[Node]:
     return out
 
 
-def main_text(source: str, constant: set[int] | frozenset[int] = frozenset()) -> str:
-    """The article's blocks, joined by one space; `constant` are the hashes of the host's template paths."""
+def _region(node: Node, known: dict[int, tuple[int, int]], slots: dict[int, int]) -> Node:
+    """Down from `node` as long as one container holds four fifths of the weight: what the host's slots hold there, or what
+    the page itself has where the wrapper doesn't say."""
+    while node.tag not in ("article", "main"):
+        kids = [k for k in node.kids if isinstance(k, Node) and known.get(id(k), (0, 0))[1]]
+        by_path: dict[int, list[Node]] = {}
+        for k in kids:
+            if k.tag != "a":
+                by_path.setdefault(known[id(k)][0], []).append(k)
+        own = {p: sum(known[id(k)][1] for k in same) for p, same in by_path.items()}
+        weight = {p: slots.get(p, n) for p, n in own.items()}
+        best = max(weight, key=weight.get, default=None)
+        direct = known[id(node)][1] - sum(own.values())
+        if best is None or len(by_path[best]) > 1 or by_path[best][0].tag not in SCOPES or weight[best] < 0.8 * (direct + sum(weight.values())):
+            break
+        node = by_path[best][0]
+    return node
+
+
+def main_text(source: str, constant: set[int] | frozenset[int] = frozenset(), slots: dict[int, int] | None = None) -> str:
+    """The article's blocks, joined by one space; `constant` are the hashes of the host's template paths, `slots` its
+    weights of containers."""
     root = parse(source)
     known = _weights(root, constant)
     if constant and not known[id(root)][1]:  # nothing but template: the page is judged by itself
         constant = frozenset()
         known = _weights(root, constant)
-    weight = lambda x: known[id(x)][1] if id(x) in known else 0
-    node = next(iter(_find(root, ("body",))), root)
-    while node.tag not in ("article", "main"):  # go down as long as one child holds nearly all the text that isn't template
-        kids = [k for k in node.kids if isinstance(k, Node) and weight(k)]
-        best = max(kids, key=weight, default=None)
-        if best is None or best.tag not in SCOPES or best.tag == "a" or weight(best) < 0.8 * weight(node):
-            break
-        node = best
+    node = _region(next(iter(_find(root, ("body",))), root), known, slots or {})
     regions = [node]
     if node.tag != "article":
-        regions = [x for x in _find(node, ("article",)) if weight(x)] or [x for x in _find(node, ("main",)) if weight(x)] or regions
-    return " ".join(b for r in regions for b in blocks_of(r, known[id(r)][0], constant))
+        held = lambda x: known.get(id(x), (0, 0))[1]
+        regions = [x for x in _find(node, ("article",)) if held(x)] or [x for x in _find(node, ("main",)) if held(x)] or regions
+    return " ".join(b for r in regions for b in blocks_of(r, known.get(id(r), (0, 0))[0], constant))
 
 
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
@@ -407,7 +500,8 @@ def host_of(url):
 
 
 def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = 256, broadcast_hosts: int = 200_000) -> DataFrame:
-    """host and `paths` (JSON list of hashes of template paths), inferred from all pages of a host.
+    """host, `paths` (JSON list of hashes of template paths) and `slots` (JSON object: weights of containers by hash of their
+    path), inferred from all pages of a host.
 
     Expressions of pages, not pages, are shuffled.  A host's pages are dealt to buckets of about `group` by their content
     hash and aligned there in its order; the partial wrappers are aligned likewise until one is left, so neither a task's
@@ -447,10 +541,12 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 
     def decide(batches):
         for b in batches:
-            paths = [json.dumps(sorted(template_paths(unpacked(e)))) for e in b.column("e").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(paths, pa.string())], names=["host", "paths"])
+            found = [unpacked(e) for e in b.column("e").to_pylist()]
+            paths = [json.dumps(sorted(template_paths(w))) for w in found]
+            slots = [json.dumps(dict(sorted(slot_weights(w).items()))) for w in found]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(paths, pa.string()), pa.array(slots, pa.string())], names=["host", "paths", "slots"])
 
-    return materialize(table.mapInArrow(decide, "host string, paths string"), "html-paths")
+    return materialize(table.mapInArrow(decide, "host string, paths string, slots string"), "html-paths")
 
 
 def extract(pages: DataFrame, found: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_chars: int = 16 << 20) -> DataFrame:
@@ -462,23 +558,23 @@ def extract(pages: DataFrame, found: DataFrame, id_col: str = "page_id", url_col
     The wrappers are broadcast while they are small (their size is measured); beyond that they are joined by host and
     adaptive execution splits a hot one."""
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
-    size = found.agg(F.sum(F.length("paths") + F.length("host")).alias("n")).first().n or 0
+    size = found.agg(F.sum(F.length("paths") + F.length("slots") + F.length("host")).alias("n")).first().n or 0
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("u"), text_or_empty(html_col).alias("h"), host_of(pages[url_col]).alias("host"))
-    both = rows.join(F.broadcast(found) if size <= broadcast_chars else found, "host", "left").select("id", "u", "h", "paths")
+    both = rows.join(F.broadcast(found) if size <= broadcast_chars else found, "host", "left").select("id", "u", "h", "paths", "slots")
 
     def run(batches):
         enter("html")
-        known: dict[str | None, frozenset[str]] = {}
+        known: dict[tuple[str | None, str | None], tuple[frozenset[int], dict[int, int]]] = {}
         for b in batches:
-            source, paths = b.column("h").to_pylist(), b.column("paths").to_pylist()
+            source, decided = b.column("h").to_pylist(), list(zip(b.column("paths").to_pylist(), b.column("slots").to_pylist()))
             for lo in range(0, len(source), 1000):
                 texts = []
-                for h, p in zip(source[lo : lo + 1000], paths[lo : lo + 1000]):
+                for h, p in zip(source[lo : lo + 1000], decided[lo : lo + 1000]):
                     if p not in known:
                         if len(known) > 5000:
                             known.clear()
-                        known[p] = frozenset(json.loads(p or "[]"))
-                    texts.append(main_text(h, known[p]))
+                        known[p] = frozenset(json.loads(p[0] or "[]")), {int(k): n for k, n in json.loads(p[1] or "{}").items()}
+                    texts.append(main_text(h, *known[p]))
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, 1000), b.column("u").slice(lo, 1000), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     return both.mapInArrow(run, f"`{id_col}` {id_type}, `{url_col}` {url_type}, text string, n_chars bigint")

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 import time
@@ -150,7 +151,7 @@ def test_wrapper_has_slots_optionals_and_repeats():
     b = "<html><body><div class=top>Same</div><p>extra</p><ul><li>c</ul><div class=c>two</div></body></html>"
     w = html.infer([a, b])
     text = str(w)
-    assert "'plus', ['tag', 'li'" in text and "'opt', [['tag', 'p'" in text and "['text', None]" in text and "['text', 'Same']" in text
+    assert "'plus', ['tag', 'li'" in text and "'opt', [['tag', 'p'" in text and "['text', None, 3]" in text and "['text', None, 6]" in text and "['text', 'Same', 8]" in text
     assert any(p.endswith("div.top") for p in html.constant_paths(w))
 
 
@@ -205,6 +206,58 @@ def test_marked_pages_take_region_and_template_from_the_wrapper(spark):
     assert got[9] == "We are a paper."  # a host with one page, no region with nearly all text: marks decide
 
 
+def test_slots_choose_the_region_where_neither_words_nor_marks_tell(spark):
+    side = "<div class=left><p>" + "an offer of the day " * 3 + "{i}</p></div>"
+    page = lambda i, n: f"<body>{side.format(i=i)}<div class=story><p>story {i} " + "of the town " * n + "</p></div></body>"
+    rows = [(i, "http://h.example/", page(i, 40)) for i in range(8)] + [(9, "http://h.example/", page(9, 1)), (10, "http://one.example/", page(10, 1))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = html.wrappers(df, group=3)
+    got = {x.page_id: x.text for x in html.extract(df, found).collect()}
+    assert got[9] == "story 9 of the town"  # alone, the side would outweigh it
+    assert got[10].endswith("story 10 of the town") and got[10].startswith("an offer")
+    assert {x.host: len(json.loads(x.slots)) for x in found.collect()} == {"h.example": 3, "one.example": 0}
+
+
+def test_lists_of_teasers_weigh_nothing():
+    teaser = lambda i, k: f"<div class=item><a href=x>headline {i} {k} goes here</a><p>some words about it {i} {k}</p></div>"
+    page = lambda i: "<body><div class=list>" + "".join(teaser(i, k) for k in range(9)) + f"</div><div class=story><p>story {i} is short</p></div></body>"
+    pages = [page(i) for i in range(5)]
+    w = html.infer(pages)
+    assert html.main_text(pages[2], html.template_paths(w), html.slot_weights(w)) == "story 2 is short"
+    assert html.main_text(pages[2]) != "story 2 is short"
+
+
+def slow_align(a, b, same=False):
+    """`html.align` by scanning ahead at every mismatch."""
+    name, out, i, j = html._name, [], 0, 0
+    while i < len(a) and j < len(b):
+        if name(a[i]) == name(b[j]):
+            out.append(html._merge(a[i], b[j], same))
+            i, j = i + 1, j + 1
+            continue
+        p = next((k for k in range(i + 1, len(a)) if name(a[k]) == name(b[j])), None)
+        q = next((k for k in range(j + 1, len(b)) if name(b[k]) == name(a[i])), None)
+        n, m = (1, 1) if p is None and q is None else (p - i, 0) if q is None or p is not None and p - i <= q - j else (0, q - j)
+        out += [html._optional(x) for x in a[i : i + n] + b[j : j + m]]
+        i, j = i + n, j + m
+    return out + [html._optional(x) for x in a[i:] + b[j:]]
+
+
+def test_alignment_equals_the_slow_one_and_takes_linear_time(monkeypatch):
+    rng = np.random.default_rng(3)
+    pages = ["<body>" + "".join(f"<{t}>{rng.integers(3)}<{u}>x{rng.integers(2)}</{u}></{t}>" for t, u in zip(rng.choice(["div", "ul", "h2", "table"], 9), rng.choice(["b", "i", "em"], 9))) + "</body>" for _ in range(30)]
+    fast = html.infer(pages)
+    assert html.unpacked(html.packed(fast)) == fast
+    monkeypatch.setattr(html, "align", slow_align)
+    assert html.infer(pages) == fast
+    monkeypatch.undo()
+    letters = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    began = time.process_time()
+    html.infer(["<body>" + "".join(f"<div class=x{letters(2 * k + i)}>t</div>" for k in range(50_000)) + "</body>" for i in range(2)])
+    html.infer(["<body>" + "".join(f"<div><i class=x{letters(k)}>t</i></div>" for k in range(20_000)) + "</body>"])
+    assert time.process_time() - began < 30  # quadratic: a quarter of an hour
+
+
 def slow_probs(net, raw):
     """Probabilities of all positions by one pass over the whole text in either direction."""
     def step(x, d, h):
