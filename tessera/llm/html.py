@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import enter, materialize, text_or_empty
+from tessera.llm._shared import discard, enter, materialize, text_or_empty
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|</?[a-zA-Z](?>[^"'>]|"[^"]*"|'[^']*')*>|</?[a-zA-Z][^>]*+>|[^<]+|<""", re.S)
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -535,7 +535,8 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
         sizes = materialize(table.groupBy("host").agg(F.ceil(F.count_distinct("k") / group).cast("bigint").alias("n")), "html-sizes")
         few = sizes.agg(F.count("*").alias("hosts"), F.max("n").alias("n")).first()
         dealt = table.join(F.broadcast(sizes) if few.hosts <= broadcast_hosts else sizes, "host").withColumn("bucket", F.pmod("k", "n"))
-        table = materialize(dealt.groupBy("host", "bucket").applyInPandas(merge, "host string, k bigint, e binary"), "html-wrappers")
+        before, table = table, materialize(dealt.groupBy("host", "bucket").applyInPandas(merge, "host string, k bigint, e binary"), "html-wrappers")
+        discard(before, sizes)
         if (few.n or 1) == 1:
             break
 
@@ -546,7 +547,9 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
             slots = [json.dumps(dict(sorted(slot_weights(w).items()))) for w in found]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(paths, pa.string()), pa.array(slots, pa.string())], names=["host", "paths", "slots"])
 
-    return materialize(table.mapInArrow(decide, "host string, paths string, slots string"), "html-paths")
+    decided = materialize(table.mapInArrow(decide, "host string, paths string, slots string"), "html-paths")
+    discard(table)
+    return decided
 
 
 def extract(pages: DataFrame, found: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_chars: int = 16 << 20) -> DataFrame:
