@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera import schema as S
 from tessera.functions import text as X
 from tessera.session import discard, stored
-from tessera.sources.registry import Entry, Registry, Snapshot
+from tessera.sources.registry import Entry, Registry, Snapshot, Superseded
 
 
 def indexed(blocks: DataFrame) -> DataFrame:
@@ -141,6 +141,18 @@ class Index:
     def open(cls, spark: SparkSession, path: str) -> Index:
         return cls(spark, path, Registry(spark, path).snapshot())
 
+    @classmethod
+    def kept(cls, spark: SparkSession, path: str, blocks: Callable[[], DataFrame]) -> Index:
+        """The index under `path`; where there is none yet it is built of `blocks()`.  Of several that build at once the first
+        is kept, and all read that one."""
+        index = cls.open(spark, path)
+        if not index.segments:
+            try:
+                index = cls.build(blocks(), path)
+            except Superseded:
+                index = cls.open(spark, path)
+        return index
+
     def latest(self) -> Index:
         return Index.open(self.spark, self.path)
 
@@ -246,6 +258,13 @@ class Index:
         stats = found.agg(*_counts(pn, sn, rungs)).crossJoin(F.broadcast(self.totals()))  # a row each
         return _best(found, stats, pn, sn, query, limit, rungs, self.texts)
 
+    def hits(self, query: str, limit: int, rungs: tuple[str, ...] = ("and", "or", "terms")) -> DataFrame:
+        """`search` with the text (raw) of each hit; of the texts only the parts in which the hits lie are read."""
+        found = self.search(query, limit, rungs)
+        rows = found.collect()  # at most `limit` rows
+        top = self.spark.createDataFrame(rows, found.schema)
+        return self.texts([r.id for r in rows]).select("id", "raw").join(F.broadcast(top), "id")
+
     def batch(self, queries: DataFrame, limit: int, rungs: tuple[str, ...] = ("and", "or", "terms")) -> DataFrame:
         """`bm25_batch` over the stored postings."""
         return bm25_batch(queries, self.postings(), self.totals(), self.texts(), limit, rungs)

@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from tessera import schema as S
 from tessera.functions import text as X
-from tessera.operators import ingest
+from tessera.operators import ingest, lexical
+from tessera.session import shared_folder
+from tessera.sources.registry import file_stamp
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +47,13 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.line_blocks(docs)
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The stored full-text index of `blocks`, in the shared folder under the stamp of the table's files: the first search of
+    a state of the table builds it, every later one reads the parts of its own terms."""
+    path = f"{shared_folder(spark)}/text-index-{file_stamp(spark, f'{sf_dir}/documents.parquet')}"
+    return lexical.Index.kept(spark, path, lambda: blocks(spark, sf_dir))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents, turns as blocks, roles as sections."""
     c = read(spark, sf_dir, "conversations")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.functions import text as X
-from tessera.operators import answer, chains, compile, governance, graph, lexical, lifecycle, quality, retrieval
-from tessera.plans.base import BLOCKS, ORACLES, TURNS, blocks, bm25_sql, hash_sql, query, read, turns
+from tessera.operators import answer, chains, compile, governance, graph, lifecycle, quality, retrieval
+from tessera.plans.base import BLOCKS, ORACLES, TURNS, blocks, bm25_sql, hash_sql, query, read, text_index, turns
 from tessera.plans.search import KNN, SECTIONS, _sections, knn_topk
+from tessera.session import stored
 
 ASK = "heat that edthe onthe the"
 HITS = f"WITH {BLOCKS}, {bm25_sql(ASK, 200, ('or',))}, ev AS (SELECT h.rank, h.id, b.doc_id, b.doc_path, b.breadcrumb, b.raw, b.layer FROM hits h JOIN blocks b USING (id))"
@@ -20,7 +21,7 @@ pages_ AS (SELECT source || '/' || doc_id AS doc_path, CASE WHEN doc_id % 11 = 0
 
 def _evidence(spark, sf, limit=200):
     b = blocks(spark, sf)
-    hits = lexical.bm25(b, ASK, limit, ("or",)).select("id", "rank")
+    hits = text_index(spark, sf).search(ASK, limit, ("or",)).select("id", "rank")
     return b, b.join(F.broadcast(hits), "id")
 
 
@@ -205,7 +206,7 @@ SELECT id, round(s + 1.2 * coalesce(pr, 0), 6) AS score FROM base LEFT JOIN (SEL
 def hybrid_ppr(spark, sf):
     """Lexical hits re-scored by the rank of a reading-order graph around the first fifty."""
     b = blocks(spark, sf)
-    lex = lexical.bm25(b, ASK, 60, ("or",))
+    lex = stored(text_index(spark, sf).search(ASK, 60, ("or",)))
     nxt = b.select("doc_path", (F.col("ordinal") - 1).alias("ordinal"), F.col("id").alias("dst"))
     edges = b.select("doc_path", "ordinal", F.col("id").alias("src")).join(nxt, ["doc_path", "ordinal"]).select("src", "dst", F.lit(1.0).alias("w"))
     seeds = lex.filter(F.col("rank") < S.SEEDS).select(F.lit(0).alias("query"), "id")

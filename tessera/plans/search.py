@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import lexical, lifecycle, retrieval
-from tessera.plans.base import BLOCKS, TURNS, blocks, bm25_sql, hash_sql, query, read, tokens_sql, mirror_sql, turns
+from tessera.plans.base import BLOCKS, TURNS, blocks, bm25_sql, hash_sql, query, read, text_index, tokens_sql, mirror_sql, turns
 from tessera.session import shared_folder, stored
 
 WIDE = "heatly thorea tionnt ofthe eneaor"
@@ -18,9 +18,9 @@ MIXED = "the qqqzzz that"
 
 @query(f"WITH {BLOCKS}, {bm25_sql(WIDE, 50, ('or',))} SELECT h.rank, h.id, h.score, b.doc_path, b.raw FROM hits h JOIN blocks b USING (id)")
 def bm25_or_topk(spark, sf):
-    b = blocks(spark, sf)
-    hits = lexical.bm25(b, WIDE, 50, ("or",))
-    return b.join(F.broadcast(hits), "id").select("rank", "id", "score", "doc_path", "raw")
+    """From the stored index alone: the postings of the terms, then the texts of the hits; an id begins with its document."""
+    hits = text_index(spark, sf).hits(WIDE, 50, ("or",))
+    return hits.select("rank", "id", "score", F.regexp_extract("id", r"^(.*/-?[0-9]+)#", 1).alias("doc_path"), "raw")
 
 
 @query(f"WITH {BLOCKS}, {bm25_sql(NARROW, 50, ('and',))} SELECT id, score, rank FROM hits")
@@ -30,12 +30,12 @@ def bm25_and(spark, sf):
 
 @query(f"WITH {BLOCKS}, {bm25_sql(MIXED, 50)} SELECT id, score, rung, rank FROM hits")
 def bm25_ladder(spark, sf):
-    return lexical.bm25(blocks(spark, sf), MIXED, 50)
+    return text_index(spark, sf).search(MIXED, 50)
 
 
 @query(f"WITH {BLOCKS}, {bm25_sql('The That heat', 200, ('or',))} SELECT id, score, rank FROM hits")
 def bm25_minmatch(spark, sf):
-    return lexical.bm25(blocks(spark, sf), "The That heat", 200, ("or",)).select("id", "score", "rank")
+    return text_index(spark, sf).search("The That heat", 200, ("or",)).select("id", "score", "rank")
 
 
 HAN = ("eat", "中文本")
@@ -147,8 +147,8 @@ LISTS = f"WITH {BLOCKS}, {bm25_sql(WIDE, 60, ('or',), name='a')}, {bm25_sql(NARR
 
 
 def _lists(spark, sf):
-    b = blocks(spark, sf)
-    return lexical.bm25(b, WIDE, 60, ("or",)), lexical.bm25(b, NARROW, 60, ("or",))
+    index = text_index(spark, sf)
+    return index.search(WIDE, 60, ("or",)), index.search(NARROW, 60, ("or",))
 
 
 @query(f"{LISTS}, u AS (SELECT id, 1.0::DOUBLE / (60 + rank + 1) AS s FROM a UNION ALL SELECT id, 1.0::DOUBLE / (60 + rank + 1) FROM b) SELECT id, round(sum(s), 9) AS score FROM u GROUP BY id")
@@ -194,7 +194,7 @@ ATTRIBUTED = f"""{FUSED}, att AS (SELECT f.id, f.score, round(coalesce(1.0::DOUB
 def _attributed(spark, sf):
     b = blocks(spark, sf)
     tree = retrieval.tree_search(_sections(b), b, TREE_QUERY)
-    lex = lexical.bm25(b, TREE_QUERY, 60, ("and", "or"))
+    lex = stored(text_index(spark, sf).search(TREE_QUERY, 60, ("and", "or")))
     fused = retrieval.rrf([(tree, 0.8), (lex, 1.0)])
     return b, retrieval.attributed(fused, {"lexical": lex, "tree": tree}).withColumn("matched_by", F.array_join("matched_by", ","))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import graph, ledger, lexical, lifecycle, quality, rebuild, retrieval, route
-from tessera.plans.base import BLOCKS, TURNS, blocks, bm25_sql, hash_sql, mirror_sql, query, read, tokens_sql, turns
+from tessera.plans.base import BLOCKS, TURNS, blocks, bm25_sql, hash_sql, mirror_sql, query, read, text_index, tokens_sql, turns
 from tessera.plans.knowledge import TABLES as ROUTE_TABLES
 from tessera.plans.knowledge import _acls, _pages, _path, _states
 from tessera.plans.search import TREE, TREE_QUERY, _sections
@@ -329,7 +329,7 @@ f5 AS (SELECT *, row_number() OVER (ORDER BY r1) AS r2 FROM f4 QUALIFY r2 <= 40)
 def search_full(spark, sf):
     """Lexical, tree and vector channels fused, then access, state with history, disposition, metadata, window, layers."""
     b = blocks(spark, sf)
-    lex = stored(lexical.bm25(b, TREE_QUERY, 200, ("and", "or")).select("id", "rank"))
+    lex = stored(text_index(spark, sf).search(TREE_QUERY, 200, ("and", "or")).select("id", "rank"))
     tree = stored(retrieval.tree_search(_sections(b), b, TREE_QUERY))
     e = read(spark, sf, "embeddings").filter("embedding is not null")
     own = e.join(b.filter("ordinal = 0").select("id", F.col("doc_id").alias("vec_id")), "vec_id").select("id", F.col("embedding").alias("vector"))

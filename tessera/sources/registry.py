@@ -153,6 +153,12 @@ class Registry:
         discard(self.spark, self.root)
 
 
+def file_stamp(spark: SparkSession, *paths: str) -> str:
+    """One digest of the names, sizes and times of the files below `paths`: it costs a listing, no data is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    return stamp_of(files=(files.select("path", "length", F.unix_micros("modificationTime").alias("at")), ("path", "length", "at")))
+
+
 def stamp_of(**tables: tuple[DataFrame, tuple[str, ...]]) -> str:
     """One digest of the contents of tables (frame, columns), whatever the order of their rows.
 

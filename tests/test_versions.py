@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera.engine import KnowledgeBase
 from tessera.operators import graph, lexical, lifecycle
-from tessera.sources.registry import Registry, Superseded, stamp_of
+from tessera.sources.registry import Registry, Superseded, file_stamp, stamp_of
 from tessera.streaming import replacing
 
 
@@ -170,3 +170,24 @@ def test_a_registered_base_keeps_its_graph_until_the_corpus_changes(spark, tmp_p
     changed = KnowledgeBase.from_documents(spark, frame([("a.md", "# A\none fish", "raw", "A"), docs[1]])).registered(f"file://{tmp_path}/r")
     assert changed.stamp() != base.stamp() and changed.graph()[1].count() == 4 and changed.registry.snapshot().version > version
     assert {(r.kind, r.subject) for r in base.lint(F.lit("2024-01-01").cast("date")).collect()} >= {("conflict", "b.md")}
+
+
+def test_kept_index_is_built_once_for_a_state_of_the_files(spark, tmp_path):
+    made = []
+
+    def some():
+        made.append(1)
+        return spark.createDataFrame([("a#s/0", "s", "red fox"), ("b#s/0", "s", "blue fox runs")], "id string, breadcrumb string, raw string")
+
+    path = f"file://{tmp_path}/index"
+    for _ in range(2):
+        index = lexical.Index.kept(spark, path, some)
+        assert [(r.id, r.raw) for r in index.hits("blue fox", 5, ("and",)).collect()] == [("b#s/0", "blue fox runs")]
+    assert made == [1] and index.hits("nowhere", 5).count() == 0
+    rival = lexical.Index.build(some(), f"file://{tmp_path}/other")
+    assert lexical.Index.kept(spark, f"file://{tmp_path}/other", some).at.version == rival.at.version
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    first = file_stamp(spark, f"file://{tmp_path}/t.parquet")
+    assert first == file_stamp(spark, f"file://{tmp_path}/t.parquet")
+    spark.range(3).write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    assert first != file_stamp(spark, f"file://{tmp_path}/t.parquet")
