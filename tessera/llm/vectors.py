@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import enter, materialize, partitions
+from tessera.llm._shared import discard, enter, materialize, partitions
 from tessera.llm.components import components
 
 
@@ -254,6 +254,7 @@ def similar_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     dealt = dealt.select("t", "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "m", "block", "vec", "codes")
     cells = dealt.repartition(partitions(spark), "t", "code", "i", "j").sortWithinPartitions("t", "code", "i", "j", "id")
     found = materialize(cells.mapInArrow(_verify(cosine, tables, probes, kind, codes_as), f"kind int, a {id_type}, b {id_type}, n bigint"), "vector-links")
+    discard(sizes)
     counts = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     tied = components(found.filter("kind = 1").select("a", "b"), "vector-components").withColumnRenamed("id", "rep")
     done = classes.join(counts, "rep", "left").join(tied, "rep", "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
