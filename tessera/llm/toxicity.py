@@ -138,19 +138,46 @@ def _count_units(batches):
         yield flush()
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression with a small ridge, by Newton's method."""
-    a = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(3)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + 1e-2 * w
-        h = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + 1e-2 * np.eye(3)
+def _newton(a: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, np.ndarray]:
+    """The least loss of a logistic regression with a small ridge, and its weights.
+
+    A step is halved until the loss falls: full steps can cycle for ever where the classes are nearly apart."""
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + ridge / 2 * (w @ w))
+
+    w = np.zeros(a.shape[1])
+    now = loss(w)
+    for _ in range(200):
+        p = 0.5 * (1 + np.tanh(a @ w / 2))
+        g = a.T @ (p - y) + ridge * w
+        h = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(w[0]), float(w[1]), float(w[2])
+        gain = float(g @ step)  # twice what a full step would gain were the loss a parabola
+        if gain < 1e-10 * (1 + now):
+            return now, w
+        size = 1.0
+        while (then := loss(w - size * step)) > now - 1e-4 * size * gain and size > 1e-12:
+            size /= 2
+        if then >= now:
+            return now, w  # as near as rounding lets it come
+        w, now = w - size * step, then
+    return now, w
+
+
+def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Intercept and slopes of the logistic curve; more evidence never lowers a score, so no slope is below zero.
+
+    The best curve under that bound is the best of those that leave features out and have no negative slope."""
+    found = []
+    for used in ([], [0], [1], [0, 1]):
+        least, w = _newton(np.column_stack([np.ones(len(x)), x[:, used]]), y)
+        if (w[1:] >= 0).all():
+            curve = np.zeros(3)
+            curve[[0, *(c + 1 for c in used)]] = w
+            found.append((least, *curve.tolist()))
+    return min(found)[1:]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held_out: int = 0, max_labelled: int = 60_000, prior: float = 4.0, min_z: float = 3.0) -> ToxicModel:

@@ -56,6 +56,37 @@ def test_toxicity_learns_words_and_beginnings(spark):
     assert {x.score < 0.5 for x in toxicity.score_documents(d, toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int"))).collect()} == {True}
 
 
+def calibration(seed, n=3000, toxic=280):
+    """Features of clean and toxic texts as `fit` meets them: nearly apart, a few labels wrong, a few texts far out."""
+    r = np.random.default_rng(seed)
+    y = (np.arange(n) < toxic).astype(float)
+    top = np.where(y > 0, np.exp(r.normal(4, 0.5, n)), r.normal(-0.4, 2, n))
+    top[:2] = 900.0, 1000.0
+    top[-12:] = np.exp(r.normal(3.5, 0.7, 12))
+    return np.column_stack([top, np.log1p(np.maximum(top, 0) * r.uniform(1, 1.2, n))]), y
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_toxicity_curve_settles_where_full_steps_cycle(seed):
+    x, y = calibration(seed)
+    curve = np.array(toxicity._fit_curve(x, y))
+    flagged = curve[0] + x @ curve[1:] > 0
+    assert flagged[y > 0].mean() > 0.95 and flagged[y == 0].mean() < 0.01
+    loss = lambda w: np.logaddexp(0, (z := w[0] + x @ w[1:])).sum() - y @ z + 5e-3 * (w @ w)
+    for k in range(3):
+        for d in (-1e-3, 1e-3):
+            near = curve + d * (np.arange(3) == k)
+            assert (near[1:] < 0).any() or loss(near) >= loss(curve) - 1e-6
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_more_toxic_words_never_lower_a_score(seed):
+    m = toxicity.ToxicModel({"scumlord" + toxicity.FULL: 3.0}, curve=toxicity._fit_curve(*calibration(seed)))
+    assert min(m.curve[1:]) >= 0
+    scores = [s[0] for s in toxicity.text_scorer(m)(["scumlord " * n for n in (0, 1, 10, 100, 1000, 20000)])]
+    assert scores == sorted(scores) and scores[0] < 0.5 < scores[-1]
+
+
 def test_recurrent_gradients():
     net = langid.ByteGRU.fresh(["a", "b", "c"], hidden=4)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

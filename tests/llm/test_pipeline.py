@@ -84,3 +84,17 @@ def test_lines_and_copies_equal_a_slow_version(spark):
     got = {r.doc_id: r.text or "" for r in lines.collect()}
     assert got == want
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, lines, SF).collect()} == slow_copies(want)
+
+
+def test_stages_bound_the_rows_of_an_arrow_batch(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        for given, then in (("10000", "2000"), ("0", "2000"), ("500", "500")):
+            for _, stage in corpus_pipeline.STAGES[:2] if given == "10000" else corpus_pipeline.STAGES[:1]:
+                spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", given)
+                stage(spark, docs, SF)
+                assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == then
+        assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
