@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import discard
+from tessera.session import discard, write_parquet
 
 WHOLE = "all"
 
@@ -90,9 +90,9 @@ class Registry:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields if f.name != by])
         if by is None:
-            df.write.parquet(folder)
+            write_parquet(df.write, folder)
             return Entry({WHOLE: folder}, schema.json())
-        df.write.partitionBy(by).parquet(folder)
+        write_parquet(df.write.partitionBy(by), folder)
         made = (s.getPath().getName() for s in self._fs().listStatus(self._path(folder)) if s.isDirectory())
         return Entry({n.split("=", 1)[1]: f"{folder}/{n}" for n in made if "=" in n}, schema.json())
 
